@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, neardup, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,20 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op4_near_duplicates": op4_near_duplicates, "op5_substring_dedup": op5_substring_dedup}
 
 #: What both tokenisations look like in DuckDB.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL = {
     "op1_decontaminate": f"""
@@ -41,5 +51,14 @@ ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY ite
         FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+    "op5_substring_dedup": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {SPACED} AS w FROM documents),
+places AS (SELECT r, s, array_to_string(w[s:s + 34], ' ') AS words FROM docs, unnest(range(1, greatest(len(w) - 33, 1))) AS u(s)),
+repeated AS (SELECT words FROM places GROUP BY words HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, x FROM places SEMI JOIN repeated USING (words), unnest(range(s, s + 35)) AS u(x)),
+words AS (SELECT r, x, w[x] AS word FROM docs, unnest(range(1, len(w) + 1)) AS u(x)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY x) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (r, x) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)""",
 }
