@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, substrings
+from . import decontaminate, mixing, neardup, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
@@ -29,7 +33,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op4_near_duplicates": op4_near_duplicates, "op5_substring_dedup": op5_substring_dedup}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mixing": op2_mixing, "op4_near_duplicates": op4_near_duplicates, "op5_substring_dedup": op5_substring_dedup}
 
 #: What both tokenisations look like in DuckDB.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -61,4 +65,26 @@ words AS (SELECT r, x, w[x] AS word FROM docs, unnest(range(1, len(w) + 1)) AS u
 kept AS (SELECT r, string_agg(word, ' ' ORDER BY x) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (r, x) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (r)""",
+    "op2_mixing": f"""
+WITH RECURSIVE docs AS (SELECT doc_id, source, len({SPACED})::BIGINT AS size, md5('17:' || doc_id::VARCHAR) AS mark FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM docs GROUP BY source),
+weighted AS (SELECT *, [5, 2, 1][(place - 1) % 3 + 1]::BIGINT AS weight, 3 * source_size AS most FROM sources),
+levels AS (
+  SELECT 0 AS round, 0.0::DOUBLE AS level
+  UNION ALL
+  SELECT round + 1, ((SELECT sum(source_size) FROM weighted) - coalesce((SELECT sum(most) FROM weighted WHERE most < level * weight), 0))::DOUBLE
+                    / (SELECT sum(weight) FROM weighted WHERE most >= level * weight)
+  FROM levels WHERE round < 40),
+target AS (
+  SELECT source, source_size, place, CASE WHEN most < level * weight THEN most::DOUBLE ELSE level * weight END AS target
+  FROM weighted, (SELECT level FROM levels WHERE round = 40)),
+queued AS (
+  SELECT doc_id, size, source_size, target, place, sum(size) OVER (PARTITION BY place ORDER BY mark, doc_id ROWS UNBOUNDED PRECEDING) AS through
+  FROM docs JOIN target ON docs.source IS NOT DISTINCT FROM target.source),
+passes AS (
+  SELECT doc_id, size, place, k, through, (k * source_size + through)::DOUBLE / target AS finish FROM queued, range(3) AS r(k) WHERE size > 0),
+served AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, place, k, through ROWS UNBOUNDED PRECEDING) AS served FROM passes),
+taken AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM served WHERE served <= (SELECT sum(size) FROM docs) GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM queued LEFT JOIN taken USING (doc_id)""",
 }

@@ -22,10 +22,10 @@ from .kernels import SPACED, Words, as_long, flat, in_row, mix, slices, window_h
 
 #: Words of an anchor.
 ANCHOR = 16
-#: Each of the sketch's two rows has 2 ** BITS cells, of which one bit (repeated or not) is broadcast: 2 * 2 ** 27 / 8 = 32 MB.
-#: With many more than 2 ** BITS anchors (texts of some 10 GB words) ever more windows pass on to the exact step, which is a
+#: Each of the sketch's two rows has 2 ** BITS cells, of which one bit (repeated or not) is broadcast: 2 * 2 ** 26 / 8 = 16 MB.
+#: With many more than 2 ** BITS anchors (some billion words of text) ever more windows pass on to the exact step, which is a
 #: plain shuffle; results stay the same.
-BITS = 27
+BITS = 26
 U = np.uint64
 
 
@@ -71,7 +71,7 @@ def _sketch(docs: DataFrame, text_col: str, size: int) -> Broadcast:
             for _, _, data, offs in slices(*flat(batch.column(0))):
                 held.extend(_cells(_anchors(Words(data, offs, SPACED), size)[2]))
                 n += len(held[-1])
-                if n > 2_000_000:
+                if n > 1_000_000:
                     yield summed()
                     held, n = [], 0
         if held:
@@ -117,7 +117,7 @@ def _counted(docs: DataFrame, text_col: str, size: int, sketch: Broadcast) -> Da
                 words = Words(data, offs, SPACED)
                 held.append(_keys(words, size, _suspects(words, size, sketch.value)))
                 n += len(held[-1][0])
-                if n > 1_000_000:
+                if n > 500_000:
                     yield summed()
                     held, n = [], 0
         if n:
@@ -144,53 +144,73 @@ def _places(docs: DataFrame, text_col: str, size: int, sketch: Broadcast) -> Dat
     return docs.select("row_key", text_col).mapInArrow(run, "h1 bigint, h2 int, row_key bigint, pos int")
 
 
-def _suspected(docs: DataFrame, id_col: str, text_col: str, size: int, sketch: Broadcast, wanted: bool) -> DataFrame:
-    """The documents with (wanted) or without a suspected window: doc_id, row_key, text."""
+def _left(ids: pa.Array, part: np.ndarray, offs: np.ndarray, words: Words, starts: np.ndarray, size: int, rows: np.ndarray) -> pa.RecordBatch:
+    """What is left of the given rows of a slice when the windows at `starts` (flat) go."""
+    edge = np.zeros(len(words.starts) + size + 1, dtype=np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + size, -1)
+    gone = np.cumsum(edge)[: len(words.starts)] > 0
+    raw = part.tobytes()
+    total, removed, texts = [], [], []
+    for k in rows.tolist():
+        lo, hi = words.row_at[k], words.row_at[k + 1]
+        own = gone[lo:hi]
+        split = raw[offs[k] : offs[k + 1]].split()
+        if own.any():
+            split = [w for w, g in zip(split, own.tolist(), strict=True) if not g]
+        texts.append(b" ".join(split).decode())
+        total.append(hi - lo)
+        removed.append(int(own.sum()))
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(rows)), pa.array(total, type=pa.int64()), pa.array(removed, type=pa.int64()), pa.array(texts, type=pa.string())], names=["doc_id", "n_words", "n_removed", "kept"]
+    )
+
+
+def _suspected(docs: DataFrame, id_col: str, text_col: str, size: int, sketch: Broadcast) -> DataFrame:
+    """The documents with a suspected window: doc_id, row_key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
             for i, j, data, offs in slices(*flat(batch.column(2))):
                 words = Words(data, offs, SPACED)
                 some = np.zeros(j - i, dtype=bool)
                 some[np.searchsorted(words.row_at, _suspects(words, size, sketch.value), "right") - 1] = True
-                keep.append(some == wanted)
-            if keep:
-                yield batch.filter(pa.array(np.concatenate(keep)))
+                yield batch.slice(i, j - i).filter(pa.array(some))
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), "row_key", F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, row_key bigint, text string")
 
 
+def _unsuspected(docs: DataFrame, id_col: str, text_col: str, size: int, sketch: Broadcast) -> DataFrame:
+    """All other documents, which lose nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for i, j, data, offs in slices(*flat(batch.column(1))):
+                words = Words(data, offs, SPACED)
+                some = np.zeros(j - i, dtype=bool)
+                some[np.searchsorted(words.row_at, _suspects(words, size, sketch.value), "right") - 1] = True
+                yield _left(batch.column(0).slice(i, j - i), data, offs, words, none, size, np.flatnonzero(~some))
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
+
+
 def _kept(joined: DataFrame, size: int, kind: str) -> DataFrame:
     """doc_id, text and (null or) starts of repeated windows -> what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = flat(batch.column(1))
-            marks, mark_at = batch.column(2), None
+            marks = batch.column(2)
             mark_at = np.concatenate([[0], np.cumsum(marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
             places = marks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            total, removed, texts = [], [], []
             for i, j, part, part_offs in slices(data, offs):
                 words = Words(part, part_offs, SPACED, hashes=False)
                 row = np.repeat(np.arange(j - i), np.diff(mark_at[i : j + 1]))
                 starts = places[mark_at[i] : mark_at[j]] + words.row_at[row]
-                edge = np.zeros(len(words.starts) + size + 1, dtype=np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + size, -1)
-                gone = np.cumsum(edge)[: len(words.starts)] > 0
-                raw = part.tobytes()
-                for k in range(j - i):
-                    lo, hi = words.row_at[k], words.row_at[k + 1]
-                    own = gone[lo:hi]
-                    split = raw[part_offs[k] : part_offs[k + 1]].split()
-                    if own.any():
-                        split = [w for w, g in zip(split, own.tolist(), strict=True) if not g]
-                    texts.append(b" ".join(split).decode())
-                    total.append(hi - lo)
-                    removed.append(int(own.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, type=pa.int64()), pa.array(removed, type=pa.int64()), pa.array(texts, type=pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                yield _left(batch.column(0).slice(i, j - i), part, part_offs, words, starts, size, np.arange(j - i))
 
     return joined.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
 
@@ -210,6 +230,5 @@ def remove_repeats(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
     sketch = _sketch(docs, text_col, size)
     repeated = _counted(docs, text_col, size, sketch).where("n >= 2").select("h1", "h2")
     marks = skew_join(_places(docs, text_col, size, sketch), repeated, ["h1", "h2"], "left_semi").groupBy("row_key").agg(F.collect_list("pos").alias("starts"))
-    suspected = _suspected(docs, id_col, text_col, size, sketch, True).join(marks, "row_key", "left").select("doc_id", "text", "starts")
-    others = _suspected(docs, id_col, text_col, size, sketch, False).select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
-    return _kept(suspected, size, kind).unionByName(_kept(others, size, kind))
+    suspected = _suspected(docs, id_col, text_col, size, sketch).join(marks, "row_key", "left").select("doc_id", "text", "starts")
+    return _kept(suspected, size, kind).unionByName(_unsuspected(docs, id_col, text_col, size, sketch))
