@@ -6,11 +6,16 @@ the operators broadcast. A full table lets more rows pass; the exact step after
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import mix
+
 U = np.uint64
 
 
@@ -42,3 +47,45 @@ def broadcast_cells(marked: DataFrame, column: str, bits: int) -> Broadcast:
 def probe(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which of the cells are set."""
     return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+class PartSketch:
+    """A task's count-min sketch of two rows of 2 ** bits cells, kept sparse; counts stop at 2, all that is asked of them.
+
+    Spark adds the tasks' sketches up cell by cell (see broadcast_seen_twice).
+    """
+
+    SCHEMA = "cell bigint, n int"
+
+    def __init__(self, bits: int, most: int = 1_000_000):
+        self.bits, self.most, self.held, self.n = bits, most, [], 0
+
+    def add(self, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.extend(two_cells(hashes, self.bits))
+        self.n += 2 * len(hashes)
+        if self.n > self.most:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            cell, count = np.unique(np.concatenate(self.held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.minimum(count, 2).astype(np.int32))], names=["cell", "n"])
+        self.held, self.n = [], 0
+
+
+def two_cells(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return cells(hashes, bits), cells(mix(hashes ^ U(0x5851F42D4C957F2D)), bits) + (1 << bits)
+
+
+def broadcast_seen_twice(sketches: DataFrame, bits: int) -> Broadcast:
+    """Merges the tasks' sketches and broadcasts which cells count two or more: 2 * 2 ** bits / 8 bytes."""
+    merged = sketches.groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 2")
+    return broadcast_cells(merged, "cell", bits + 1)
+
+
+def seen_twice(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes may have been added twice or more: all that were, and few others while the cells are sparse."""
+    first, second = two_cells(hashes, bits)
+    at = probe(table, first)
+    at[at] = probe(table, second[at])
+    return at

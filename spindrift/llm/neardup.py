@@ -7,8 +7,10 @@ and counts only if that interval lies below w. Two texts share a signature compo
 with probability min-sum / max-sum. Events are made in order of time and only up to the time by which all components of
 the text are likely filled, so a signature costs about words + m * log(m) events, not words * m.
 
-Texts that share a band are compared exactly. In a band's bucket every text is compared with one centre only; texts that
-don't match it go on to further rounds (see _remaining), so a bucket of n copies costs n comparisons and no link is lost.
+Texts that share a band are compared exactly. First every text of a band's bucket is compared with one centre, and the
+links found are grouped into components; then only texts of the same bucket but of different components are compared with
+each other. A bucket of n close copies so costs n comparisons, and no link between two components is lost. Shingles that
+no other candidate has bound the similarity from above, which keeps texts with many edits of their own out of all pairs.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +35,8 @@ BANDS, ROWS = 32, 6
 TICKS = float(1 << 32)
 #: The bit table of nodes that need their shingles: 2 ** 26 / 8 = 8 MB.
 BITS = 26
-#: In later rounds, what is left of a bucket is compared pairwise up to this many texts, else by a further centre.
-SMALL = 32
+#: Cells of each row of the sketch of candidates' shingles: 2 * 2 ** 26 / 8 = 16 MB are broadcast.
+SKETCH_BITS = 26
 
 
 def shingled(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,67 +187,95 @@ def _shingles(docs: DataFrame, text_col: str, size: int, wanted: DataFrame) -> D
     return docs.select(text_col).mapInArrow(run, "node bigint, codes array<bigint>").groupBy("node").agg(F.first("codes").alias("codes"))
 
 
-def _similarities(docs: DataFrame, text_col: str, size: int, pairs: DataFrame) -> DataFrame:
-    """Exact weighted Jaccard similarity of each pair (a, b)."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    both = skew_join(ends, _shingles(docs, text_col, size, ends), ["node"], "inner").groupBy("a", "b").agg(F.collect_list("codes").alias("c"))
-    shared = F.size(F.array_intersect(F.col("c")[0], F.col("c")[1]))
-    return both.select("a", "b", (shared / (F.size(F.col("c")[0]) + F.size(F.col("c")[1]) - shared)).alias("similarity"))
+def _shared_sizes(shingles: DataFrame, sketch: Broadcast) -> DataFrame:
+    """node, n (shingles) and shared: how many of them any other candidate may have."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(1)
+            n = rows.value_lengths().to_numpy(zero_copy_only=False)
+            own = rows.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            total = np.concatenate([[0], np.cumsum(bitmaps.seen_twice(sketch.value, own, SKETCH_BITS))])
+            end = np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int32)), pa.array((total[end] - total[end - n]).astype(np.int32))], names=["node", "n", "shared"])
 
-def _remaining(members: DataFrame, judged: DataFrame, threshold: float) -> DataFrame:
-    """What a further round must compare: (band, node, n, open) for the buckets where some text did not match the centre.
+    return shingles.mapInArrow(run, "node bigint, n int, shared int")
 
-    The distance 1 - similarity is a metric. For x that matched the centre c and y that did not, x and y can only match if
-    d(c, y) - d(c, x) <= 1 - threshold, so x stays only if that holds for the bucket's nearest y. Texts that matched stay
-    closed: two of them are linked through c already.
-    """
-    d = F.when(F.col("similarity").isNotNull(), 1 - F.col("similarity")).otherwise(1 - F.least("n", "n_c") / F.greatest("n", "n_c"))
-    rows = skew_join(members.where("node != c").withColumnsRenamed({"c": "a", "node": "b"}), judged, ["a", "b"], "left").select(
-        "band", F.col("b").alias("node"), "n", "open", d.alias("d"), (F.coalesce("similarity", F.lit(0.0)) >= threshold).alias("linked")
-    )
-    nearest = rows.where("open and not linked").groupBy("band").agg(F.min("d").alias("nearest"))
-    stay = (F.col("open") & ~F.col("linked")) | (F.col("d") >= F.col("nearest") - (1 - threshold) - 1e-9)
-    return skew_join(rows, nearest, ["band"], "inner").where(stay).select("band", "node", "n", (F.col("open") & ~F.col("linked")).alias("open"))
 
+def _sketch(shingles: DataFrame) -> Broadcast:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = bitmaps.PartSketch(SKETCH_BITS)
+        for batch in batches:
+            yield from sketch.add(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+        yield from sketch.rest()
 
-def _centred(members: DataFrame) -> DataFrame:
-    """The members of each bucket of two or more with its centre: the least of the texts that have not been one yet."""
-    centre = members.groupBy("band").agg(F.min(F.when(F.col("open"), F.struct("node", "n"))).alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1 and centre is not null")
-    return skew_join(members, centre, ["band"], "inner").select("band", "node", "n", "open", "members", F.col("centre.node").alias("c"), F.col("centre.n").alias("n_c"))
+    return bitmaps.broadcast_seen_twice(shingles.select("codes").mapInArrow(run, bitmaps.PartSketch.SCHEMA), SKETCH_BITS)
 
 
-def _long_enough(n: str, other: str, threshold: float) -> F.Column:
-    return F.least(n, other) >= F.greatest(n, other) * (threshold - 1e-9)
+def _against_centres(pairs: DataFrame, shingles: DataFrame, sketch: Broadcast) -> DataFrame:
+    """c, node, similarity, and the node's shingles in terms of its centre: common (bits over the centre's codes) and extra
+    (its other codes, without those that no other candidate has)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            similarity, common, extra = [], [], []
+            for c, pair in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                ends = {x["node"].as_py(): np.sort(x["codes"].values.to_numpy(zero_copy_only=False)) for x in pair}
+                centre = ends.pop(c)
+                (own,) = ends.values()
+                where = np.isin(centre, own, assume_unique=True)
+                shared = int(where.sum())
+                similarity.append(shared / (len(centre) + len(own) - shared))
+                common.append(np.packbits(np.concatenate([where, np.zeros(-len(where) % 64, dtype=bool)])).view(np.int64))
+                others = own[~np.isin(own, centre, assume_unique=True)]
+                extra.append(others[bitmaps.seen_twice(sketch.value, others.view(np.uint64), SKETCH_BITS)])
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity, type=pa.float64()), pa.array(common, type=kind), pa.array(extra, type=kind)], names=["c", "node", "similarity", "common", "extra"])
+
+    ends = pairs.select("c", F.col("node").alias("other"), F.explode(F.array("c", "node")).alias("node"))
+    both = skew_join(ends, shingles, ["node"], "inner").groupBy("c", "other").agg(F.collect_list(F.struct("node", "codes")).alias("pair"))
+    return both.mapInArrow(run, "c bigint, node bigint, similarity double, common array<bigint>, extra array<bigint>")
+
+
+def _bound(x: str, y: str) -> F.Column:
+    """The largest possible similarity of two rows with n and shared."""
+    most = F.least(f"{x}.shared", f"{y}.shared")
+    return most / (F.col(f"{x}.n") + F.col(f"{y}.n") - most)
 
 
 def _links(docs: DataFrame, texts: DataFrame, text_col: str, size: int, threshold: float) -> DataFrame:
-    """All links (a, b) between texts that share a bucket, or as many as connect the same texts."""
-    members = _first_members(texts)
-    links = None
-    judged = None
-    while True:
-        centred = cut(_centred(members))
-        small = (F.col("members") <= SMALL) if links is not None else F.lit(False)
-        star = centred.where(~small & (F.col("node") != F.col("c")) & _long_enough("n", "n_c", threshold)).select(F.col("c").alias("a"), F.col("node").alias("b"))
-        left, right = (centred.where(small).select("band", *(F.col(x).alias(f"{x}_{side}") for x in ("node", "n", "open"))) for side in "ab")
-        every = left.join(right, "band").where((F.col("node_a") < F.col("node_b")) & (F.col("open_a") | F.col("open_b")) & _long_enough("n_a", "n_b", threshold))
-        pairs = star.unionByName(every.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))) if links is not None else star
-        pairs = pairs.distinct()
-        if judged is not None:
-            pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        found = cut(_similarities(docs, text_col, size, cut(pairs)))
-        judged = found if judged is None else judged.unionByName(found)
-        new = found.where(F.col("similarity") >= threshold).select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        members = cut(_remaining(centred.where(~small), judged, threshold))
-        if members.isEmpty():
-            return links
-
-
-def _first_members(texts: DataFrame) -> DataFrame:
-    """(band, node, n, open) of every band of every text."""
-    return texts.select(F.explode("bands").alias("band"), "node", "n", F.lit(True).alias("open"))
+    """Links (a, b) that connect the same texts as all links between texts that share a bucket."""
+    threshold -= 1e-12
+    members = texts.select(F.explode("bands").alias("band"), "node")
+    several = members.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
+    members = cut(skew_join(members, several, ["band"], "inner"))
+    shingles = cut(_shingles(docs, text_col, size, members.select("node").distinct()))
+    sketch = _sketch(shingles)
+    sizes = _shared_sizes(shingles, sketch).where(F.col("shared") >= F.col("n") * threshold)
+    members = cut(skew_join(members, sizes, ["node"], "inner"))
+    # The centre is the text with the smallest part of its own.
+    centre = members.groupBy("band").agg(F.min(F.struct((-F.col("shared") / F.col("n")).alias("ratio"), "node")).alias("x"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = cut(skew_join(members, centre.select("band", F.col("x.node").alias("c")), ["band"], "inner"))
+    star = cut(_against_centres(members.where("node != c").select("c", "node").distinct(), shingles, sketch))
+    links = star.where(F.col("similarity") >= threshold).select(F.col("c").alias("a"), F.col("node").alias("b"))
+
+    labelled = skew_join(members.where("node != c"), components(links), ["node"], "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = cut(labelled.select("band", "node", "n", "shared", "c", "label"))
+    sums = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"))
+    main = sums.groupBy("band").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    labelled = cut(skew_join(labelled, main.select("band", "main"), ["band"], "inner"))
+    # Each text outside of its bucket's main component meets those of other components.
+    pairs = (
+        labelled.where("label != main").alias("x").join(labelled.alias("y"), F.col("x.band") == F.col("y.band"))
+        .where((F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & (_bound("x", "y") >= threshold))
+        .groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        .agg(F.min("x.c").alias("c"), F.first(F.col("x.n") + F.col("y.n")).alias("n"))
+    )
+    for end in "ab":
+        pairs = skew_join(pairs, star.select("c", F.col("node").alias(end), F.col("common").alias(f"common_{end}"), F.col("extra").alias(f"extra_{end}")), ["c", end], "inner")
+    both = F.aggregate(F.zip_with("common_a", "common_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+    shared = both + F.size(F.array_intersect("extra_a", "extra_b"))
+    return links.unionByName(pairs.where(shared >= (F.col("n") - shared) * threshold).select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:

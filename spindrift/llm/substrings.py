@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import bitmaps
 from .joins import skew_join
-from .kernels import SPACED, Words, as_long, flat, in_row, mix, slices, window_hashes
+from .kernels import SPACED, Words, as_long, flat, in_row, slices, window_hashes
 
 #: Words of an anchor.
 ANCHOR = 16
@@ -55,39 +55,21 @@ def _anchors(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return starts, least[starts], grams[grams == most[: len(grams)]]
 
 
-def _cells(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return bitmaps.cells(hashes, BITS), bitmaps.cells(mix(hashes ^ U(0x5851F42D4C957F2D)), BITS) + (1 << BITS)
-
-
 def _sketch(docs: DataFrame, text_col: str, size: int) -> Broadcast:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def summed() -> pa.RecordBatch:
-            cell, count = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.minimum(count, 2).astype(np.int32))], names=["cell", "n"])
-
+        sketch = bitmaps.PartSketch(BITS)
         for batch in batches:
             for _, _, data, offs in slices(*flat(batch.column(0))):
-                held.extend(_cells(_anchors(Words(data, offs, SPACED), size)[2]))
-                n += len(held[-1])
-                if n > 1_000_000:
-                    yield summed()
-                    held, n = [], 0
-        if held:
-            yield summed()
+                yield from sketch.add(_anchors(Words(data, offs, SPACED), size)[2])
+        yield from sketch.rest()
 
-    merged = docs.select(text_col).mapInArrow(run, "cell bigint, n int").groupBy("cell").agg(F.sum("n").alias("n"))
-    return bitmaps.broadcast_cells(merged.where("n >= 2"), "cell", BITS + 1)
+    return bitmaps.broadcast_seen_twice(docs.select(text_col).mapInArrow(run, bitmaps.PartSketch.SCHEMA), BITS)
 
 
 def _suspects(words: Words, size: int, table: np.ndarray) -> np.ndarray:
     """Starts of the windows that the sketch takes for repeated."""
     starts, least, _ = _anchors(words, size)
-    first, second = _cells(least)
-    at = bitmaps.probe(table, first)
-    at[at] = bitmaps.probe(table, second[at])
-    return starts[at]
+    return starts[bitmaps.seen_twice(table, least, BITS)]
 
 
 def _keys(words: Words, size: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
