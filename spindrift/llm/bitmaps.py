@@ -41,12 +41,12 @@ def broadcast_cells(marked: DataFrame, column: str, bits: int) -> Broadcast:
         part = np.frombuffer(raw, dtype=np.uint8)
         room = table[(block - 1) * 4096 : block * 4096]
         room[:] = part[: len(room)]
-    return marked.sparkSession.sparkContext.broadcast(table)
+    return marked.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
-def probe(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+def probe(table: bytes, at: np.ndarray) -> np.ndarray:
     """Which of the cells are set."""
-    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return (np.frombuffer(table, dtype=np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 class PartSketch:
@@ -83,7 +83,7 @@ def broadcast_seen_twice(sketches: DataFrame, bits: int) -> Broadcast:
     return broadcast_cells(merged, "cell", bits + 1)
 
 
-def seen_twice(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+def seen_twice(table: bytes, hashes: np.ndarray, bits: int) -> np.ndarray:
     """Which hashes may have been added twice or more: all that were, and few others while the cells are sparse."""
     first, second = two_cells(hashes, bits)
     at = probe(table, first)

@@ -22,10 +22,10 @@ from .kernels import SPACED, Words, as_long, flat, in_row, slices, window_hashes
 
 #: Words of an anchor.
 ANCHOR = 16
-#: Each of the sketch's two rows has 2 ** BITS cells, of which one bit (repeated or not) is broadcast: 2 * 2 ** 26 / 8 = 16 MB.
+#: Each of the sketch's two rows has 2 ** BITS cells, of which one bit (repeated or not) is broadcast: 2 * 2 ** 28 / 8 = 64 MB.
 #: With many more than 2 ** BITS anchors (some billion words of text) ever more windows pass on to the exact step, which is a
 #: plain shuffle; results stay the same.
-BITS = 26
+BITS = 28
 U = np.uint64
 
 
@@ -66,7 +66,7 @@ def _sketch(docs: DataFrame, text_col: str, size: int) -> Broadcast:
     return bitmaps.broadcast_seen_twice(docs.select(text_col).mapInArrow(run, bitmaps.PartSketch.SCHEMA), BITS)
 
 
-def _suspects(words: Words, size: int, table: np.ndarray) -> np.ndarray:
+def _suspects(words: Words, size: int, table: bytes) -> np.ndarray:
     """Starts of the windows that the sketch takes for repeated."""
     starts, least, _ = _anchors(words, size)
     return starts[bitmaps.seen_twice(table, least, BITS)]
