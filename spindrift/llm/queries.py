@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, substrings
+from . import decontaminate, mixing, neardup, quality_model, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mixing": op2_mixing, "op4_near_duplicates": op4_near_duplicates, "op5_substring_dedup": op5_substring_dedup}
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "lang", "n_bytes", F.round("bits_per_byte", 4).alias("bits_per_byte"), "threshold", "kept")
+
+
+QUERIES = {"op10_quality_model": op10_quality_model, "op1_decontaminate": op1_decontaminate, "op2_mixing": op2_mixing, "op4_near_duplicates": op4_near_duplicates, "op5_substring_dedup": op5_substring_dedup}
 
 #: What both tokenisations look like in DuckDB.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
