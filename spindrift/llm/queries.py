@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, quality_model, secrets, substrings
+from . import decontaminate, mixing, neardup, quality_model, quality_rules, secrets, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,12 +46,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
+
+
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "lang", "n_bytes", F.round("bits_per_byte", 4).alias("bits_per_byte"), "threshold", "kept")
 
 
-QUERIES = {"op10_quality_model": op10_quality_model, "op1_decontaminate": op1_decontaminate, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_near_duplicates": op4_near_duplicates, "op5_substring_dedup": op5_substring_dedup}
+QUERIES = {"op6_quality_rules": op6_quality_rules, "op10_quality_model": op10_quality_model, "op1_decontaminate": op1_decontaminate, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_near_duplicates": op4_near_duplicates, "op5_substring_dedup": op5_substring_dedup}
 
 #: What both tokenisations look like in DuckDB.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -105,4 +111,22 @@ passes AS (
 served AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, place, k, through ROWS UNBOUNDED PRECEDING) AS served FROM passes),
 taken AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM served WHERE served <= (SELECT sum(size) FROM docs) GROUP BY doc_id)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM queued LEFT JOIN taken USING (doc_id)""",
+    "op6_quality_rules": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {SPACED} AS w FROM documents),
+triples AS (SELECT r, s, w[s:s + 2] AS t FROM docs, unnest(range(1, greatest(len(w) - 1, 1))) AS u(s)),
+repeated AS (SELECT r, t FROM triples GROUP BY r, t HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT x) AS n FROM triples SEMI JOIN repeated USING (r, t), unnest(range(s, s + 3)) AS u(x) GROUP BY r),
+lines AS (SELECT r, count(*) AS n, count(DISTINCT line) AS n_different
+          FROM docs, unnest(string_split(text, chr(10))) AS u(line) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+base AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n - l.n_different, 0)::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(l.n, 0) AS n_lines, length(regexp_replace(text, '[^!]', '', 'g')) AS n_loud,
+    greatest({", ".join("len(list_intersect(w, [" + ", ".join(f"'{x}'" for x in words) + "]))" for words in quality_rules.STOP_WORDS.values())}) AS stop_words
+  FROM docs LEFT JOIN covered c USING (r) LEFT JOIN lines l USING (r)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  coalesce(NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 14.0 AND n_symbols / n_words <= 0.3 AND n_loud / n_words <= 0.3
+    AND stop_words >= 2 AND n_dup_lines / n_lines <= 0.5 AND n_repeat_words / n_words <= 0.5, false) AS kept
+FROM judged""",
 }
