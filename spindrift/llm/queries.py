@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, quality_model, quality_rules, secrets, substrings
+from . import chat, decontaminate, mixing, neardup, quality_model, quality_rules, secrets, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,12 +52,30 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
+    made = chat.format_conversations(turns.unionByName(extra))
+    back = made.select("*", chat.parse(F.col("formatted")).alias("turns"), F.array_join(chat.masked(F.col("formatted"), F.col("mask")), "").alias("loss"))
+    each = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(each, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "lang", "n_bytes", F.round("bits_per_byte", 4).alias("bits_per_byte"), "threshold", "kept")
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules, "op10_quality_model": op10_quality_model, "op1_decontaminate": op1_decontaminate, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_near_duplicates": op4_near_duplicates, "op5_substring_dedup": op5_substring_dedup}
+QUERIES = {"op7_chat_format": op7_chat_format, "op6_quality_rules": op6_quality_rules, "op10_quality_model": op10_quality_model, "op1_decontaminate": op1_decontaminate, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_near_duplicates": op4_near_duplicates, "op5_substring_dedup": op5_substring_dedup}
 
 #: What both tokenisations look like in DuckDB.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -129,4 +147,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   coalesce(NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 14.0 AND n_symbols / n_words <= 0.3 AND n_loud / n_words <= 0.3
     AND stop_words >= 2 AND n_dup_lines / n_lines <= 0.5 AND n_repeat_words / n_words <= 0.5, false) AS kept
 FROM judged""",
+    "op7_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(text) + (length(text) - length(replace(replace(text, '\', ''), '<', ''))) + 22)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id""",
 }
