@@ -264,18 +264,15 @@ def _links(docs: DataFrame, texts: DataFrame, text_col: str, size: int, threshol
     sums = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"))
     main = sums.groupBy("band").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     labelled = cut(skew_join(labelled, main.select("band", "main"), ["band"], "inner"))
-    # Each text outside of its bucket's main component meets those of other components.
-    pairs = (
-        labelled.where("label != main").alias("x").join(labelled.alias("y"), F.col("x.band") == F.col("y.band"))
-        .where((F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & (_bound("x", "y") >= threshold))
-        .groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        .agg(F.min("x.c").alias("c"), F.first(F.col("x.n") + F.col("y.n")).alias("n"))
-    )
-    for end in "ab":
-        pairs = skew_join(pairs, star.select("c", F.col("node").alias(end), F.col("common").alias(f"common_{end}"), F.col("extra").alias(f"extra_{end}")), ["c", end], "inner")
-    both = F.aggregate(F.zip_with("common_a", "common_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
-    shared = both + F.size(F.array_intersect("extra_a", "extra_b"))
-    return links.unionByName(pairs.where(shared >= (F.col("n") - shared) * threshold).select("a", "b"))
+    # Each text outside of its bucket's main component meets those of other components. The overlap of two texts is told by
+    # what each has of their common centre, and by the extras of both, so the join itself makes rows of links only.
+    told = cut(skew_join(labelled, star.select("c", "node", "common", "extra"), ["c", "node"], "inner"))
+    both = F.aggregate(F.zip_with("x.common", "y.common", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+    shared = both + F.size(F.array_intersect("x.extra", "y.extra"))
+    other = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    similar = (_bound("x", "y") >= threshold) & (shared >= (F.col("x.n") + F.col("y.n") - shared) * threshold)
+    found = told.where("label != main").alias("x").join(told.alias("y"), (F.col("x.band") == F.col("y.band")) & other & similar)
+    return links.unionByName(found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
