@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the folder in spark.checkpoint.dir, which all executors and the driver share.
-
-    Only where that setting is missing, as in tests on one machine, a temporary folder is used.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors and the driver share; a temporary one only where that is missing,
+    as in tests on one machine."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

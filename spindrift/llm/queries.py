@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, neardup, quality_model, quality_rules, secrets, substrings
+from . import chat, decontaminate, html_text, mixing, neardup, quality_model, quality_rules, secrets, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,12 +70,31 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_archives(spark, path, payloads=False))
+    length = F.coalesce(F.col("capture.fields")["payload-length"], F.col("metadata.fields")["payload-length"])
+    return captures.select(
+        F.col("metadata.fields")["page-id"].try_cast("long").alias("page_id"),
+        length.cast("long").alias("payload_bytes"),
+        F.col("capture.digest").alias("payload_digest"),
+        F.col("capture.type").alias("record_type"),
+        F.regexp_extract("capture.refers_to", r"^<urn:page:(-?\d+)>$", 1).cast("long").alias("refers_to"),
+    )
+
+
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "lang", "n_bytes", F.round("bits_per_byte", 4).alias("bits_per_byte"), "threshold", "kept")
 
 
-QUERIES = {"op7_chat_format": op7_chat_format, "op6_quality_rules": op6_quality_rules, "op10_quality_model": op10_quality_model, "op1_decontaminate": op1_decontaminate, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_near_duplicates": op4_near_duplicates, "op5_substring_dedup": op5_substring_dedup}
+QUERIES = {"op8_html_text": op8_html_text, "op9_warc": op9_warc, "op7_chat_format": op7_chat_format, "op6_quality_rules": op6_quality_rules, "op10_quality_model": op10_quality_model, "op1_decontaminate": op1_decontaminate, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_near_duplicates": op4_near_duplicates, "op5_substring_dedup": op5_substring_dedup}
 
 #: What both tokenisations look like in DuckDB.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -157,4 +176,18 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(role) + length(text) + (length(text) - length(replace(replace(text, '\', ''), '<', ''))) + 22)::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id""",
+    "op9_warc": r"""
+WITH digests AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (
+  SELECT *, list_aggregate(list_transform(string_split(hex, ''), lambda c: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', c)]), 'string_agg', '') AS b
+  FROM digests),
+coded AS (
+  SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * substr(b, (5 * k + 1)::INT, 1)::INT + 8 * substr(b, (5 * k + 2)::INT, 1)::INT + 4 * substr(b, (5 * k + 3)::INT, 1)::INT + 2 * substr(b, (5 * k + 4)::INT, 1)::INT + substr(b, (5 * k + 5)::INT, 1)::INT, 1)), 'string_agg', '') AS payload_digest
+  FROM bits),
+latest AS (SELECT payload_digest, max(page_id) AS latest FROM coded GROUP BY payload_digest)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> latest THEN latest END AS refers_to
+FROM coded JOIN latest USING (payload_digest)""",
 }
