@@ -1,0 +1 @@
+"""Hybrid document search and index maintenance as Spark jobs."""
