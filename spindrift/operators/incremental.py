@@ -81,7 +81,7 @@ def put(cache: DataFrame, fresh: DataFrame, key: str, time: str) -> DataFrame:
     """The cache with fresh rows; of the same key the latest stays."""
     both = cache.unionByName(fresh)
     rest = [c for c in both.columns if c != key]
-    return both.groupBy(key).agg(F.max_by(F.struct(*rest), time).alias("x")).select(key, "x.*").select(*both.columns)
+    return both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(time).isNotNull(), F.col(time))).alias("x")).select(key, "x.*").select(*both.columns)
 
 
 def expire(cache: DataFrame, now_ts: float, days: float = 30.0, time: str = "created_at") -> DataFrame:

@@ -15,8 +15,9 @@ def _fields(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 def postings(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
     """(term, chunk_id, field, pos) from chunks; `fields` names the column of each field. Made row by row, without a shuffle."""
-    rows = _fields(chunks, fields).select("chunk_id", F.explode("fields").alias("f"))
-    return rows.select("chunk_id", "f.field", F.posexplode("f.tokens").alias("pos", "term")).select("term", "chunk_id", "field", "pos")
+    # The outer forms keep Spark from testing the arrays' sizes first, which would cut every text into tokens twice.
+    rows = _fields(chunks, fields).select("chunk_id", F.explode_outer("fields").alias("f"))
+    return rows.select("chunk_id", "f.field", F.posexplode_outer("f.tokens").alias("pos", "term")).where("term IS NOT NULL").select("term", "chunk_id", "field", "pos")
 
 
 def document_lengths(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:

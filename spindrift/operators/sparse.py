@@ -30,10 +30,13 @@ def match_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def occurrences(plans: DataFrame, postings: DataFrame) -> DataFrame:
     """(query_id, clause, alt, chunk_id, field, hits): how often each alternative occurs in each field."""
-    terms = match_terms(_query_terms(plans), postings.select("term").distinct())
+    asked = _query_terms(plans)
+    terms = match_terms(asked, postings.select("term").distinct())
     found = terms.join(postings, "term").where(~F.col("filename_only") | (F.col("field") == "filename"))
     same = ["query_id", "clause", "alt", "chunk_id", "field"]
     single = found.where("n_tokens = 1").groupBy(*same).agg(F.count(F.lit(1)).alias("hits"))
+    if asked.where("n_tokens > 1").isEmpty():
+        return single
     # A phrase occurs where all its tokens stand one after another.
     places = found.where("n_tokens > 1").select(*same, "n_tokens", (F.col("pos") - F.col("token_no")).alias("at"))
     phrase = places.groupBy(*same, "n_tokens", "at").count().where("count = n_tokens").groupBy(*same).agg(F.count(F.lit(1)).alias("hits"))
@@ -45,7 +48,8 @@ def bm25(plans: DataFrame, postings: DataFrame, lengths: DataFrame, stats: DataF
     weight = F.element_at(F.create_map(*(F.lit(x) for pair in weights for x in pair)), F.col("field"))
     alternatives = ["query_id", "clause", "alt"]
     hits = occurrences(plans, postings).groupBy(*alternatives, "chunk_id").agg(F.sum(F.col("hits") * weight).alias("f"))
-    spread = hits.groupBy(*alternatives).agg(F.count(F.lit(1)).alias("n_p")).crossJoin(F.broadcast(stats))  # stats is one row
+    # Counting f, which is never null, reads the same columns as the join below, so Spark shuffles the hits once for both.
+    spread = hits.groupBy(*alternatives).agg(F.count("f").alias("n_p")).crossJoin(F.broadcast(stats))  # stats is one row
     raw = F.log((F.col("n_chunks") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
     spread = spread.select(*alternatives, F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw).alias("idf"), "mean_length")
     norm = F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
