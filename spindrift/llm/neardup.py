@@ -33,10 +33,10 @@ U = np.uint64
 BANDS, ROWS = 32, 6
 #: Ticks of a unit of time.
 TICKS = float(1 << 32)
-#: The bit table of nodes that need their shingles: 2 ** 26 / 8 = 8 MB.
-BITS = 26
-#: Cells of each row of the sketch of candidates' shingles: 2 * 2 ** 26 / 8 = 16 MB are broadcast.
-SKETCH_BITS = 26
+#: The bit table of nodes that need their shingles: 2 ** 24 / 8 = 2 MB.
+BITS = 24
+#: Cells of each row of the sketch of candidates' shingles: 2 * 2 ** 25 / 8 = 8 MB are broadcast.
+SKETCH_BITS = 25
 
 
 def shingled(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +259,8 @@ def _links(docs: DataFrame, texts: DataFrame, text_col: str, size: int, threshol
     star = cut(_against_centres(members.where("node != c").select("c", "node").distinct(), shingles, sketch))
     links = star.where(F.col("similarity") >= threshold).select(F.col("c").alias("a"), F.col("node").alias("b"))
 
-    labelled = skew_join(members.where("node != c"), components(links), ["node"], "left").withColumn("label", F.coalesce("label", "node"))
+    # Labels need not be complete here: texts of one label are linked, and those of different labels are compared.
+    labelled = skew_join(members.where("node != c"), components(links, most_rounds=1), ["node"], "left").withColumn("label", F.coalesce("label", "node"))
     labelled = cut(labelled.select("band", "node", "n", "shared", "c", "label"))
     sums = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"))
     main = sums.groupBy("band").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
@@ -275,22 +276,25 @@ def _links(docs: DataFrame, texts: DataFrame, text_col: str, size: int, threshol
     return links.unionByName(found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) of every node with a link: the label is the least node of its component.
+def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """(node, label) of every node with a link: the label is the least node of its component, or with most_rounds one of its nodes.
 
     Each round takes the least label among a node and its neighbours and then the label's own label, so that the number
     of rounds grows with the logarithm of a component's diameter.
     """
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
+    rounds = 0
+    while rounds != most_rounds:
+        rounds += 1
         near = skew_join(both.withColumnRenamed("b", "node"), labels, ["node"], "inner").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
         out = cut(skew_join(step, jump, ["to"], "left").select("node", "was", F.least("to", F.coalesce("further", "to")).alias("label")))
         labels = out.select("node", "label")
-        if out.where("label != was").isEmpty():
-            return labels
+        if rounds != most_rounds and out.where("label != was").isEmpty():
+            break
+    return labels
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
