@@ -8,6 +8,7 @@ independent hashes) only the windows whose estimate says repeated, so no repeate
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,7 +150,7 @@ def _left(ids: pa.Array, part: np.ndarray, offs: np.ndarray, words: Words, start
 
 
 def _suspected(docs: DataFrame, id_col: str, text_col: str, size: int, sketch: Broadcast) -> DataFrame:
-    """The documents with a suspected window: doc_id, row_key, text."""
+    """The documents with a suspected window: doc_id, row_key, and the text packed, as it is going to be shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,10 +158,13 @@ def _suspected(docs: DataFrame, id_col: str, text_col: str, size: int, sketch: B
                 words = Words(data, offs, SPACED)
                 some = np.zeros(j - i, dtype=bool)
                 some[np.searchsorted(words.row_at, _suspects(words, size, sketch.value), "right") - 1] = True
-                yield batch.slice(i, j - i).filter(pa.array(some))
+                raw, rows = data.tobytes(), np.flatnonzero(some)
+                packed = [zlib.compress(raw[offs[k] : offs[k + 1]], 1) for k in rows.tolist()]
+                chosen = pa.array(i + rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen), pa.array(packed, type=pa.binary())], names=["doc_id", "row_key", "packed"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), "row_key", F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, row_key bigint, text string")
+    return docs.select(F.col(id_col).alias("doc_id"), "row_key", F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, row_key bigint, packed binary")
 
 
 def _unsuspected(docs: DataFrame, id_col: str, text_col: str, size: int, sketch: Broadcast) -> DataFrame:
@@ -180,11 +184,16 @@ def _unsuspected(docs: DataFrame, id_col: str, text_col: str, size: int, sketch:
 
 
 def _kept(joined: DataFrame, size: int, kind: str) -> DataFrame:
-    """doc_id, text and (null or) starts of repeated windows -> what is left."""
+    """doc_id, packed text and (null or) starts of repeated windows -> what is left."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = flat(batch.column(1))
+            for i in range(0, batch.num_rows, 1000):
+                yield batch.slice(i, 1000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            data, offs = flat(pa.array([zlib.decompress(x) for x in batch.column(1).to_pylist()], type=pa.large_binary()))
             marks = batch.column(2)
             mark_at = np.concatenate([[0], np.cumsum(marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
             places = marks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -212,5 +221,5 @@ def remove_repeats(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
     sketch = _sketch(docs, text_col, size)
     repeated = _counted(docs, text_col, size, sketch).where("n >= 2").select("h1", "h2")
     marks = skew_join(_places(docs, text_col, size, sketch), repeated, ["h1", "h2"], "left_semi").groupBy("row_key").agg(F.collect_list("pos").alias("starts"))
-    suspected = _suspected(docs, id_col, text_col, size, sketch).join(marks, "row_key", "left").select("doc_id", "text", "starts")
+    suspected = _suspected(docs, id_col, text_col, size, sketch).join(marks, "row_key", "left").select("doc_id", "packed", "starts")
     return _kept(suspected, size, kind).unionByName(_unsuspected(docs, id_col, text_col, size, sketch))
