@@ -94,7 +94,18 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "lang", "n_bytes", F.round("bits_per_byte", 4).alias("bits_per_byte"), "threshold", "kept")
 
 
-QUERIES = {"op8_html_text": op8_html_text, "op9_warc": op9_warc, "op7_chat_format": op7_chat_format, "op6_quality_rules": op6_quality_rules, "op10_quality_model": op10_quality_model, "op1_decontaminate": op1_decontaminate, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_near_duplicates": op4_near_duplicates, "op5_substring_dedup": op5_substring_dedup}
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_mixing": op2_mixing,
+    "op3_secrets": op3_secrets,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_chat_format": op7_chat_format,
+    "op8_html_text": op8_html_text,
+    "op9_warc": op9_warc,
+    "op10_quality_model": op10_quality_model,
+}
 
 #: What both tokenisations look like in DuckDB.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
