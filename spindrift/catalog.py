@@ -53,7 +53,7 @@ def inventory_scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CASE WHEN source LIKE 'src1%' AND source = 'src1' THEN doc_id || '.txt' ELSE source || '/' || doc_id || '.txt' END AS relative,
+SELECT doc_id, CASE WHEN source = 'src1' THEN doc_id || '.txt' ELSE source || '/' || doc_id || '.txt' END AS relative,
   CASE WHEN doc_id % 3 = 0 THEN 'text' WHEN doc_id % 3 = 1 THEN 'office' ELSE 'media' END AS kind FROM documents""")
 def relative_path_longest_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = files(spark, sf_dir)
@@ -156,7 +156,6 @@ VARIED = f"""base AS (SELECT item_id AS query_id, {words_sql('text')} AS w FROM
 varied AS (SELECT query_id, CASE query_id % 5 WHEN 0 THEN '"' || array_to_string(w[1:2], ' ') || '"' WHEN 1 THEN array_to_string(w[1:2], ' ') || '.txt' WHEN 2 THEN 'class ' || array_to_string(w[1:2], ' ')
   WHEN 3 THEN array_to_string(w[1:6], ' ') ELSE array_to_string(w[1:2], ' ') END AS q, query_id % 5 = 0 AS exact_focus, least(200, greatest(1, query_id * 7 + 40)) AS lim FROM base),
 typed AS (SELECT *, {TYPE_SQL} AS query_type FROM varied)"""
-BUDGET = " ".join(f"WHEN '{k}' THEN {{{i}}}" for i, k in enumerate(QUERY_TYPES))
 
 
 def _budget(place: int) -> str:
