@@ -29,8 +29,8 @@ ORDER = 5
 SHARD = 1 << 21
 #: Of the trusted documents, one in so many only sets thresholds.
 HELD_OUT = 4
-#: Thresholds: this quantile of trusted documents' bits per byte, and a margin.
-QUANTILE, MARGIN = 0.99, 0.25
+#: Thresholds: this quantile of held-out trusted documents' bits per byte, and what a caller may add to it.
+QUANTILE, MARGIN = 0.99, 0.0
 #: Bits per byte are sorted into bins of this width for quantiles.
 BIN = 0.001
 #: A document's mean is drawn to its language's median as if that many bytes more had been read.

@@ -1,6 +1,7 @@
 """Operators against brute force, on small tables with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -366,6 +367,17 @@ def test_quality_model(spark, docs, empty):
     assert quality_model.classify(empty, labels).count() == 0
 
 
+def test_quality_model_on_labels(spark):
+    """Kept shares by label: held-out trusted text sets the threshold, and nothing is added to it."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the given tables")
+    df, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    found = quality_model.classify(df, labels).join(labels, "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("double")).alias("share")).collect()
+    share = {(r.quality, r.toxic): r.share for r in found}
+    assert share[1, 0] > 0.99 and share[0, 0] < 0.05 and share[0, 1] < 0.05 and share[1, 1] < 0.7
+
+
 def test_kneser_ney_is_a_distribution(spark):
     """After any context, the probabilities of all bytes add up to one."""
     texts = ["banana band", "bandana", "an apple and a band", "nab a bean"] * 3 + ["xyz", ""]
