@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The n-grams are of bytes, so a key is the n-gram itself and nothing is hashed away. Their counts come from all trusted
-documents: each task adds up its own, Spark sums them, and continuation counts, contexts, discounts and probabilities of
+The n-grams are of bytes, so a key is the n-gram itself and nothing is hashed away. Their counts come from the trusted
+documents that don't set thresholds (three in four); with five bytes, their number stops growing with the text: each task adds up its own, Spark sums them, and continuation counts, contexts, discounts and probabilities of
 each order are joins and groupings of these counts. For scoring the model is taken apart into one additive value for each
 n-gram, so that it can be dealt into shards of bounded size: each shard is broadcast in turn and joined with the n-grams
 of all documents, and the partial sums are added up per document. A document is rejected if its bits per byte exceed the
