@@ -480,6 +480,19 @@ def inventory_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.union_inventories(left, right)
 
 
+@query("""
+WITH a AS (SELECT 'a' || doc_id AS filepath, doc_id::DOUBLE AS mtime FROM documents),
+b AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END || doc_id AS filepath, doc_id + 0.5 AS mtime FROM documents)
+SELECT coalesce(b.filepath, a.filepath) AS filepath, coalesce(b.mtime, a.mtime)::DOUBLE AS mtime, CASE WHEN b.filepath IS NULL THEN 'file' ELSE 'mweb' END AS source_type FROM a FULL JOIN b ON a.filepath = b.filepath""")
+def inventory_union_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on both sides: half of the right ones have the path of a left one and another time, half have other paths."""
+    rows = table(spark, sf_dir, "documents")
+    left = rows.select(F.concat(F.lit("a"), F.col("doc_id")).alias("filepath"), F.col("doc_id").cast("double").alias("mtime"), F.lit("file").alias("source_type"))
+    side = F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b")
+    right = rows.select(F.concat(side, F.col("doc_id")).alias("filepath"), (F.col("doc_id") + 0.5).cast("double").alias("mtime"), F.lit("mweb").alias("source_type"))
+    return incremental.union_inventories(left, right)
+
+
 # ---------------------------------------------------------------- notes
 
 

@@ -55,6 +55,14 @@ def test_changes_and_caches(spark):
     assert keys.a != keys.b
 
 
+def test_inventory_union_reads_all_documents(spark, tmp_path):
+    import __spark_entry__ as e
+
+    spark.range(2000).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.filepath: (r.mtime, r.source_type) for r in e.queries()["inventory_union_whole"](spark, str(tmp_path)).collect()}
+    assert got == {f"a{i}": (float(i), "file") for i in range(1, 2000, 2)} | {f"{'ba'[i % 2 == 0]}{i}": (i + 0.5, "mweb") for i in range(2000)}
+
+
 def test_inventory_and_formats(spark, tmp_path):
     docx = io.BytesIO()
     with zipfile.ZipFile(docx, "w") as z:
