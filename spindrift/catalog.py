@@ -664,3 +664,9 @@ def reverse_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, replace(replace(regexp_replace(substr(text, 1, 200), '(?i)(the|de|en)', '<mark>\\1</mark>', 'g'), chr(0), ''), chr(1), '') AS marked FROM documents""")
 def highlight_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.mark_terms(F.substring("text", 1, 200), ["de", "the", "en"]).alias("marked"))
+
+
+@query("""SELECT doc_id, replace(replace(regexp_replace(text, '(?i)(the|de|en)', '<mark>\\1</mark>', 'g'), chr(0), ''), chr(1), '') AS marked FROM documents""")
+def highlight_terms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms marked in whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.mark_terms(F.col("text"), ["de", "the", "en"]).alias("marked"))

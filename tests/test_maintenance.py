@@ -63,6 +63,14 @@ def test_inventory_union_reads_all_documents(spark, tmp_path):
     assert got == {f"a{i}": (float(i), "file") for i in range(1, 2000, 2)} | {f"{'ba'[i % 2 == 0]}{i}": (i + 0.5, "mweb") for i in range(2000)}
 
 
+def test_highlight_reaches_the_end_of_texts(spark, tmp_path):
+    import __spark_entry__ as e
+
+    spark.createDataFrame([(1, "x " * 5000 + "The end"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.marked for r in e.queries()["highlight_terms_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: "x " * 5000 + "<mark>The</mark> <mark>en</mark>d", 2: None}
+
+
 def test_inventory_and_formats(spark, tmp_path):
     docx = io.BytesIO()
     with zipfile.ZipFile(docx, "w") as z:
