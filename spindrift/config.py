@@ -9,7 +9,8 @@ from dataclasses import dataclass
 class Settings:
     chunk_size: int = 500
     chunk_overlap: int = 80
-    max_content: int = 20000
+    #: Characters of a text that are chunked, all if None. The reference takes 20,000.
+    max_content: int | None = None
     embed_max: int = 600
     score_threshold: float = 0.35
     sparse_top_k: int = 120

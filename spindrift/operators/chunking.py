@@ -116,7 +116,8 @@ def chunk_records(files: DataFrame, markdown: bool = False, settings: Settings =
     files has filepath, filename, source_type, mtime, ctime, content. Adds file_id, chunk_type, title_path, content, embedding_text and chunk_id.
     """
     own = files.select("filepath", "filename", "source_type", "mtime", "ctime", "content")
-    heads = F.array_distinct(headings(F.substring("content", 1, settings.max_content)))
+    read = F.col("content") if settings.max_content is None else F.substring("content", 1, settings.max_content)
+    heads = F.array_distinct(headings(read))
     tag = F.concat(F.lit("["), F.col("filename"), F.lit("]\n"))
     none = F.array().cast("array<string>")
     base = ["filepath", "filename", "source_type", "mtime", "ctime"]

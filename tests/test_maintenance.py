@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from spindrift.config import Settings
 from spindrift.functions import text
 from spindrift.operators import chunking, incremental, notes, requests
 from spindrift.sources import files
@@ -33,6 +34,16 @@ def test_markdown_sections(spark):
     assert [r.chunk_type for r in made if r.filename != "1.md"] == ["filename"] * 2 and len({r.chunk_id for r in made}) == len(made)
 
 
+def test_long_texts_are_chunked_to_their_end(spark):
+    doc = "word " * 6000 + "\n# Late\nlast"
+    rows = spark.createDataFrame([("/n/1.md", "1.md", "mweb", 1.0, 1.0, doc)], "filepath string, filename string, source_type string, mtime double, ctime double, content string")
+    for markdown in (False, True):
+        made = chunking.chunk_records(rows, markdown).collect()
+        assert any(r.chunk_type == "content" and r.content.endswith("last") for r in made) and any(r.chunk_type == "heading" and r.title_path == ["Late"] for r in made)
+        cut = chunking.chunk_records(rows, markdown, Settings(max_content=20000)).collect()
+        assert not any("last" in r.content or "Late" in r.content for r in cut) and len(cut) < len(made)
+
+
 STATE = "filepath string, mtime double, source_type string"
 
 
