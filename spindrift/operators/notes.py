@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import safe_filename
 
@@ -50,6 +55,30 @@ def split_front_matter(text: Column) -> Column:
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
-    """(folder, hash): one hash over each folder's files (folder, name, content_hash) in the order of their names."""
-    each = F.transform(F.array_sort(F.collect_list(F.struct("name", "content_hash"))), lambda x: F.concat(x["name"], F.lit(":"), x["content_hash"]))
-    return files.groupBy("folder").agg(F.sha2(F.array_join(each, "\n"), 256).alias("hash"))
+    """(folder, hash): one hash over each folder's files (folder, name, content_hash) in the order of their names.
+
+    Spark sorts the files, on disk if need be, and a running hash reads them; no folder is held in memory. Files without a name or hash don't count.
+    """
+    kind = files.schema["folder"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, state, lines = None, None, 0
+        for batch in batches:
+            done = []
+            for own, name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or own != folder:
+                    if state is not None:
+                        done.append((folder, state.hexdigest()))
+                    folder, state, lines = own, hashlib.sha256(), 0
+                if name is not None and content is not None:
+                    state.update((("\n" if lines else "") + f"{name}:{content}").encode())
+                    lines += 1
+            yield closed(done, batch.schema.field(0).type)
+        if state is not None:
+            yield closed([(folder, state.hexdigest())], batch.schema.field(0).type)
+
+    def closed(rows: list[tuple], of: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f for f, _ in rows], type=of), pa.array([h for _, h in rows], type=pa.string())], names=["folder", "hash"])
+
+    ordered = files.select("folder", F.col("name").cast("string"), F.col("content_hash").cast("string")).repartition("folder").sortWithinPartitions("folder", "name", "content_hash")
+    return ordered.mapInArrow(run, StructType([StructField("folder", kind), StructField("hash", StringType())]))

@@ -82,6 +82,17 @@ def test_highlight_reaches_the_end_of_texts(spark, tmp_path):
     assert got == {1: "x " * 5000 + "<mark>The</mark> <mark>en</mark>d", 2: None}
 
 
+def test_fingerprints_hold_no_folder_in_memory(spark):
+    import hashlib
+
+    rows = [(f, f"{i}.txt", f"h{i % 7}") for f, n in (("a", 30000), ("b", 3), (None, 5)) for i in range(n)] + [("a", None, "h"), ("c", "x", None)]
+    got = notes.fingerprints(spark.createDataFrame(rows, "folder string, name string, content_hash string").repartition(5))
+    want = {f: hashlib.sha256("\n".join(sorted(f"{n}:{h}" for g, n, h in rows if g == f and n and h)).encode()).hexdigest() for f in {r[0] for r in rows}}
+    made = [tuple(r) for r in got.collect()]
+    assert dict(made) == want and len(made) == len(want)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_inventory_and_formats(spark, tmp_path):
     docx = io.BytesIO()
     with zipfile.ZipFile(docx, "w") as z:
