@@ -306,15 +306,6 @@ def test_html(spark):
     assert (got[3], got[4], got[5], got[6]) == ("", "", "open ends", "") and html_text.extract(df.limit(0)).count() == 0
 
 
-def test_html_tree_on_its_table():
-    from spindrift.llm import tree
-
-    table = np.array(html_text.labelled(), dtype=float)
-    held = np.arange(len(table)) % 3 == 0
-    model = tree.fit(table[~held, :-1], table[~held, -1], depth=10)
-    assert ((tree.predict(model, table[held, :-1]) > 0.5) == table[held, -1]).mean() > 0.97
-
-
 # ------------------------------------------------------------------------------------------------ 9
 
 
