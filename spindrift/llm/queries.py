@@ -111,7 +111,44 @@ QUERIES = {
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: The kinds of op 3 as RE2 patterns: that of random strings takes whole runs, which are tested afterwards, as RE2 can't look around.
+FINDERS = {
+    "assign": (secrets.ASSIGN, 2, "length(v) >= 8"),
+    "access": (r"AKIA[A-Z0-9]+", 0, "length(v) >= 16"),
+    "hex": (r"[0-9a-f]+", 0, "length(v) >= 32"),
+    "identifier": (secrets.IDENTIFIER.replace("(?<![A-Za-z0-9_])", r"\b"), 0, "true"),
+    "random": (r"[A-Za-z0-9+/=_-]+", 0, "regexp_full_match(v, '[A-Za-z0-9+/]{40}')"),
+    "endpoint": (secrets.ENDPOINT.replace("(?<![A-Za-z0-9_])", r"\b"), 0, "true"),
+}
+
+
+def _finder(place: int, kind: str, pattern: str, group: int, test: str) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT r, '{kind}' AS kind, {place} AS place, start, start + length(m) AS stop FROM (
+  SELECT r, m[k] AS m, v[k] AS v, (sum(length(g[k]) + length(m[k])) OVER (PARTITION BY r ORDER BY k) - length(m[k]))::BIGINT AS start
+  FROM (SELECT r, regexp_extract_all(text, {quoted}, 0) AS m, regexp_extract_all(text, {quoted}, {group}) AS v, string_split_regex(text, {quoted}) AS g FROM docs), unnest(range(1, len(m) + 1)) AS u(k)) WHERE {test}"""
+
+
+def _near(role: str) -> str:
+    kinds = ", ".join(f"'{k}'" for k in secrets.KINDS if secrets.ROLES[k] == role)
+    return f"EXISTS (SELECT 1 FROM parts y WHERE y.r = x.r AND y.kind IN ({kinds}) AND y.start < x.stop + {secrets.SCOPE} AND x.start - {secrets.SCOPE} < y.stop)"
+
+
 ORACLE_SQL = {
+    "op3_secrets": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(_finder(n, k, *x) for n, (k, x) in enumerate(FINDERS.items()))}),
+parts AS (
+  SELECT * FROM found x WHERE place < 3 OR NOT EXISTS (SELECT 1 FROM found b WHERE b.r = x.r AND b.place < 3 AND b.start < x.stop AND x.start < b.stop)),
+linked AS (
+  SELECT * FROM parts x WHERE place < 3 OR kind = 'identifier' AND {_near("secret")} OR kind = 'random' AND ({_near("identifier")} OR {_near("endpoint")})
+    OR kind = 'endpoint' AND {_near("identifier")} AND {_near("secret")}),
+told AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) FILTER (place < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS spans
+  FROM linked GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN told USING (r)""",
     "op1_decontaminate": f"""
 WITH items AS (SELECT item_id, {WORDS} AS w FROM benchmark),
 windows AS (

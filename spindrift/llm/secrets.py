@@ -3,27 +3,32 @@
 Some parts of a credential are secrets by themselves (the base kinds). Others are weak: an identifier, a bare random string
 or an endpoint says little alone. Each weak part's scope, an interval around it, is joined with the intervals of the text's
 other parts, and the part is reported only if complementary parts lie in it. All parts belong to one text, so the join stays
-in the row and nothing is shuffled.
+in the row and nothing is shuffled. The spans of a kind are disjoint and sorted, so the join is a binary search for each weak
+part and kind, and offsets are prefix sums in log(n) rounds: a text costs its length and n * log(n) for its n parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed patterns of the base kinds, in the order of their listing.
+#: Fixed patterns of the base kinds, in the order of their listing. Runs are maximal, so those of access and hex may ask for
+#: their least lengths at once; an assignment that is too short still hides what it covers, so its value is measured afterwards.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
-#: A quick test for each kind; texts that fail it hold no match that counts.
-MAYBE = {"assign": r"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}", "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
+ACCESS = r"AKIA[A-Z0-9]{12,}"
+HEX = r"[0-9a-f]{32,}"
+LEAST_VALUE = 8
 #: Weak parts: an identifier given by name, a bare string of forty base-64 characters, a service's address.
-IDENTIFIER = r"\b(?:client|account|user|access[_-]?key)[_-]?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{4,}"
+IDENTIFIER = r"(?<![A-Za-z0-9_])(?:client|account|user|access[_-]?key)[_-]?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{4,}"
 RANDOM = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
-ENDPOINT = r"\bhttps?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/%-]*)?"
+ENDPOINT = r"(?<![A-Za-z0-9_])https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/%-]*)?"
 
+PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "identifier": IDENTIFIER, "random": RANDOM, "endpoint": ENDPOINT}
+#: A quick test for each kind; texts that fail it hold no match that counts.
+MAYBE = {
+    "assign": r"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}", "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}",
+    "identifier": r"id[\"']?\x20*[:=]", "random": RANDOM, "endpoint": r"https?://",
+}
 BASE = ("assign", "access", "hex")
 WEAK = ("identifier", "random", "endpoint")
 KINDS = (*BASE, *WEAK)
@@ -32,44 +37,59 @@ ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "identifie
 #: Code points between parts that may belong together.
 SCOPE = 300
 
-
-SPANS = "array<struct<kind:string,start:int,end:int>>"
+SPANS = "array<struct<start:int,end:int>>"
 REDACTED = "[REDACTED]"
+#: Code points of the pieces that redaction works on.
+PIECE = 1024
 
 
-def _places(pattern: str, kind: str, keep: Callable[[Column], Column] | None = None) -> Column:
-    """All matches as spans: the pieces that are left when the text is split at the matches tell where these lie."""
-    text = F.col("__text")
-    matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("own")))
-    spans = F.aggregate(
-        lengths,
-        F.array().cast(SPANS),
-        lambda acc, x: F.concat(acc, F.array(_span(kind, F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + x["gap"], x["own"]))),
-    )
-    if keep is None:
-        return spans
-    kept = F.zip_with(spans, keep(text), lambda s, k: F.struct(s.alias("span"), k.alias("keep")))
-    return F.transform(F.filter(kept, lambda x: x["keep"]), lambda x: x["span"])
+def _scanned(values: str, pick: str) -> Column:
+    """Running values of `pick`, a sum or maximum of x and y, over an array: each round doubles the reach.
 
+    SQL text, like the conditions below: Spark parses it at once, where a chain of Column calls would take seconds.
+    """
+    rounds = f"CASE WHEN size({values}) > 1 THEN sequence(0, CAST(ceil(log2(size({values}))) AS int)) ELSE CAST(array() AS array<int>) END"
+    step = pick.replace("y", "get(acc, i - shiftleft(1, k))")
+    return F.expr(f"aggregate({rounds}, {values}, (acc, k) -> transform(acc, (x, i) -> CASE WHEN i >= shiftleft(1, k) THEN {step} ELSE x END))")
 
-def _span(kind: str, start: Column, length: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + length).alias("end"))
+
+def _with_places(docs: DataFrame, text: Column, p: str) -> DataFrame:
+    """Adds the spans of each kind: the pieces that are left when the text is split at the matches tell where these lie.
+
+    Each step is a projection of its own, so that a pattern is searched once for each use and arrays are made once.
+    """
+    found, gaps = {}, {}
+    docs = docs.withColumns({f"{p}{kind}_maybe": text.rlike(test) for kind, test in MAYBE.items()})
+    for kind, pattern in PATTERNS.items():
+        some = F.col(f"{p}{kind}_maybe")
+        found[f"{p}{kind}_own"] = F.when(some, F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m)))
+        gaps[f"{p}{kind}_gap"] = F.when(some, F.transform(F.split(text, pattern, -1), lambda x: F.length(x)))
+    value = {f"{p}value": F.when(F.col(f"{p}assign_maybe"), F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= LEAST_VALUE))}
+    out = docs.withColumns(found | gaps | value)
+    out = out.withColumns({f"{p}{k}_both": F.zip_with(f"{p}{k}_own", F.slice(f"{p}{k}_gap", F.lit(1), F.size(f"{p}{k}_own")), lambda n, g: n + g) for k in KINDS})
+    out = out.withColumns({f"{p}{k}_end": _scanned(f"{p}{k}_both", "x + y") for k in KINDS})
+    spans = {f"{p}{k}": F.zip_with(f"{p}{k}_own", f"{p}{k}_end", lambda n, end: F.struct((end - n).alias("start"), end.alias("end"))) for k in KINDS}
+    kept = F.filter(F.zip_with(spans[f"{p}assign"], f"{p}value", lambda s, v: F.struct(s.alias("span"), v.alias("keep"))), lambda x: x["keep"])
+    spans[f"{p}assign"] = F.transform(kept, lambda x: x["span"])
+    none = F.array().cast(SPANS)
+    out = out.withColumns({k: F.coalesce(v, none) for k, v in spans.items()})
+    return out.drop(f"{p}value", *(f"{p}{k}_{x}" for k in KINDS for x in ("maybe", "own", "gap", "both", "end")))
 
 
-def _long_enough(pattern: str, group: int, least: int) -> Callable[[Column], Column]:
-    return lambda text: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m) >= least)
+def _reached(spans: str, low: str, high: str) -> str:
+    """Whether any of the sorted, disjoint spans reaches into (low, high): the last one that starts below high does, or none."""
+    below = f"get({spans}, shiftright(at.low + at.high, 1)).start < {high}"
+    halved = f"named_struct('low', IF({below}, shiftright(at.low + at.high, 1) + 1, at.low), 'high', IF({below}, at.high, shiftright(at.low + at.high, 1)))"
+    found = f"aggregate(sequence(0, CAST(ceil(log2(size({spans}))) AS int)), named_struct('low', 0, 'high', size({spans})), (at, round) -> IF(at.low >= at.high, at, {halved}), at -> at.low)"
+    return f"(size({spans}) > 0 AND coalesce(get({spans}, {found} - 1).end > {low}, false))"
 
 
-def _found() -> dict[str, Column]:
-    return {
-        "assign": _places(ASSIGN, "assign", _long_enough(ASSIGN, 2, 8)),
-        "access": _places(ACCESS, "access", _long_enough(ACCESS, 0, 16)),
-        "hex": _places(HEX, "hex", _long_enough(HEX, 0, 32)),
-        "identifier": _places(IDENTIFIER, "identifier"),
-        "random": _places(RANDOM, "random"),
-        "endpoint": _places(ENDPOINT, "endpoint"),
-    }
+def _own_prefix(docs: DataFrame) -> str:
+    """A prefix that no column of the table has."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE, text_col: str = "text") -> DataFrame:
@@ -83,44 +103,59 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, text_col: str = "text") ->
 
     `secrets` is an array of (kind, start, end) in code points, end exclusive, by start and then kind in the order above; spans of
     different kinds may overlap. Null and empty texts have none. Repeated rows are treated alike. An empty table gives an empty
-    result. All columns of the table stay; a column called `secrets` is replaced.
+    result. All columns of the table stay, whatever their names; only a column called `secrets` is replaced.
     """
-    none = F.array().cast(SPANS)
-    tests = MAYBE | {"identifier": IDENTIFIER, "random": RANDOM, "endpoint": r"https?://"}
-    out = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    out = out.withColumns({f"__{kind}": F.when(F.col("__text").rlike(tests[kind]), found).otherwise(none) for kind, found in _found().items()})
-    out = out.withColumn("__base", F.concat(*(f"__{k}" for k in BASE)))
-    for kind in WEAK:
-        apart = F.filter(f"__{kind}", lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        out = out.withColumn(f"__{kind}", F.when(F.size(f"__{kind}") > 0, apart).otherwise(none))
-
-    def near(x: Column, role: str) -> Column:
-        """Whether some part of that role reaches into the scope of x."""
-        held = F.concat(*(f"__{k}" for k in KINDS if ROLES[k] == role))
-        return F.exists(held, lambda y: (y["start"] < x["end"] + scope) & (x["start"] - scope < y["end"]))
-
-    report = {
-        "identifier": lambda x: near(x, "secret"),
-        "random": lambda x: near(x, "identifier") | near(x, "endpoint"),
-        "endpoint": lambda x: near(x, "identifier") & near(x, "secret"),
-    }
-    linked = [F.when(F.size(f"__{k}") > 0, F.filter(f"__{k}", test)).otherwise(none) for k, test in report.items()]
+    p = _own_prefix(docs)
+    out = _with_places(docs.withColumn(f"{p}text", F.coalesce(F.col(text_col), F.lit(""))), F.col(f"{p}text"), p)
+
+    def any_of(kinds: list[str], low: str, high: str) -> str:
+        return "(" + " OR ".join(_reached(p + k, low, high) for k in kinds) + ")"
+
+    def filtered(kind: str, test: str) -> Column:
+        return F.expr(f"CASE WHEN size({p}{kind}) > 0 THEN filter({p}{kind}, x -> {test}) ELSE {p}{kind} END")
+
+    out = out.withColumns({f"{p}{k}": filtered(k, "NOT " + any_of(list(BASE), "x.start", "x.end")) for k in WEAK})
+    # Whether some part of a role reaches into the scope of x.
+    near = {role: any_of([k for k in KINDS if ROLES[k] == role], f"x.start - {scope}", f"x.end + {scope}") for role in ("secret", "identifier", "endpoint")}
+    report = {"identifier": near["secret"], "random": f"({near['identifier']} OR {near['endpoint']})", "endpoint": f"({near['identifier']} AND {near['secret']})"}
+    linked = {k: filtered(k, test) for k, test in report.items()}
+
+    def placed(n: int, kind: str) -> Column:
+        return F.transform(linked.get(kind, F.col(p + kind)), lambda x: F.struct(x["start"].alias("start"), F.lit(n).alias("place"), x["end"].alias("end")))
+
     kinds = F.array(*(F.lit(k) for k in KINDS))
-    placed = F.transform(F.concat("__base", *linked), lambda x: F.struct(x["start"].alias("start"), F.array_position(kinds, x["kind"]).alias("place"), x["end"].alias("end")))
-    spans = F.transform(F.array_sort(placed), lambda x: F.struct(F.element_at(kinds, x["place"].cast("int")).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return out.withColumn("secrets", spans).drop("__text", "__base", *(f"__{k}" for k in KINDS))
+    ordered = F.transform(F.array_sort(F.concat(*(placed(n, k) for n, k in enumerate(KINDS)))), lambda x: F.struct(F.get(kinds, x["place"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return out.withColumn("secrets", ordered).drop(f"{p}text", *(f"{p}{k}" for k in KINDS))
 
 
 def redact(docs: DataFrame, scope: int = SCOPE, text_col: str = "text") -> DataFrame:
-    """The same rows and columns, with each secret (overlapping ones together) replaced in the text."""
-    text = F.col(text_col)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.when(s["start"] >= acc["at"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(REDACTED))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.concat(acc["out"], before).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    done = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    own = docs.withColumnRenamed("secrets", "__own_secrets") if "secrets" in docs.columns else docs
-    found = find_secrets(own, scope, text_col).withColumnRenamed("secrets", "__spans").withColumn(text_col, F.when(F.size("__spans") > 0, done).otherwise(text)).drop("__spans")
-    return found.withColumnRenamed("__own_secrets", "secrets").select(*docs.columns)
+    """The same rows and columns, with each secret (overlapping ones together) replaced in the text.
+
+    What is kept is cut out of pieces of PIECE code points, so that a text with many secrets isn't counted through for each.
+    """
+    p = _own_prefix(docs)
+    own = docs.withColumnRenamed("secrets", f"{p}own") if "secrets" in docs.columns else docs
+    out = find_secrets(own, scope, text_col)
+    some = F.size("secrets") > 0
+    out = out.withColumn(f"{p}own_ends", F.transform("secrets", lambda s: s["end"]))
+    ends = _scanned(f"{p}own_ends", "greatest(x, y)")
+    out = out.withColumns({f"{p}ends": F.when(some, ends), f"{p}pieces": F.when(some, F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))})
+    pieces, ends = F.col(f"{p}pieces"), F.col(f"{p}ends")
+
+    def cut(low: Column, high: Column) -> Column:
+        """The code points from low to high."""
+        first, last = (F.floor(x / PIECE).cast("int") for x in (low, high))
+        one = F.substring(F.get(pieces, first), low % PIECE + 1, high - low)
+        head = F.substring(F.get(pieces, first), low % PIECE + 1, F.lit(PIECE))
+        tail = F.coalesce(F.substring(F.get(pieces, last), F.lit(1), high % PIECE), F.lit(""))
+        between = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        return F.when(low >= high, F.lit("")).when(first == last, one).otherwise(F.concat(head, between, tail))
+
+    def step(s: Column, i: Column) -> Column:
+        """What stands between the secrets before and this one; nothing if they overlap."""
+        before = F.coalesce(F.get(ends, i - 1), F.lit(0))
+        return F.when(s["start"] >= before, F.concat(cut(before, s["start"]), F.lit(REDACTED))).otherwise(F.lit(""))
+
+    done = F.concat(F.array_join(F.transform("secrets", step), ""), cut(F.element_at(ends, -1), F.length(F.col(text_col))))
+    out = out.withColumn(text_col, F.when(some, done).otherwise(F.col(text_col))).drop("secrets", f"{p}own_ends", f"{p}ends", f"{p}pieces")
+    return out.withColumnRenamed(f"{p}own", "secrets").select(*(F.col(f"`{c}`") for c in docs.columns))
