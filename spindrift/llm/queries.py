@@ -57,8 +57,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
-    made = chat.format_conversations(turns.unionByName(extra))
-    back = made.select("*", chat.parse(F.col("formatted")).alias("turns"), F.array_join(chat.masked(F.col("formatted"), F.col("mask")), "").alias("loss"))
+    # Each text goes to the visitor as a typed part.
+    part = F.struct(F.lit("text").alias("type"), "text", F.lit(None).cast("string").alias("uri"), F.lit(None).cast("double").alias("size"))
+    made = chat.with_masked(chat.format_conversations(turns.unionByName(extra).withColumn("parts", F.array(part))))
+    back = made.select("*", chat.parse(F.col("formatted")).alias("turns"), F.array_join("learned", "").alias("loss"))
     each = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return back.select(
         "conv_id",

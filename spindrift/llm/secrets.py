@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import cut, own_prefix, pieces, scanned
+
 #: Fixed patterns of the base kinds, in the order of their listing. Runs are maximal, so those of access and hex may ask for
 #: their least lengths at once; an assignment that is too short still hides what it covers, so its value is measured afterwards.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,18 +41,6 @@ SCOPE = 300
 
 SPANS = "array<struct<start:int,end:int>>"
 REDACTED = "[REDACTED]"
-#: Code points of the pieces that redaction works on.
-PIECE = 1024
-
-
-def _scanned(values: str, pick: str) -> Column:
-    """Running values of `pick`, a sum or maximum of x and y, over an array: each round doubles the reach.
-
-    SQL text, like the conditions below: Spark parses it at once, where a chain of Column calls would take seconds.
-    """
-    rounds = f"CASE WHEN size({values}) > 1 THEN sequence(0, CAST(ceil(log2(size({values}))) AS int)) ELSE CAST(array() AS array<int>) END"
-    step = pick.replace("y", "get(acc, i - shiftleft(1, k))")
-    return F.expr(f"aggregate({rounds}, {values}, (acc, k) -> transform(acc, (x, i) -> CASE WHEN i >= shiftleft(1, k) THEN {step} ELSE x END))")
 
 
 def _with_places(docs: DataFrame, text: Column, p: str) -> DataFrame:
@@ -67,7 +57,7 @@ def _with_places(docs: DataFrame, text: Column, p: str) -> DataFrame:
     value = {f"{p}value": F.when(F.col(f"{p}assign_maybe"), F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= LEAST_VALUE))}
     out = docs.withColumns(found | gaps | value)
     out = out.withColumns({f"{p}{k}_both": F.zip_with(f"{p}{k}_own", F.slice(f"{p}{k}_gap", F.lit(1), F.size(f"{p}{k}_own")), lambda n, g: n + g) for k in KINDS})
-    out = out.withColumns({f"{p}{k}_end": _scanned(f"{p}{k}_both", "x + y") for k in KINDS})
+    out = out.withColumns({f"{p}{k}_end": scanned(f"{p}{k}_both", "x + y") for k in KINDS})
     spans = {f"{p}{k}": F.zip_with(f"{p}{k}_own", f"{p}{k}_end", lambda n, end: F.struct((end - n).alias("start"), end.alias("end"))) for k in KINDS}
     kept = F.filter(F.zip_with(spans[f"{p}assign"], f"{p}value", lambda s, v: F.struct(s.alias("span"), v.alias("keep"))), lambda x: x["keep"])
     spans[f"{p}assign"] = F.transform(kept, lambda x: x["span"])
@@ -84,14 +74,6 @@ def _reached(spans: str, low: str, high: str) -> str:
     return f"(size({spans}) > 0 AND coalesce(get({spans}, {found} - 1).end > {low}, false))"
 
 
-def _own_prefix(docs: DataFrame) -> str:
-    """A prefix that no column of the table has."""
-    prefix = "__"
-    while any(c.lower().startswith(prefix) for c in docs.columns):
-        prefix += "_"
-    return prefix
-
-
 def find_secrets(docs: DataFrame, scope: int = SCOPE, text_col: str = "text") -> DataFrame:
     """Adds `secrets` to each row: base matches, and weak candidates next to complementary parts.
 
@@ -105,7 +87,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, text_col: str = "text") ->
     different kinds may overlap. Null and empty texts have none. Repeated rows are treated alike. An empty table gives an empty
     result. All columns of the table stay, whatever their names; only a column called `secrets` is replaced.
     """
-    p = _own_prefix(docs)
+    p = own_prefix(docs.columns)
     out = _with_places(docs.withColumn(f"{p}text", F.coalesce(F.col(text_col), F.lit(""))), F.col(f"{p}text"), p)
 
     def any_of(kinds: list[str], low: str, high: str) -> str:
@@ -131,31 +113,17 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, text_col: str = "text") ->
 def redact(docs: DataFrame, scope: int = SCOPE, text_col: str = "text") -> DataFrame:
     """The same rows and columns, with each secret (overlapping ones together) replaced in the text.
 
-    What is kept is cut out of pieces of PIECE code points, so that a text with many secrets isn't counted through for each.
+    What is kept is cut out of short pieces of the text, so that a text with many secrets isn't counted through for each.
     """
-    p = _own_prefix(docs)
+    p = own_prefix(docs.columns)
     own = docs.withColumnRenamed("secrets", f"{p}own") if "secrets" in docs.columns else docs
     out = find_secrets(own, scope, text_col)
     some = F.size("secrets") > 0
     out = out.withColumn(f"{p}own_ends", F.transform("secrets", lambda s: s["end"]))
-    ends = _scanned(f"{p}own_ends", "greatest(x, y)")
-    out = out.withColumns({f"{p}ends": F.when(some, ends), f"{p}pieces": F.when(some, F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))})
-    pieces, ends = F.col(f"{p}pieces"), F.col(f"{p}ends")
-
-    def cut(low: Column, high: Column) -> Column:
-        """The code points from low to high."""
-        first, last = (F.floor(x / PIECE).cast("int") for x in (low, high))
-        one = F.substring(F.get(pieces, first), low % PIECE + 1, high - low)
-        head = F.substring(F.get(pieces, first), low % PIECE + 1, F.lit(PIECE))
-        tail = F.coalesce(F.substring(F.get(pieces, last), F.lit(1), high % PIECE), F.lit(""))
-        between = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
-        return F.when(low >= high, F.lit("")).when(first == last, one).otherwise(F.concat(head, between, tail))
-
-    def step(s: Column, i: Column) -> Column:
-        """What stands between the secrets before and this one; nothing if they overlap."""
-        before = F.coalesce(F.get(ends, i - 1), F.lit(0))
-        return F.when(s["start"] >= before, F.concat(cut(before, s["start"]), F.lit(REDACTED))).otherwise(F.lit(""))
-
-    done = F.concat(F.array_join(F.transform("secrets", step), ""), cut(F.element_at(ends, -1), F.length(F.col(text_col))))
+    out = out.withColumns({f"{p}ends": F.when(some, scanned(f"{p}own_ends", "greatest(x, y)")), f"{p}pieces": F.when(some, pieces(F.col(text_col)))})
+    # What stands between the secrets before and each one, and its mark; nothing if they overlap.
+    before = f"coalesce(get({p}ends, i - 1), 0)"
+    steps = f"transform(secrets, (s, i) -> CASE WHEN s.start >= {before} THEN concat({cut(f'{p}pieces', before, 's.start')}, '{REDACTED}') ELSE '' END)"
+    done = F.expr(f"concat(array_join({steps}, ''), {cut(f'{p}pieces', f'element_at({p}ends, -1)', f'length(`{text_col}`)')})")
     out = out.withColumn(text_col, F.when(some, done).otherwise(F.col(text_col))).drop("secrets", f"{p}own_ends", f"{p}ends", f"{p}pieces")
     return out.withColumnRenamed(f"{p}own", "secrets").select(*(F.col(f"`{c}`") for c in docs.columns))
