@@ -333,7 +333,7 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/ b\r\n", "same é"), (5, "http://b/", "same é"), (3, "http://c/", "same é"), (4, None, odd), (6, "u", None), (7, "u", ""), (8, "u", "x" * 200_000), (5, "http://b/", "same é"), (None, "n", "same é")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     path = str(tmp_path / "warc")
-    warc.write_archives(pages, path, records_per_file=5)
+    warc.write_archives(pages, path, file_bytes=2000)
     records = warc.read_archives(spark, path)
     assert records.groupBy("type").count().count() == 4 and records.count() == 3 * len(rows)
     got = warc.assemble(records).collect()
@@ -353,6 +353,33 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, short).where("type = 'revisit'").count() == 0
 
 
+def test_warc_files_and_damage(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(i, "u", f"page {i} " + "é" * (i * 500)) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "cut")
+    warc.write_archives(pages, path, file_bytes=100_000)
+    files = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.startswith("part-")]
+    plain = [gzip.decompress(open(f, "rb").read()) for f in files]
+    assert len(files) > 5 and max(map(len, plain)) < 100_000 + 2 * 60 * 500 + 5_000
+    assert warc.read_archives(spark, path).count() == 180
+    whole = max(plain, key=len)
+    want = list(warc.parse_archive(whole))
+    assert list(warc.parse_archive(gzip.compress(whole))) == want
+    for cut in (0, 3, 100, len(whole) // 2, len(whole) - 5):
+        got = list(warc.parse_archive(whole[:cut]))
+        assert got == want[: len(got)] and list(warc.parse_archive(gzip.compress(whole[:cut]))) == got
+        packed = gzip.compress(whole)
+        part = list(warc.parse_archive(packed[: len(packed) * cut // len(whole)]))
+        assert part == want[: len(part)]
+    broken = whole.replace(b"Content-Length: ", b"Content-Length: x", 1)
+    assert list(warc.parse_archive(broken)) == want[1:]
+    record = spark.createDataFrame([("request", "a", None), ("response", None, None), ("metadata", "b", "gone"), ("response", "c", None), ("request", "r2", "c"), ("request", "r1", "c")], "type string, record_id string, concurrent_to string")
+    columns = {"target_uri": "string", "digest": "string", "refers_to": "string", "payload": "binary", "fields": "map<string,string>"}
+    made = warc.assemble(record.withColumns({k: F.lit(None).cast(t) for k, t in columns.items()})).collect()
+    assert [(r.capture_id, r.request.record_id, r.metadata) for r in made] == [("c", "r1", None)]
+
+
 # ------------------------------------------------------------------------------------------------ 10
 
 
