@@ -1,8 +1,9 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
 A window of `window` item words occurs in a document only if all of its word shingles do. Shingles are ordered by how
-often they occur in the documents, and only the rarest one of each window, its necessary prefix, takes part in the join.
-The window's length and the prefix's offset bound where it can lie; each candidate is then compared word by word.
+often they occur in the documents, and only the rarest one of each window, its necessary prefix, names candidates. Where a
+document holds a prefix, the prefix's offset and the window's length bound where a window can lie, and the document's own
+words there are joined with the windows, so that windows are compared word by word and nothing rests on hashes.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitmaps
-from .kernels import ALNUM, Words, as_long, flat, in_row, lists, slices, window_hashes
+from .checkpoints import cut
+from .joins import skew_join
+from .kernels import ALNUM, LOWER, Words, as_long, flat, in_row, lists, slices, window_hashes
 
 #: Cells of the bit tables of benchmark shingles: 2 ** 24 / 8 = 2 MB are broadcast, however large the benchmark is.
 BITS = 24
@@ -25,38 +28,41 @@ def text_key(*columns: str) -> F.Column:
     return F.xxhash64(*columns)
 
 
+def _joined(raw: bytes, words: Words, lo: int, hi: int) -> str:
+    """The words from lo to hi of a slice whose bytes are lower-cased, joined by spaces."""
+    return b" ".join(raw[a:b] for a, b in zip(words.starts[lo:hi].tolist(), words.ends[lo:hi].tolist(), strict=True)).decode()
+
+
 def _windows(benchmark: DataFrame, window: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """Distinct windows of each item: item, words (hashes) and its shingles as structs of hash, offset and length."""
+    """Distinct windows of each item: item, words (joined by spaces), size, and the shingles as structs of hash, offset and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, _, data, offs in slices(*flat(batch.column(1))):
-                words = Words(data, offs, ALNUM, lower=True)
+                words, raw = Words(data, offs, ALNUM, lower=True), LOWER[data].tobytes()
                 items, rows = [], []
-                for k, (lo, hi) in enumerate(zip(words.row_at[:-1], words.row_at[1:], strict=True)):
-                    h = words.hash[lo:hi]
-                    size = min(window, len(h))
+                for k, (lo, hi) in enumerate(zip(words.row_at[:-1].tolist(), words.row_at[1:].tolist(), strict=True)):
+                    size = min(window, hi - lo)
                     step = min(shingle, size)
                     if not size:
                         continue
-                    sh = window_hashes(h, step).view(np.int64)
-                    h = h.view(np.int64)
-                    for s in range(len(h) - size + 1):
+                    sh = window_hashes(words.hash[lo:hi], step).view(np.int64).tolist()
+                    for s in range(hi - lo - size + 1):
                         items.append(i + k)
-                        rows.append((h[s : s + size].tolist(), [{"sh": int(sh[s + o]), "off": o, "n": step} for o in range(size - step + 1)]))
+                        rows.append((_joined(raw, words, lo + s, lo + s + size), size, [{"sh": sh[s + o], "off": o, "n": step} for o in range(size - step + 1)]))
                 if rows:
-                    out = pa.RecordBatch.from_arrays(
+                    yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(pa.array(items)),
-                            pa.array([r[0] for r in rows], type=pa.list_(pa.int64())),
-                            pa.array([r[1] for r in rows], type=pa.list_(pa.struct([("sh", pa.int64()), ("off", pa.int32()), ("n", pa.int32())]))),
+                            pa.array([r[0] for r in rows], type=pa.string()),
+                            pa.array([r[1] for r in rows], type=pa.int32()),
+                            pa.array([r[2] for r in rows], type=pa.list_(pa.struct([("sh", pa.int64()), ("off", pa.int32()), ("n", pa.int32())]))),
                         ],
-                        names=["item_id", "words", "tokens"],
+                        names=["item_id", "words", "size", "tokens"],
                     )
-                    yield out
 
     kind = benchmark.schema[id_col].dataType.simpleString()
-    schema = f"item_id {kind}, words array<bigint>, tokens array<struct<sh:bigint,off:int,n:int>>"
+    schema = f"item_id {kind}, words string, size int, tokens array<struct<sh:bigint,off:int,n:int>>"
     return benchmark.select(id_col, text_col).mapInArrow(run, schema).distinct()
 
 
@@ -78,59 +84,44 @@ def _shingle_counts(docs: DataFrame, tokens: DataFrame, lengths: list[int], text
 
 
 def _prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row for each distinct window: its rarest shingle with offset and length, its words and its items."""
+    """One row for each distinct window: its words and size, and its rarest shingle with offset and length."""
     by_window = Window.partitionBy("words").orderBy(F.coalesce("n_docs", F.lit(0)), "sh", "off")
-    distinct = windows.groupBy("words").agg(F.first("tokens").alias("tokens"), F.collect_set("item_id").alias("items"))
-    return (
-        distinct.select("words", "items", F.explode("tokens").alias("t"))
-        .select("words", "items", "t.*")
-        .join(counts, "sh", "left")
-        .withColumn("k", F.row_number().over(by_window))
-        .where("k = 1")
-        .select("sh", "off", "n", "words", "items")
-    )
+    distinct = windows.groupBy("words", "size").agg(F.first("tokens").alias("tokens"))
+    each = distinct.select("words", "size", F.explode("tokens").alias("t")).select("words", "size", "t.*")
+    return each.join(counts, "sh", "left").withColumn("k", F.row_number().over(by_window)).where("k = 1").select("words", "size", "sh", "off", "n")
 
 
-def _candidates(docs: DataFrame, prefixes: DataFrame, lengths: list[int], window: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: its number of words, and the places (with the words around them) that may hold a prefix."""
+def _candidates(docs: DataFrame, prefixes: DataFrame, shapes: list[tuple[int, int, int]], id_col: str, text_col: str) -> DataFrame:
+    """One row per document: its number of words, and what windows would be there: (words, start, size) around each prefix it may hold."""
     table = bitmaps.broadcast_cells(prefixes.select(bitmaps.cell(F.col("sh"), BITS).alias("c")), "c", BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offs in slices(*flat(batch.column(2))):
-                words = Words(data, offs, ALNUM, lower=True)
-                at, sh, size = [], [], []
-                for n in lengths:
-                    s = in_row(words.row_at, n)
-                    h = window_hashes(words.hash, n)[s]
-                    hit = bitmaps.probe(table.value, bitmaps.cells(h, BITS))
-                    at.append(s[hit])
-                    sh.append(h[hit])
-                    size.append(np.full(int(hit.sum()), n, dtype=np.int32))
-                at, sh, size = np.concatenate(at), np.concatenate(sh), np.concatenate(size)
-                order = np.argsort(at, kind="stable")
-                at, sh, size = at[order], sh[order], size[order]
-                row = np.searchsorted(words.row_at, at, "right") - 1
-                # Words from window - n before the shingle to window - 1 after its start, 0 outside of the document.
-                where = at[:, None] + np.arange(2 * window - 1)[None, :] - (window - size[:, None])
-                inside = (where >= words.row_at[row][:, None]) & (where < words.row_at[row + 1][:, None])
-                around = np.where(inside, words.hash[np.clip(where, 0, max(len(words.hash) - 1, 0))], 0) if len(at) else np.zeros((0, 2 * window - 1), dtype=np.uint64)
-                spots = pa.StructArray.from_arrays(
-                    [
-                        as_long(sh),
-                        pa.array((at - words.row_at[row]).astype(np.int32)),
-                        pa.array(size),
-                        lists(as_long(np.ascontiguousarray(around).reshape(-1)), np.arange(len(at) + 1) * (2 * window - 1)),
-                    ],
-                    names=["sh", "pos", "n", "around"],
+                words, raw = Words(data, offs, ALNUM, lower=True), None
+                found: set[tuple[int, int]] = set()
+                for n in sorted({n for n, _, _ in shapes}):
+                    at = in_row(words.row_at, n)
+                    at = at[bitmaps.probe(table.value, bitmaps.cells(window_hashes(words.hash, n)[at], BITS))]
+                    row = np.searchsorted(words.row_at, at, "right") - 1
+                    for _, off, size in (x for x in shapes if x[0] == n):
+                        start = at - off
+                        fits = (start >= words.row_at[row]) & (start + size <= words.row_at[row + 1])
+                        found.update((s, size) for s in start[fits].tolist())
+                spots = sorted(found)
+                raw = LOWER[data].tobytes() if spots else b""
+                starts = np.array([s for s, _ in spots], dtype=np.int64)
+                row = np.searchsorted(words.row_at, starts, "right") - 1
+                held = pa.StructArray.from_arrays(
+                    [pa.array([_joined(raw, words, s, s + size) for s, size in spots], type=pa.string()), pa.array(starts - words.row_at[row], type=pa.int64()), pa.array([size for _, size in spots], type=pa.int32())],
+                    names=["words", "start", "size"],
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(words.counts), lists(spots, np.searchsorted(row, np.arange(j - i + 1)))],
-                    names=["doc_id", "text_key", "n_words", "spots"],
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(words.counts), lists(held, np.searchsorted(row, np.arange(j - i + 1)))], names=["doc_id", "text_key", "n_words", "spots"]
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, text_key bigint, n_words bigint, spots array<struct<sh:bigint,pos:int,n:int,around:array<bigint>>>"
+    schema = f"doc_id {kind}, text_key bigint, n_words bigint, spots array<struct<words:string,start:bigint,size:int>>"
     return docs.select(id_col, text_key(text_col).alias("text_key"), text_col).mapInArrow(run, schema)
 
 
@@ -151,30 +142,16 @@ def find_contamination(
     windows = _windows(benchmark, window, shingle, item_col, item_text_col)
     tokens = windows.select(F.explode("tokens").alias("t")).select("t.*").distinct()
     lengths = sorted(r[0] for r in tokens.select("n").distinct().collect())  # at most `shingle` values
-    counts = _shingle_counts(docs, tokens, lengths, text_col) if len(lengths) else None
-    if counts is None:
-        lengths = [shingle]
-        counts = docs.sparkSession.createDataFrame([], "sh bigint, n_docs bigint")
-    prefixes = _prefixes(windows, counts)
-    found = _candidates(docs, prefixes, lengths, window, id_col, text_col)
-    # Documents without a candidate keep a row, under a key of their own so that they don't meet in one task.
-    spots = found.select("doc_id", "text_key", "n_words", F.posexplode_outer("spots").alias("k", "spot")).select(
-        "doc_id", "text_key", "n_words", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("spot.sh", F.xxhash64("doc_id", "text_key")).alias("sh"), "spot.pos", F.col("spot.n").alias("spot_n"), "spot.around"
-    )
-    index = prefixes.groupBy("sh").agg(F.collect_list(F.struct("n", "off", "words", "items")).alias("windows"))
-    joined = spots.join(index, "sh", "left").select("doc_id", "text_key", "n_words", "k", "pos", "spot_n", "around", F.posexplode_outer("windows").alias("j", "w"))
-    size = F.size("w.words")
-    start = F.col("pos") - F.col("w.off")
-    hit = (
-        (F.col("spot_n") == F.col("w.n"))
-        & (start >= 0)
-        & (start + size <= F.col("n_words"))
-        & (F.slice("around", F.lit(window) - F.col("w.n") - F.col("w.off") + 1, size) == F.col("w.words"))
-    )
-    per_document = joined.groupBy("doc_id", "text_key", "n_words").agg(
-        F.array_sort(F.collect_set(F.when(hit, F.struct(start.cast("long").alias("start"), (start + size).cast("long").alias("end"))))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("w.items"))))).alias("items"),
-        F.count_if((F.col("k") == 0) & (F.coalesce("j", F.lit(0)) == 0)).alias("copies"),  # repeated rows
+    counts = _shingle_counts(docs, tokens, lengths, text_col) if lengths else docs.sparkSession.createDataFrame([], "sh bigint, n_docs bigint")
+    prefixes = cut(_prefixes(windows, counts))
+    shapes = sorted(tuple(r) for r in prefixes.select("n", "off", "size").distinct().collect())  # at most window * window values
+    found = cut(_candidates(docs, prefixes, shapes, id_col, text_col))
+    spots = found.where("size(spots) > 0").select("doc_id", "text_key", F.explode("spots").alias("spot")).select("doc_id", "text_key", "spot.*").distinct()
+    # A window that half of the documents hold is one key; neither that nor the number of its items makes a task of its own.
+    index = windows.groupBy("words").agg(F.collect_set("item_id").alias("items"))
+    hits = skew_join(spots, index, ["words"], "inner")
+    marked = hits.groupBy("doc_id", "text_key").agg(
+        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
     )
     # Spans in order of their starts: each adds the words after the furthest end so far.
     covered = F.aggregate(
@@ -182,10 +159,12 @@ def find_contamination(
         F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("to")),
         lambda acc, s: F.struct((acc["hit"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["start"], acc["to"]))).alias("hit"), F.greatest(acc["to"], s["end"]).alias("to")),
     )["hit"]
-    return (
-        per_document.withColumn("n_hit", covered)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .select("doc_id", "text_key", "n_words", "n_hit", "spans", "items")
+    marked = marked.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), covered.alias("n_hit"), "spans", "items")
+    own = found.select("doc_id", "text_key", "n_words")
+    kind = dict(marked.dtypes)
+    joined = own.join(marked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
+    return joined.select(
+        "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("spans", F.array().cast(kind["spans"])).alias("spans"), F.coalesce("items", F.array().cast(kind["items"])).alias("items")
     )
 
 
