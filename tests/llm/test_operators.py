@@ -400,7 +400,8 @@ def test_quality_model(spark, docs, empty):
     assert len(got) == df.count()
     plain = {i for i, t, *_ in rows if i is not None and t and not t.isupper()}
     assert not any(r.kept for r in got if (r.doc_id or 0) >= 1000) and all(r.kept for r in got if r.doc_id in plain and r.n_bytes > 200)
-    shards = {(r.doc_id, r.text_key, round(r.bits_per_byte, 4), r.kept) for r in quality_model.classify(df, labels, shard_rows=500).collect()}
+    shards = {(r.doc_id, r.text_key, round(r.bits_per_byte, 4), r.kept) for r in quality_model.classify(df, labels, frequent=300).collect()}
+    assert shards == {(r.doc_id, r.text_key, round(r.bits_per_byte, 4), r.kept) for r in quality_model.classify(df, labels, frequent=0).collect()}
     assert shards == {(r.doc_id, r.text_key, round(r.bits_per_byte, 4), r.kept) for r in got}
     kept = quality_model.keep_good(df, labels)
     assert kept.columns == df.columns and kept.count() == sum(r.kept for r in got)
@@ -427,7 +428,51 @@ def test_kneser_ney_is_a_distribution(spark):
     shard = (held["key"].to_numpy(), held["delta"].to_numpy(), held["back"].to_numpy())
     for context in (b"\n\n\n\n", b"band", b"\nana", b"zzzz", b"an a"):
         grams = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], dtype=np.uint64)
-        assert np.exp(quality_model._values(grams, shard) + common).sum() == pytest.approx(1, abs=1e-6)
+        assert np.exp(quality_model._values(grams, shard)[0] + common).sum() == pytest.approx(1, abs=1e-6)
+
+
+def perplexity_bits(trained, text, order=quality_model.ORDER):
+    """Minus log2 of a text's probability by the definition: modified Kneser-Ney, interpolated down to single bytes."""
+
+    def grams(t):
+        raw = b"\n" * (order - 1) + (t or "").encode() + b"\n"
+        return [raw[i : i + order] for i in range(len(raw) - order + 1)]
+
+    counts = {order: Counter(g for t in trained for g in grams(t))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discounts = {}
+    for k, c in counts.items():
+        n = [0, *(sum(v == i for v in c.values()) for i in (1, 2, 3, 4))]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
+        discounts[k] = [0.0, *(min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.0), float(i)) if n[i] else 0.5 for i in (1, 2, 3))]
+    after = {k: defaultdict(list) for k in counts}
+    for k, c in counts.items():
+        for g, v in c.items():
+            after[k][g[:-1]].append(v)
+
+    def p(context, byte, k):
+        if k == 0:
+            return 1 / 256
+        own = context[len(context) - k + 1 :]
+        followers = after[k].get(own)
+        if not followers:
+            return p(context, byte, k - 1)
+        c, total = counts[k].get(own + byte, 0), sum(followers)
+        weight = max(sum(discounts[k][min(v, 3)] for v in followers) / total, 1e-9)
+        return (c - discounts[k][min(c, 3)]) / total + weight * p(context, byte, k - 1)
+
+    return -sum(float(np.log2(p(g[:-1], g[-1:], order))) for g in grams(text))
+
+
+@pytest.mark.parametrize("frequent", [0, 40, 1 << 20])
+def test_scores_by_the_definition(spark, frequent):
+    trained = ["banana band", "bandana", "an apple and a band", "nab a bean", "é né"] * 2 + ["xyz", "", None]
+    asked = ["a band", "", None, "zzz é", "banana bandana " * 20, "\n\nx", "a band"]
+    model, common = quality_model.train(spark.createDataFrame([(t,) for t in trained], "text string"))
+    docs = spark.createDataFrame([(i % 6, t, "en") for i, t in enumerate(asked)], "doc_id long, text string, lang string")
+    got = sorted((r.doc_id, round(r.bits, 2), r.n_bytes) for r in quality_model.score(docs, model, common, "doc_id", "text", "lang", frequent).collect())
+    assert got == sorted((i % 6, pytest.approx(perplexity_bits(trained, t), abs=0.02), len((t or "").encode()) + 1) for i, t in enumerate(asked))
 
 
 # ------------------------------------------------------------------------------------------------ queries
