@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitmaps
+from .arrays import own_prefix
 from .checkpoints import cut
 from .joins import skew_join
 from .kernels import ALNUM, Words, _M1, as_long, flat, in_row, lists, mix, powers, slices, window_hashes
@@ -330,4 +331,5 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str
     keys = chosen.select(F.col("x.doc_id").alias("__keep_id"), F.col("x.text_key").alias("__keep_key"))
     kept = docs.join(keys, F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.xxhash64(text_col) == F.col("__keep_key")), "left_semi")
     same_row = Window.partitionBy(F.col(id_col), F.xxhash64(text_col)).orderBy(F.lit(0))
-    return kept.withColumn("__copy", F.row_number().over(same_row)).where("__copy = 1").drop("__copy")
+    copy = f"{own_prefix(docs.columns)}copy"
+    return kept.withColumn(copy, F.row_number().over(same_row)).where(F.col(copy) == 1).drop(copy)

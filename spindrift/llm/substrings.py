@@ -1,7 +1,7 @@
 """Exact removal of word sequences that repeat within or across documents.
 
 Pass 1 counts anchors in a count-min sketch. A window's anchor is its smallest `ANCHOR`-word hash, so that equal windows
-have equal anchors, and the sketch's estimate for the anchor never falls below the window's count. Each task sums a sparse
+have equal anchors, and the sketch's estimate for the anchor never falls below the window's count; there are far fewer anchors than windows. Each task sums a sparse
 sketch of its part of the documents, and Spark merges these cell by cell. Pass 2 groups exactly (by 96 bits of two
 independent hashes) only the windows whose estimate says repeated, so no repeated window is lost.
 """
@@ -216,10 +216,11 @@ def remove_repeats(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
     repeat each other and so lose all their windows. An empty table gives an empty result. Other columns aren't read.
     Ties don't occur: no copy is preferred, all lose the window.
     """
-    docs = docs.withColumn("row_key", F.xxhash64(id_col, text_col))
+    # Repeated rows share a key, and so a set of places, which is as long as their text at most.
+    docs = docs.select(id_col, text_col).withColumn("row_key", F.xxhash64(id_col, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
     sketch = _sketch(docs, text_col, size)
     repeated = _counted(docs, text_col, size, sketch).where("n >= 2").select("h1", "h2")
-    marks = skew_join(_places(docs, text_col, size, sketch), repeated, ["h1", "h2"], "left_semi").groupBy("row_key").agg(F.collect_list("pos").alias("starts"))
+    marks = skew_join(_places(docs, text_col, size, sketch), repeated, ["h1", "h2"], "left_semi").groupBy("row_key").agg(F.collect_set("pos").alias("starts"))
     suspected = _suspected(docs, id_col, text_col, size, sketch).join(marks, "row_key", "left").select("doc_id", "packed", "starts")
     return _kept(suspected, size, kind).unionByName(_unsuspected(docs, id_col, text_col, size, sketch))

@@ -194,6 +194,36 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.near_duplicates(docs).count() == docs.count()
 
 
+def test_near_duplicates_of_the_given_tables(spark):
+    """Every pair of similarity 0.8 or more of the documents of sf0.01 falls into one class, found by all pairs that share a shingle."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the given tables")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    bags, holders = {i: bag(t) for i, t in rows}, defaultdict(set)
+    for i, b in bags.items():
+        for x in b:
+            holders[x].add(i)
+    pairs = {(a, b) for ids in holders.values() if len(ids) > 1 for a in ids for b in ids if a < b}
+    size = {i: sum(b.values()) for i, b in bags.items()}
+    similar = [(a, b) for a, b in pairs if (shared := sum((bags[a] & bags[b]).values())) >= 0.8 * (size[a] + size[b] - shared)]
+    of = {r.doc_id: r.class_id for r in queries.op4_near_duplicates(spark, folder).collect()}
+    assert len(similar) > 50 and len(of) == len(rows) and all(of[a] == of[b] for a, b in similar)
+    groups_found, linked = defaultdict(set), defaultdict(set)
+    for i, c in of.items():
+        groups_found[c].add(i)
+    for a, b in similar:
+        linked[a].add(b)
+        linked[b].add(a)
+    assert all(len(g) == 1 or all(linked[i] & g or not bags[i] for i in g) for g in groups_found.values())
+
+
+def test_own_columns_survive(spark):
+    rows = [(1, "a b c d e f g", "mine"), (1, "a b c d e f g", "mine"), (2, "x y z", "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __copy string")
+    assert sorted(r["__copy"] for r in neardup.keep_one(df).collect()) == ["mine", "other"]
+
+
 def test_near_duplicates_in_large_groups(spark):
     """Copies whose similarities lie around the threshold, so that buckets hold several components and centres don't reach all."""
     pick = random.Random(8)
@@ -248,6 +278,17 @@ def test_substrings(docs, empty, size):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_substrings_of_repeated_rows_and_texts_over_a_slice(spark):
+    """Texts longer than a slice of the kernels, and one row many times."""
+    pick = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = " ".join(pick.choices(VOCABULARY, k=260_000))
+    rows = [(1, f"{long[:700_000]} {passage} {long[700_000:]}", "en", "a", 0), (2, f"x {passage} y", "en", "a", 0), *[(3, " ".join(f"r{i}" for i in range(300)), "en", "a", 0)] * 40]
+    assert len(rows[0][1]) > 1 << 20
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == left(rows, 35)
+
+
 # ------------------------------------------------------------------------------------------------ 6
 
 
@@ -263,7 +304,7 @@ def test_quality_rules(spark, docs, empty):
         assert r.n_symbols == sum(c in "#*$%&|<>" for c in t or "") and r.kept == (not r.failed_rules)
     good = "the plan of the team was to read a book and " + " ".join(f"word{i}" for i in range(60))
     judged = quality_rules.judge(spark.createDataFrame([(good,), (good.replace(" ", "%%% "),)], "text string")).collect()
-    assert [r.failed_rules for r in judged] == [[], ["symbols per word", "stop words"]] or judged[1].kept is False
+    assert [r.failed_rules for r in judged] == [[], ["symbols per word", "stop words"]]
     assert quality_rules.judge(docs).count() == docs.count() and quality_rules.judge(empty).count() == 0
 
 
