@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from .config import MEDIA_EXTENSIONS, OFFICE_EXTENSIONS, QUERY_TYPES, SETTINGS,
 from .functions import text
 from .jobs import search as search_job
 from .operators import aggregate, chunking, dense, evaluate, fusion, incremental, index, notes, planner, requests, rerank, sparse
+from .sources import stored
 from .sources.tables import FIRST_TIME, files, passage_queries, table
 from .sources.tables import notes as note_files
 
@@ -198,11 +201,32 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, chunk_id, score, rank::INT AS rank FROM ranked WHERE rank <= {k}"""
 
 
-def _bm25(spark: SparkSession, sf_dir: str, queries: DataFrame, fields: dict[str, str], weights) -> tuple[DataFrame, DataFrame]:
-    chunks = _doc_chunks(spark, sf_dir)
-    postings = index.postings(chunks, fields)
-    lengths = index.document_lengths(chunks, fields)
-    return sparse.bm25(planner.plan(queries), postings, lengths, index.corpus_stats(chunks, lengths), weights), chunks
+INDEXED = {"filename": "filename", "path": "filepath", "content": "content"}
+_built: dict[tuple[str, str], str] = {}
+
+
+def _index_path(spark: SparkSession, sf_dir: str, again: bool = False) -> str:
+    """Where the documents' stored index lies. The first query of a session that needs it writes it; so does one after the table has changed."""
+    key = (spark.sparkContext.applicationId, stored.fingerprint(spark, f"{sf_dir}/documents.parquet"))
+    path = _built.get(key)
+    if again or path is None or not stored.exists(spark, f"{path}/totals/_SUCCESS"):
+        path = f"{stored.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        index.write(_doc_chunks(spark, sf_dir), INDEXED, path)
+        _built[key] = path
+    return path
+
+
+@query(f"""WITH {TOKENS} SELECT count(*) AS n_positions, count(DISTINCT (term, chunk_id)) AS n_terms, count(DISTINCT term) AS n_words, (SELECT count(*) FROM documents) AS n_chunks FROM tokens""")
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the stored index, also if there is one, and counts what it has of the content."""
+    held = index.read(spark, _index_path(spark, sf_dir, again=True)).of(["content"])
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = count(held.positions, "n_positions").crossJoin(count(held.terms, "n_terms")).crossJoin(count(held.vocabulary, "n_words"))
+    return parts.crossJoin(held.totals.select("n_chunks"))  # each is one row
+
+
+def _bm25(spark: SparkSession, sf_dir: str, queries: DataFrame, fields: list[str], weights) -> DataFrame:
+    return sparse.bm25(planner.plan(queries), index.read(spark, _index_path(spark, sf_dir)).of(fields), weights)
 
 
 def _two_words(spark: SparkSession) -> DataFrame:
@@ -218,12 +242,12 @@ def _ranked(rows: DataFrame, k: int) -> DataFrame:
 
 @query(bm25_sql(TWO, 20))
 def bm25_and_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(_bm25(spark, sf_dir, _two_words(spark), {"content": "content"}, (("content", 1.0),))[0], 20)
+    return _ranked(_bm25(spark, sf_dir, _two_words(spark), ["content"], (("content", 1.0),)), 20)
 
 
 @query(bm25_sql(f"SELECT item_id AS query_id, array_to_string({words_sql('text')}[1:3], ' ') AS query FROM benchmark", 50))
 def bm25_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(_bm25(spark, sf_dir, passage_queries(spark, sf_dir), {"content": "content"}, (("content", 1.0),))[0], 50)
+    return _ranked(_bm25(spark, sf_dir, passage_queries(spark, sf_dir), ["content"], (("content", 1.0),)), 50)
 
 
 FIELDED = "SELECT * FROM (VALUES (1, 'src3 the'), (2, 'txt 12'), (3, 'corpus src1 of')) AS v(query_id, query)"
@@ -232,14 +256,13 @@ FIELDED = "SELECT * FROM (VALUES (1, 'src3 the'), (2, 'txt 12'), (3, 'corpus src
 @query(bm25_sql(FIELDED, 30, weights={"filename": 8.0, "path": 3.0, "content": 1.0}))
 def bm25_fielded_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = spark.createDataFrame([(1, "src3 the"), (2, "txt 12"), (3, "corpus src1 of")], "query_id bigint, query string")
-    fields = {"filename": "filename", "path": "filepath", "content": "content"}
-    return _ranked(_bm25(spark, sf_dir, queries, fields, SETTINGS.field_weights)[0], 30)
+    return _ranked(_bm25(spark, sf_dir, queries, list(INDEXED), SETTINGS.field_weights), 30)
 
 
 @query(bm25_sql(TWO, 20, keep=f"{FIRST_TIME} + 3600.0 * doc_id BETWEEN {FIRST_TIME + 360000} AND {FIRST_TIME + 1800000} AND contains('/corpus/' || source || '/' || doc_id || '.txt', '/src1')"))
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, chunks = _bm25(spark, sf_dir, _two_words(spark), {"content": "content"}, (("content", 1.0),))
-    return _ranked(sparse.filtered(scored, chunks, "file", "mtime", FIRST_TIME + 360000, FIRST_TIME + 1800000, "/SRC1"), 20)
+    scored = _bm25(spark, sf_dir, _two_words(spark), ["content"], (("content", 1.0),))
+    return _ranked(sparse.filtered(scored, _doc_chunks(spark, sf_dir), "file", "mtime", FIRST_TIME + 360000, FIRST_TIME + 1800000, "/SRC1"), 20)
 
 
 # ---------------------------------------------------------------- vectors, fusion, files
@@ -272,7 +295,7 @@ def dense_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _both_branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Keyword and vector hits of passage queries, where a query's vector is that of its number."""
     queries = passage_queries(spark, sf_dir, 2)
-    words = _ranked(_bm25(spark, sf_dir, queries, {"content": "content"}, (("content", 1.0),))[0], 120)
+    words = _ranked(_bm25(spark, sf_dir, queries, ["content"], (("content", 1.0),)), 120)
     rows = _vectors(spark, sf_dir)
     asked = queries.join(rows, queries.query_id == rows.chunk_id).select("query_id", "embedding")
     return planner.plan(queries), words, dense.nearest(asked, rows, 120)
@@ -293,11 +316,16 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse(words, near, plans).select("query_id", "chunk_id", "sparse_rank", "dense_rank", F.round("fusion_score", 9).alias("fusion_score"), "fused_rank")
 
 
+def _file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents make one file here, so that files have several chunks."""
+    kind = F.element_at(F.array(F.lit("content"), F.lit("heading"), F.lit("filename")), (F.col("chunk_id") % 3 + 1).cast("int"))
+    return _doc_chunks(spark, sf_dir).withColumns({"file_id": F.concat(F.lit("f"), F.floor(F.col("chunk_id") / 10)), "chunk_type": kind})
+
+
 def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Fused hits with their content; ten documents make one file here, so that files have several chunks."""
+    """Fused hits with their content."""
     plans, words, near = _both_branches(spark, sf_dir)
-    chunks = _doc_chunks(spark, sf_dir).withColumns({"file_id": F.concat(F.lit("f"), F.floor(F.col("chunk_id") / 10)), "chunk_type": F.element_at(F.array(F.lit("content"), F.lit("heading"), F.lit("filename")), (F.col("chunk_id") % 3 + 1).cast("int"))})
-    return plans, fusion.fuse(words, near, plans).join(chunks.drop("source"), "chunk_id")
+    return plans, fusion.fuse(words, near, plans).join(_file_chunks(spark, sf_dir).drop("source"), "chunk_id")
 
 
 CANDIDATES = f"""{BRANCHES},
@@ -352,6 +380,42 @@ def threshold_limit_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.results(aggregate.file_scores(rerank.rerank(fused, plans), plans), plans).select("query_id", "rank", "file_key", "relevance")
 
 
+#: Filters by query: sources, dates of two kinds, parts of paths.
+FILTERED_BY = f"""(SELECT item_id AS query_id, CASE item_id % 7 WHEN 6 THEN 'mweb' WHEN 5 THEN 'file' ELSE 'all' END AS source, CASE item_id % 4 WHEN 1 THEN 'ctime' ELSE 'mtime' END AS date_field,
+  CASE WHEN item_id % 3 = 0 THEN {FIRST_TIME} + 3600.0 * 40 * (item_id % 5) END AS date_from, CASE WHEN item_id % 4 = 1 THEN {FIRST_TIME} + 3600.0 * 600 END AS date_to, CASE WHEN item_id % 2 = 0 THEN '/SRC1' END AS path_filter FROM benchmark)"""
+
+
+def _passes(query: str, chunk: str) -> str:
+    time = f"{FIRST_TIME} + 3600.0 * d.doc_id - CASE WHEN f.date_field = 'ctime' THEN 86400.0 ELSE 0.0 END"
+    return f"""EXISTS (SELECT 1 FROM documents d, {FILTERED_BY} f WHERE d.doc_id = {chunk} AND f.query_id = {query} AND f.source IN ('all', 'file')
+    AND (f.date_from IS NULL OR {time} >= f.date_from) AND (f.date_to IS NULL OR {time} <= f.date_to) AND (f.path_filter IS NULL OR contains(lower('/corpus/' || d.source || '/' || d.doc_id || '.txt'), lower(f.path_filter))))"""
+
+
+FILTERED_BRANCHES = BRANCHES.replace("WHERE m = (SELECT", f"WHERE {_passes('s.query_id', 's.chunk_id')} AND m = (SELECT").replace("WHERE a.vec_id % 1 = 0 AND", f"WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND {_passes('a.vec_id', 'b.vec_id')} AND")
+
+
+@query(f"""WITH {FILE_SCORES.replace(BRANCHES, FILTERED_BRANCHES)},
+over_threshold AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, file_key)::INT AS rank FROM scores WHERE score >= 0.35)
+SELECT query_id, rank, file_key, n_hits, round(score, 6) AS score FROM over_threshold WHERE rank <= 50""")
+def filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search over the stored index, where each query has filters of its own for both branches."""
+    k = F.col("query_id")
+    queries = passage_queries(spark, sf_dir, 2).withColumns(
+        {
+            "source": F.when(k % 7 == 6, "mweb").when(k % 7 == 5, "file").otherwise("all"),
+            "date_field": F.when(k % 4 == 1, "ctime").otherwise("mtime"),
+            "date_from": F.when(k % 3 == 0, FIRST_TIME + 3600.0 * 40 * (k % 5)),
+            "date_to": F.when(k % 4 == 1, F.lit(FIRST_TIME + 3600.0 * 600)),
+            "path_filter": F.when(k % 2 == 0, "/SRC1"),
+        }
+    )
+    rows = _vectors(spark, sf_dir)
+    asked = queries.join(rows, queries.query_id == rows.chunk_id).select("query_id", "embedding")
+    held = index.read(spark, _index_path(spark, sf_dir))
+    found = search_job.search(queries, _file_chunks(spark, sf_dir), rows, asked, stored=held, fields={"content": "content"})
+    return found.select("query_id", "rank", "file_key", "n_hits", F.round("score", 6).alias("score"))
+
+
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select(F.pmod("doc_id", F.lit(7)).alias("query_id"), "filepath", F.when(F.col("doc_id") % 11 != 0, F.col("mtime")).alias("mtime"), F.row_number().over(_by_query()).alias("rank"))
 
@@ -421,10 +485,10 @@ def deleted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {FILES}
-SELECT filepath, doc_id % 2 = 0 AND doc_id % 6 <> 4 AS hit, CASE WHEN doc_id % 2 = 0 AND doc_id % 6 <> 4 THEN substr(content, 1, 20) END AS chunk FROM files""")
+SELECT filepath, doc_id % 2 = 0 AND doc_id % 6 <> 4 AS hit, CASE WHEN doc_id % 2 = 0 AND doc_id % 6 <> 4 THEN content END AS chunk FROM files""")
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = files(spark, sf_dir)
-    cache = rows.where("doc_id % 2 = 0").select("filepath", (F.col("mtime") + F.when(F.col("doc_id") % 6 == 4, 1.0).otherwise(0.004)).alias("mtime"), F.array(F.substring("content", 1, 20)).alias("chunks"))
+    cache = rows.where("doc_id % 2 = 0").select("filepath", (F.col("mtime") + F.when(F.col("doc_id") % 6 == 4, 1.0).otherwise(0.004)).alias("mtime"), F.array("content").alias("chunks"))
     return incremental.cache_lookup(rows, cache).select("filepath", "hit", F.col("chunks")[0].alias("chunk"))
 
 
@@ -470,13 +534,15 @@ def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH a AS (SELECT doc_id, 'a' || (doc_id % 900) AS filepath, doc_id::DOUBLE AS mtime FROM documents WHERE doc_id % 2 = 0 AND doc_id < 900),
-b AS (SELECT 'a' || (doc_id % 900) AS filepath, doc_id + 0.5 AS mtime FROM documents WHERE doc_id % 3 = 0 AND doc_id < 900)
+WITH a AS (SELECT 'a' || doc_id AS filepath, doc_id::DOUBLE AS mtime FROM documents),
+b AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'c' END || doc_id AS filepath, doc_id + 0.5 AS mtime FROM documents)
 SELECT coalesce(b.filepath, a.filepath) AS filepath, coalesce(b.mtime, a.mtime)::DOUBLE AS mtime, CASE WHEN b.filepath IS NULL THEN 'file' ELSE 'mweb' END AS source_type FROM a FULL JOIN b ON a.filepath = b.filepath""")
 def inventory_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("doc_id < 900").select("doc_id", F.concat(F.lit("a"), F.col("doc_id") % 900).alias("filepath"))
-    left = rows.where("doc_id % 2 = 0").select("filepath", F.col("doc_id").cast("double").alias("mtime"), F.lit("file").alias("source_type"))
-    right = rows.where("doc_id % 3 = 0").select("filepath", (F.col("doc_id") + 0.5).cast("double").alias("mtime"), F.lit("mweb").alias("source_type"))
+    """All documents on both sides: a third of the right ones have the path of a left one."""
+    rows = table(spark, sf_dir, "documents")
+    left = rows.select(F.concat(F.lit("a"), "doc_id").alias("filepath"), F.col("doc_id").cast("double").alias("mtime"), F.lit("file").alias("source_type"))
+    side = F.when(F.col("doc_id") % 3 == 0, "a").otherwise("c")
+    right = rows.select(F.concat(side, "doc_id").alias("filepath"), (F.col("doc_id") + 0.5).cast("double").alias("mtime"), F.lit("mweb").alias("source_type"))
     return incremental.union_inventories(left, right)
 
 
@@ -525,11 +591,11 @@ def category_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH named AS (SELECT doc_id, '/out/' || lang AS folder, trim(regexp_replace(regexp_replace(substr(text, 1, 12), '[<>:"/\\\\|?*]', '_', 'g'), '\\s+', ' ', 'g')) AS t FROM documents),
+WITH named AS (SELECT doc_id, '/out/' || lang AS folder, substr(trim(regexp_replace(regexp_replace(text, '[<>:"/\\\\|?*]', '_', 'g'), '\\s+', ' ', 'g')), 1, 120) AS t FROM documents),
 placed AS (SELECT doc_id, folder || '/' || CASE WHEN t = '' THEN 'Untitled' ELSE t END AS base, row_number() OVER (PARTITION BY folder || '/' || CASE WHEN t = '' THEN 'Untitled' ELSE t END ORDER BY doc_id) - 1 AS k FROM named)
 SELECT doc_id, base || CASE WHEN k > 0 THEN '_' || k ELSE '' END || '.md' AS dest FROM placed""")
 def path_collision_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/out/"), F.col("lang")).alias("folder"), F.substring("text", 1, 12).alias("title"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/out/"), F.col("lang")).alias("folder"), F.col("text").alias("title"))
     return notes.target_paths(rows, ["doc_id"]).select("doc_id", "dest")
 
 
@@ -661,9 +727,9 @@ def reverse_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.reverse_map(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", "suppliers")
 
 
-@query("""SELECT doc_id, replace(replace(regexp_replace(substr(text, 1, 200), '(?i)(the|de|en)', '<mark>\\1</mark>', 'g'), chr(0), ''), chr(1), '') AS marked FROM documents""")
+@query("""SELECT doc_id, replace(replace(regexp_replace(text, '(?i)(the|de|en)', '<mark>\\1</mark>', 'g'), chr(0), ''), chr(1), '') AS marked FROM documents""")
 def highlight_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.mark_terms(F.substring("text", 1, 200), ["de", "the", "en"]).alias("marked"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.mark_terms(F.col("text"), ["de", "the", "en"]).alias("marked"))
 
 
 @query("""SELECT doc_id, replace(replace(regexp_replace(text, '(?i)(the|de|en)', '<mark>\\1</mark>', 'g'), chr(0), ''), chr(1), '') AS marked FROM documents""")

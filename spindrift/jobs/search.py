@@ -1,4 +1,4 @@
-"""The whole search: plans, both branches, fusion, reranking, files, results. Any number of queries is one Spark plan."""
+"""The whole search: plans, both branches, filters, fusion, reranking, files, results. Any number of queries is one Spark plan."""
 
 from __future__ import annotations
 
@@ -10,23 +10,34 @@ from ..operators import aggregate, dense, fusion, index, planner, rerank, sparse
 FIELDS = {"filename": "filename", "path": "filepath", "heading": "heading", "content": "content"}
 
 
-def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, scorer: rerank.Scorer | None = rerank.overlap_scorer, settings: Settings = SETTINGS) -> DataFrame:
-    """Results of all queries over chunks (chunk_id, file_id, filepath, filename, source_type, chunk_type, heading, title_path, content, mtime).
-
-    The vector branch is left out without vectors, and for queries of high exactness.
+def search(
+    queries: DataFrame,
+    chunks: DataFrame,
+    vectors: DataFrame | None = None,
+    query_vectors: DataFrame | None = None,
+    scorer: rerank.Scorer | None = rerank.overlap_scorer,
+    settings: Settings = SETTINGS,
+    stored: index.Index | None = None,
+    fields: dict[str, str] | None = None,
+) -> DataFrame:
+    """Results of all queries over chunks (chunk_id, file_id, filepath, filename, source_type, chunk_type, heading, title_path, content, mtime, ctime).
+
+    Queries may carry filters of their own (source, date_field, date_from, date_to, path_filter; see sparse.FILTERS), which narrow both
+    branches before their best hits are taken and never change the statistics. The vector branch is left out without vectors, and for queries
+    of high exactness. With `stored`, a stored index of the chunks, no text is cut into tokens; `fields` names the fields that are searched.
     """
     plans = planner.plan(queries, settings)
-    postings = index.postings(chunks, FIELDS)
-    lengths = index.document_lengths(chunks, FIELDS)
-    scored = sparse.bm25(plans, postings, lengths, index.corpus_stats(chunks, lengths), settings.field_weights)
+    fields = FIELDS if fields is None else fields
+    held = index.made(chunks, fields) if stored is None else stored.of(list(fields))
+    scored = sparse.filtered_by_query(sparse.bm25(plans, held, settings.field_weights), plans, chunks)
     words = sparse.top(scored.join(plans.select("query_id", "sparse_k"), "query_id"), "sparse_k").select("query_id", "chunk_id", "score", "rank")
     if vectors is None or query_vectors is None:
         near = words.limit(0)
     else:
-        asked = query_vectors.join(plans.where("exactness <> 'high'").select("query_id"), "query_id", "left_semi")
-        found = dense.nearest(asked, vectors, max(k for _, k, _, _ in QUERY_TYPES.values()))
+        own = [c for c in sparse.FILTERS if c in plans.columns]
+        asked = query_vectors.select("query_id", "embedding").join(plans.where("exactness <> 'high'").select("query_id", *own), "query_id")
+        found = dense.nearest(asked, vectors, max(k for _, k, _, _ in QUERY_TYPES.values()), files=chunks if own else None)
         near = found.join(plans.select("query_id", "dense_k"), "query_id").where("rank <= dense_k").select("query_id", "chunk_id", "score", "rank")
     fused = fusion.fuse(words, near, plans, settings).join(chunks.select("chunk_id", "file_id", "filepath", "filename", "chunk_type", "title_path", "content", "mtime"), "chunk_id")
     judged = rerank.rerank(fused, plans, scorer, settings)
     return aggregate.results(aggregate.file_scores(judged, plans, settings), plans, settings)
-

@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sparse import top
+from .sparse import FILTERS, query_filters, top
 
 #: Bytes of query vectors that are sent to the executors at once; more queries go in several blocks.
 BLOCK_BYTES = 32 << 20
+#: Most scores (queries times vectors) that a task holds at once: 32 MB.
+SCORES = 4 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -26,50 +29,95 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, files: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k most similar vectors of each query, score = max(0, cosine).
 
     queries has query_id and embedding, vectors has chunk_id and embedding, all of one length and not null. Blocks of queries
     visit all vectors; each task keeps the best k of its own rows, so k rows per query and task are shuffled. Scores are rounded
     to `digits` places, equal ones go by chunk_id. A zero vector is similar to nothing.
+
+    With `files` (chunk_id, source_type, mtime, ctime, filepath), only chunks that pass a query's own filters (see sparse.FILTERS) are
+    ranked: the filters work before the best k are chosen.
     """
     ids = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "chunk_id"))}
-    size = queries.selectExpr("count(*) AS n", "max(size(embedding)) AS d").first()
+    filters = query_filters(queries) if files is not None else None
+    if filters is not None:
+        vectors = vectors.join(files.select("chunk_id", "source_type", F.col("mtime").cast("double"), F.col("ctime").cast("double"), "filepath"), "chunk_id")
+    kept = ["query_id", "embedding"] + (list(FILTERS) if filters is not None else [])
+    asked = queries if filters is None else queries.select("query_id", "embedding").join(filters, "query_id")
+    size = asked.selectExpr("count(*) AS n", "max(size(embedding)) AS d").first()
     per_block = max(1, BLOCK_BYTES // (8 * (size["d"] or 1)))
     blocks = max(1, -(-size["n"] // per_block))
     found = None
     for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding").toArrow().combine_chunks()
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select(*kept).toArrow().combine_chunks()
         if part.num_rows:
-            sent = vectors.sparkSession.sparkContext.broadcast((part["query_id"].combine_chunks(), _unit(_matrix(part["embedding"].combine_chunks()))))
-            own = _visit(vectors, sent, k, digits, ids)
+            held = {c: part[c].combine_chunks() for c in kept if c != "embedding"}
+            sent = vectors.sparkSession.sparkContext.broadcast((held, _unit(_matrix(part["embedding"].combine_chunks()))))
+            own = _visit(vectors, sent, k, digits, ids, filters is not None)
             found = own if found is None else found.unionByName(own)
     if found is None:
         found = queries.sparkSession.createDataFrame([], f"query_id {ids['query_id']}, chunk_id {ids['chunk_id']}, score double")
     return top(found, k, digits=digits)
 
 
-def _visit(vectors: DataFrame, queries: Broadcast, k: int, digits: int, ids: dict[str, str]) -> DataFrame:
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def _passing(asked: dict[str, pa.Array], files: dict[str, pa.Array]) -> np.ndarray:
+    """Which chunks pass which query's filters; a missing time passes no bound."""
+    source = np.array([s or "all" for s in asked["source"].to_pylist()], dtype=object)
+    kind = np.array(files["source_type"].to_pylist(), dtype=object)
+    ok = (source == "all")[:, None] | (source[:, None] == kind[None, :])
+    by_ctime = np.array([f == "ctime" for f in asked["date_field"].to_pylist()])
+    time = np.where(by_ctime[:, None], _numbers(files["ctime"])[None, :], _numbers(files["mtime"])[None, :])
+    for bound, test in (("date_from", np.greater_equal), ("date_to", np.less_equal)):
+        limit = _numbers(asked[bound])
+        ok &= np.isnan(limit)[:, None] | test(time, limit[:, None])
+    lower = pc.utf8_lower(files["filepath"].cast(pa.string()))
+    wanted = [p.lower() if p else None for p in asked["path_filter"].to_pylist()]
+    for part in set(wanted) - {None}:
+        holds = pc.fill_null(pc.match_substring(lower, part), False).to_numpy(zero_copy_only=False)
+        ok[np.array([p == part for p in wanted])] &= holds
+    return ok
+
+
+def _best(query: np.ndarray, score: np.ndarray, chunk: pa.Array, k: int) -> np.ndarray:
+    """Places of the best k of each query: by score, then by id."""
+    rank = pc.rank(chunk, sort_keys="ascending", tiebreaker="dense").to_numpy()
+    order = np.lexsort((rank, -score, query))
+    first = np.searchsorted(query[order], query[order], "left")
+    return order[np.arange(len(order)) - first < k]
+
+
+def _visit(vectors: DataFrame, queries: Broadcast, k: int, digits: int, ids: dict[str, str], filtered: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = queries.value
-        held = None
+        asked, matrix = queries.value
+        step = max(1, SCORES // max(1, len(matrix)))
+        query, score, chunk = np.zeros(0, dtype=np.int64), np.zeros(0), None
+        least = np.full(len(matrix), -1.0)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            score = np.round(np.maximum(0.0, matrix @ _unit(_matrix(batch.column(1))).T), digits)
-            ids_ = np.array(batch.column(0).to_pylist(), dtype=object)
-            own = (score, np.broadcast_to(ids_, score.shape))
-            if held is not None:
-                own = tuple(np.concatenate([a, b], axis=1) for a, b in zip(held, own, strict=True))
-            rank = np.argsort(np.argsort(own[1], axis=1, kind="stable"), axis=1) if own[0].shape[1] > k else None
-            if rank is not None:
-                order = np.lexsort((rank, -own[0]), axis=1)[:, :k]
-                own = tuple(np.take_along_axis(a, order, axis=1) for a in own)
-            held = own
-        if held is not None:
-            n = held[0].shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(np.repeat(np.arange(len(names)), n))), pa.array(held[1].reshape(-1).tolist()), pa.array(held[0].reshape(-1))], names=["query_id", "chunk_id", "score"]
-            )
-
-    return vectors.select("chunk_id", "embedding").mapInArrow(run, f"query_id {ids['query_id']}, chunk_id {ids['chunk_id']}, score double")
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                new = np.round(np.maximum(0.0, matrix @ _unit(_matrix(part.column(1))).T), digits)
+                # A query that has k already takes only what is no worse than its last.
+                take = new >= least[:, None]
+                if filtered:
+                    take &= _passing(asked, dict(zip(part.schema.names, part.columns, strict=True)))
+                q, c = np.nonzero(take)
+                if not len(q):
+                    continue
+                own = part.column(0).take(pa.array(c))
+                query, score, chunk = np.concatenate([query, q]), np.concatenate([score, new[q, c]]), own if chunk is None else pa.concat_arrays([chunk, own])
+                best = _best(query, score, chunk, k)
+                query, score, chunk = query[best], score[best], chunk.take(pa.array(best))
+                full = np.bincount(query, minlength=len(matrix)) >= k
+                lowest = np.full(len(matrix), np.inf)
+                np.minimum.at(lowest, query, score)
+                least = np.where(full, lowest, -1.0)
+        if chunk is not None and len(query):
+            yield pa.RecordBatch.from_arrays([asked["query_id"].take(pa.array(query)), chunk, pa.array(score)], names=["query_id", "chunk_id", "score"])
+
+    columns = ["chunk_id", "embedding", *(["source_type", "mtime", "ctime", "filepath"] if filtered else [])]
+    return vectors.select(*columns).mapInArrow(run, f"query_id {ids['query_id']}, chunk_id {ids['chunk_id']}, score double")

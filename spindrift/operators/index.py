@@ -1,8 +1,13 @@
-"""The inverted index: one row for each token of each field of each chunk, and the statistics of the whole corpus."""
+"""The inverted index: how often each term occurs in each field of each chunk, where, and the statistics of the whole corpus.
+
+It can be a plan over chunks (made) or tables whose files are sorted by term (write, read), of which a search reads the row groups of its terms.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import index_tokens
@@ -22,8 +27,18 @@ def postings(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 def document_lengths(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
     """(chunk_id, length) of chunks with any token: tokens over all fields, counted in place."""
-    total = F.aggregate("fields", F.lit(0).cast("long"), lambda n, f: n + F.size(f["tokens"]))
-    return _fields(chunks, fields).select("chunk_id", total.alias("length")).where("length > 0")
+    return _length(field_lengths(chunks, fields), list(fields))
+
+
+def field_lengths(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """chunk_id and a column n_<field> for each field: its tokens."""
+    rows = _fields(chunks, fields)
+    return rows.select("chunk_id", *(F.size(F.get("fields", F.lit(i))["tokens"]).cast("long").alias(f"n_{f}") for i, f in enumerate(fields)))
+
+
+def _length(lengths: DataFrame, fields: list[str]) -> DataFrame:
+    total = sum((F.col(f"n_{f}") for f in fields[1:]), F.col(f"n_{fields[0]}"))
+    return lengths.select("chunk_id", total.alias("length")).where("length > 0")
 
 
 def corpus_stats(chunks: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -37,6 +52,72 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count_distinct("chunk_id").alias("n_chunks"), F.count(F.lit(1)).alias("n_occurrences"))
 
 
-def write(postings: DataFrame, path: str, partitions: int) -> None:
-    """Stores the index sorted by term, so that a search reads only the row groups that may hold its terms."""
-    postings.repartitionByRange(partitions, "term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(path)
+@dataclass(frozen=True)
+class Index:
+    """terms (term, chunk_id, field, tf), positions (term, chunk_id, field, pos), vocabulary (term, fields), lengths (chunk_id, n_<field>),
+    totals (n_chunks and the tokens of each field, one row), and the fields that a search is about."""
+
+    terms: DataFrame
+    positions: DataFrame
+    vocabulary: DataFrame
+    lengths: DataFrame
+    totals: DataFrame
+    fields: tuple[str, ...]
+
+    def of(self, fields: list[str]) -> Index:
+        """The same index as if it had these fields only."""
+        some = F.col("field").isin(fields)
+        held = F.arrays_overlap("fields", F.array(*(F.lit(f) for f in fields)))
+        return Index(self.terms.where(some), self.positions.where(some), self.vocabulary.where(held), self.lengths, self.totals, tuple(fields))
+
+    def where_terms(self, test: F.Column) -> Index:
+        """Only terms that pass; the test reaches the scans."""
+        return Index(self.terms.where(test), self.positions.where(test), self.vocabulary.where(test), self.lengths, self.totals, self.fields)
+
+    def document_lengths(self) -> DataFrame:
+        return _length(self.lengths, list(self.fields))
+
+    def stats(self) -> DataFrame:
+        total = sum((F.col(f"n_{f}") for f in self.fields[1:]), F.col(f"n_{self.fields[0]}"))
+        return self.totals.select("n_chunks", (total / F.col("n_chunks")).alias("mean_length"))
+
+
+def _derived(positions: DataFrame, lengths: DataFrame, n_chunks: DataFrame, fields: dict[str, str]) -> Index:
+    terms = positions.groupBy("term", "chunk_id", "field").agg(F.count(F.lit(1)).alias("tf"))
+    words = positions.groupBy("term").agg(F.collect_set("field").alias("fields"))
+    totals = lengths.agg(*(F.coalesce(F.sum(f"n_{f}"), F.lit(0)).alias(f"n_{f}") for f in fields)).crossJoin(n_chunks)  # one row each
+    return Index(terms, positions, words, lengths, totals, tuple(fields))
+
+
+def _counted(chunks: DataFrame) -> DataFrame:
+    return chunks.agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+def made(chunks: DataFrame, fields: dict[str, str]) -> Index:
+    """The index of chunks as a plan."""
+    return _derived(postings(chunks, fields), field_lengths(chunks, fields), _counted(chunks), fields)
+
+
+def write(chunks: DataFrame, fields: dict[str, str], path: str, partitions: int | None = None) -> None:
+    """Stores the index of chunks. Each task sorts the tokens of its own chunks by term, so no term, however common, fills a task, and a
+    search reads in each file only the row groups that may hold its terms. Texts are cut into tokens once; the other tables come from the
+    positions. Chunks are dealt evenly first, as files of texts may be few and uneven."""
+    spark = chunks.sparkSession
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    dealt = chunks.select("chunk_id", *dict.fromkeys(fields.values())).repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    positions = stored(postings(dealt, fields).sortWithinPartitions("term", "chunk_id"), "positions")
+    lengths = stored(positions.groupBy("chunk_id").agg(*(F.count_if(F.col("field") == f).alias(f"n_{f}") for f in fields)), "lengths")
+    index = _derived(positions, lengths, _counted(chunks), fields)
+    terms = stored(index.terms.sortWithinPartitions("term", "chunk_id"), "terms")
+    stored(terms.groupBy("term").agg(F.collect_set("field").alias("fields")).sortWithinPartitions("term"), "vocabulary")
+    stored(index.totals, "totals")
+
+
+def read(spark: SparkSession, path: str) -> Index:
+    """A stored index, of all its fields."""
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("terms", "positions", "vocabulary", "lengths", "totals")}
+    return Index(**tables, fields=tuple(c.removeprefix("n_") for c in tables["lengths"].columns if c.startswith("n_")))

@@ -11,22 +11,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import safe_filename
+from ..sources.stored import cut
 
 
 def category_paths(categories: DataFrame, separator: str = "/") -> DataFrame:
-    """(uuid, path) of categories (uuid, pid, name): names from the top down.
+    """(uuid, path) of categories (uuid, pid, name): names from the top down, whatever the depth and number of categories.
 
-    Parents are followed step by step until none is left or one comes again. The tree's depth, not its size, sets the number of steps.
+    Each round doubles how far up a category knows its path, so the logarithm of the depth sets the number of joins. Categories whose
+    parents run in a circle are found first, by pointers alone; their paths, followed until a category comes again, are taken step by step.
     """
-    spark = categories.sparkSession
-    categories.select("uuid", "pid", "name").createOrReplaceTempView("__categories")
-    return spark.sql(f"""
-        WITH RECURSIVE up (uuid, next, path, seen) AS (
-          SELECT uuid, pid, name, array(uuid) FROM __categories
-          UNION ALL
-          SELECT up.uuid, c.pid, concat(c.name, '{separator}', up.path), concat(up.seen, array(c.uuid))
-          FROM up JOIN __categories c ON up.next = c.uuid AND NOT array_contains(up.seen, c.uuid))
-        SELECT uuid, max_by(path, size(seen)) AS path FROM up GROUP BY uuid""")
+    own = categories.select("uuid", "pid", "name")
+    known = own.select(F.col("uuid").alias("pid"))
+    linked = own.join(known, "pid", "left_semi").select("uuid", "pid")
+    base = cut(own.drop("pid").join(linked, "uuid", "left").select("uuid", F.col("pid").alias("next"), "name"))
+
+    pointers, reach, n = base.select("uuid", "next"), 1, base.count()
+    while reach <= n and not pointers.where("next IS NOT NULL").isEmpty():
+        further = pointers.select(F.col("uuid").alias("next"), F.col("next").alias("then"))
+        pointers, reach = cut(pointers.join(further, "next", "left").select("uuid", F.col("then").alias("next"))), 2 * reach
+    # Whoever still has someone above after n steps is in a circle or below one.
+    circling = pointers.where("next IS NOT NULL").select("uuid")
+
+    paths = base.join(circling, "uuid", "left_anti").select("uuid", "next", F.col("name").alias("path"))
+    while not paths.where("next IS NOT NULL").isEmpty():
+        above = paths.select(F.col("uuid").alias("next"), F.col("next").alias("then"), F.col("path").alias("upper"))
+        joined = paths.join(above, "next", "left")
+        paths = cut(joined.select("uuid", F.col("then").alias("next"), F.when(F.col("upper").isNull(), F.col("path")).otherwise(F.concat("upper", F.lit(separator), "path")).alias("path")))
+    if circling.isEmpty():
+        return paths.select("uuid", "path")
+    around = cut(base.join(circling, "uuid", "left_semi"))
+    step = around.select("uuid", "next", F.col("name").alias("path"), F.array("uuid").alias("seen"))
+    done = None
+    while True:
+        above = around.select(F.col("uuid").alias("up"), F.col("next").alias("then"), F.col("name").alias("upper"))
+        again = F.array_contains("seen", F.col("next"))
+        ended = step.where(again).select("uuid", "path")
+        done = ended if done is None else done.unionByName(ended)
+        going = step.where(~again)
+        if going.isEmpty():
+            return paths.select("uuid", "path").unionByName(done)
+        step = cut(going.join(above, F.col("next") == F.col("up")).select("uuid", F.col("then").alias("next"), F.concat("upper", F.lit(separator), "path").alias("path"), F.concat("seen", F.array("up")).alias("seen")))
 
 
 def grouped_names(articles: DataFrame, links: DataFrame, names: DataFrame, out: str) -> DataFrame:

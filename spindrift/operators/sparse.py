@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
+from .index import Index
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Query tokens that are written into the scans as a filter; more of them only join.
+PUSHED_TOKENS = 200
 
 
 def _query_terms(plans: DataFrame) -> DataFrame:
@@ -28,32 +31,53 @@ def match_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return terms.join(whole, ["token", "is_prefix"])
 
 
-def occurrences(plans: DataFrame, postings: DataFrame) -> DataFrame:
+def _of_tokens(asked: DataFrame, index: Index) -> Index:
+    """The part of the index that may match, where the queries have few different tokens: equality and prefixes skip row groups of sorted tables."""
+    tokens = asked.select("token", "is_prefix").distinct().limit(PUSHED_TOKENS + 1).collect()
+    if not tokens or len(tokens) > PUSHED_TOKENS:
+        return index
+    whole = [t.token for t in tokens if not t.is_prefix]
+    prefixes = sorted(t.token for t in tokens if t.is_prefix)
+    # A prefix of a prefix covers it.
+    least = [p for k, p in enumerate(prefixes) if not any(p.startswith(q) for q in prefixes[:k])]
+    test = F.col("term").isin(whole) if whole else F.lit(False)
+    for p in least:
+        test = test | F.startswith("term", F.lit(p))
+    return index.where_terms(test)
+
+
+def occurrences(plans: DataFrame, index: Index) -> DataFrame:
     """(query_id, clause, alt, chunk_id, field, hits): how often each alternative occurs in each field."""
     asked = _query_terms(plans)
-    terms = match_terms(asked, postings.select("term").distinct())
-    found = terms.join(postings, "term").where(~F.col("filename_only") | (F.col("field") == "filename"))
+    index = _of_tokens(asked, index)
+    words = index.vocabulary.select("term")
+    by_name = ~F.col("filename_only") | (F.col("field") == "filename")
     same = ["query_id", "clause", "alt", "chunk_id", "field"]
-    single = found.where("n_tokens = 1").groupBy(*same).agg(F.count(F.lit(1)).alias("hits"))
+    # Many queries ask for the same token: its postings are added up once, and the sums go to the queries.
+    alone = asked.where("n_tokens = 1")
+    matched = match_terms(alone.select("token", "is_prefix").distinct(), words)
+    summed = matched.join(index.terms, "term").groupBy("token", "is_prefix", "chunk_id", "field").agg(F.sum("tf").alias("hits"))
+    single = alone.join(summed, ["token", "is_prefix"]).where(by_name).select(*same, "hits")
     if asked.where("n_tokens > 1").isEmpty():
         return single
+    terms = match_terms(asked.where("n_tokens > 1"), words)
     # A phrase occurs where all its tokens stand one after another.
-    places = found.where("n_tokens > 1").select(*same, "n_tokens", (F.col("pos") - F.col("token_no")).alias("at"))
+    places = terms.join(index.positions, "term").where(by_name).select(*same, "n_tokens", (F.col("pos") - F.col("token_no")).alias("at"))
     phrase = places.groupBy(*same, "n_tokens", "at").count().where("count = n_tokens").groupBy(*same).agg(F.count(F.lit(1)).alias("hits"))
     return single.unionByName(phrase)
 
 
-def bm25(plans: DataFrame, postings: DataFrame, lengths: DataFrame, stats: DataFrame, weights: tuple[tuple[str, float], ...] = SETTINGS.field_weights) -> DataFrame:
+def bm25(plans: DataFrame, index: Index, weights: tuple[tuple[str, float], ...] = SETTINGS.field_weights) -> DataFrame:
     """(query_id, chunk_id, score) of the chunks that match all clauses. Statistics are those of the whole corpus."""
     weight = F.element_at(F.create_map(*(F.lit(x) for pair in weights for x in pair)), F.col("field"))
     alternatives = ["query_id", "clause", "alt"]
-    hits = occurrences(plans, postings).groupBy(*alternatives, "chunk_id").agg(F.sum(F.col("hits") * weight).alias("f"))
+    hits = occurrences(plans, index).groupBy(*alternatives, "chunk_id").agg(F.sum(F.col("hits") * weight).alias("f"))
     # Counting f, which is never null, reads the same columns as the join below, so Spark shuffles the hits once for both.
-    spread = hits.groupBy(*alternatives).agg(F.count("f").alias("n_p")).crossJoin(F.broadcast(stats))  # stats is one row
+    spread = hits.groupBy(*alternatives).agg(F.count("f").alias("n_p")).crossJoin(F.broadcast(index.stats()))  # stats is one row
     raw = F.log((F.col("n_chunks") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
     spread = spread.select(*alternatives, F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw).alias("idf"), "mean_length")
     norm = F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
-    scored = hits.join(spread, alternatives).join(lengths, "chunk_id").withColumn("s", F.col("idf") * F.col("f") * (K1 + 1) / norm)
+    scored = hits.join(spread, alternatives).join(index.document_lengths(), "chunk_id").withColumn("s", F.col("idf") * F.col("f") * (K1 + 1) / norm)
     needed = plans.select("query_id", F.size("clauses").alias("n_clauses"))
     return (
         scored.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score"), F.count_distinct("clause").alias("matched")).join(needed, "query_id").where("matched = n_clauses").select("query_id", "chunk_id", "score")
@@ -79,3 +103,31 @@ def filtered(scored: DataFrame, chunks: DataFrame, source_type: str | None = Non
     if path_contains:
         test = test & F.contains(F.lower("filepath"), F.lit(path_contains.lower()))
     return scored.join(chunks.where(test).select("chunk_id"), "chunk_id", "left_semi")
+
+
+#: Filters that queries may carry, each in a column of its own; null is no filter.
+FILTERS = {"source": "string", "date_field": "string", "date_from": "double", "date_to": "double", "path_filter": "string"}
+
+
+def query_filters(plans: DataFrame) -> DataFrame | None:
+    """(query_id and all FILTERS) of the queries, or None if they have no such column."""
+    have = [c for c in FILTERS if c in plans.columns]
+    if not have:
+        return None
+    return plans.select("query_id", *((F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in FILTERS.items()))
+
+
+def filtered_by_query(scored: DataFrame, plans: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Scored chunks whose file passes the filters of their own query."""
+    filters = query_filters(plans)
+    if filters is None:
+        return scored
+    time = F.when(F.col("date_field") == "ctime", F.col("ctime")).otherwise(F.col("mtime"))
+    test = (
+        (F.coalesce("source", F.lit("all")).isin("all") | (F.col("source_type") == F.col("source")))
+        & (F.col("date_from").isNull() | (time >= F.col("date_from")))
+        & (F.col("date_to").isNull() | (time <= F.col("date_to")))
+        & (F.col("path_filter").isNull() | F.contains(F.lower("filepath"), F.lower("path_filter")))
+    )
+    own = chunks.select("chunk_id", "source_type", "mtime", "ctime", "filepath")
+    return scored.join(filters, "query_id").join(own, "chunk_id").where(F.coalesce(test, F.lit(False))).select(*scored.columns)

@@ -126,6 +126,9 @@ def test_categories_and_targets(spark):
     rows = spark.createDataFrame([("a", None, "A"), ("b", "a", "B"), ("c", "b", "C"), ("x", "y", "X"), ("y", "x", "Y")], "uuid string, pid string, name string")
     got = {r.uuid: r.path for r in notes.category_paths(rows).collect()}
     assert got == {"a": "A", "b": "A/B", "c": "A/B/C", "x": "Y/X", "y": "X/Y"}
+    deep = [(f"n{i}", f"n{i - 1}" if i else None, f"N{i}") for i in range(150)] + [("l", "l", "Loop"), ("under", "l", "U"), ("orphan", "gone", "O")]
+    got = {r.uuid: r.path for r in notes.category_paths(spark.createDataFrame(deep, "uuid string, pid string, name string")).collect()}
+    assert got["n149"] == "/".join(f"N{i}" for i in range(150)) and (got["l"], got["under"], got["orphan"]) == ("Loop", "Loop/U", "O") and len(got) == len(deep)
     made = notes.target_paths(spark.createDataFrame([(1, "/o", "T"), (2, "/o", "T"), (3, "/o", "T?")], "id long, folder string, title string"), ["id"])
     assert [r.dest for r in made.orderBy("id").collect()] == ["/o/T.md", "/o/T_1.md", "/o/T_.md"]
     cases = {"---\na: 1\n---\nbody": ("a: 1\n", "body"), "no": (None, "no"), "---\na: 1\nbody": (None, "---\na: 1\nbody"), "---\n---\nx": ("", "x")}

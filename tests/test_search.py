@@ -4,20 +4,24 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import text
-from spindrift.operators import aggregate, evaluate, fusion, index, planner, rerank, sparse
+from spindrift.operators import aggregate, dense, evaluate, fusion, index, planner, rerank, sparse
 
 CHUNKS = "chunk_id string, filename string, filepath string, heading string, content string"
 FIELDS = {"filename": "filename", "path": "filepath", "heading": "heading", "content": "content"}
 
 
-def bm25(spark, rows, queries, weights=(("filename", 8.0), ("path", 3.0), ("heading", 4.0), ("content", 1.0))):
+def bm25(spark, rows, queries, weights=(("filename", 8.0), ("path", 3.0), ("heading", 4.0), ("content", 1.0)), path=None):
     chunks = spark.createDataFrame(rows, CHUNKS)
     plans = planner.plan(spark.createDataFrame(queries, "query_id long, query string"))
-    lengths = index.document_lengths(chunks, FIELDS)
-    scored = sparse.bm25(plans, index.postings(chunks, FIELDS), lengths, index.corpus_stats(chunks, lengths), weights)
+    scored = sparse.bm25(plans, index.made(chunks, FIELDS) if path is None else stored(spark, chunks, path), weights)
     return {(r.query_id, r.chunk_id): r.score for r in scored.collect()}
 
 
+def stored(spark, chunks, path):
+    index.write(chunks, FIELDS, path, 3)
+    return index.read(spark, path)
+
+
 @pytest.fixture(scope="module")
 def corpus():
     words = "neural network deep model forest river stone café learning net nets graph".split()
@@ -42,6 +46,43 @@ def test_bm25_equals_fts5(spark, corpus):
         assert all(own[c] == pytest.approx(want[c], abs=1e-6) for c in want)
 
 
+def test_stored_index_equals_the_plan(spark, corpus, tmp_path):
+    queries = [(1, "neural"), (2, "net mod"), (3, "network_13.md"), (4, "nowhere")]
+    assert bm25(spark, corpus, queries, path=str(tmp_path / "index")) == pytest.approx(bm25(spark, corpus, queries))
+    held = index.read(spark, str(tmp_path / "index"))
+    plans = planner.plan(spark.createDataFrame([(1, "neural")], "query_id long, query string"))
+    assert "StringStartsWith(term,neural)" in sparse.bm25(plans, held)._jdf.queryExecution().toString()
+
+
+def test_filters_by_query(spark):
+    files = spark.createDataFrame([("c1", "file", 1.0, 9.0, "/A/x"), ("c2", "mweb", 2.0, 1.0, "/b/x"), ("c3", "file", None, 3.0, "/a/y")], "chunk_id string, source_type string, mtime double, ctime double, filepath string")
+    asked = spark.createDataFrame(
+        [(1, "all", None, None, None, None), (2, "mweb", "mtime", None, None, None), (3, None, "mtime", 1.5, None, None), (4, "file", "ctime", None, 3.0, None), (5, "all", "mtime", None, None, "/a/"), (6, "all", "mtime", 1.0, 1.0, None)],
+        "query_id long, source string, date_field string, date_from double, date_to double, path_filter string",
+    )
+    want = {1: {"c1", "c2", "c3"}, 2: {"c2"}, 3: {"c2"}, 4: {"c3"}, 5: {"c1", "c3"}, 6: {"c1"}}
+    scored = asked.select("query_id").crossJoin(files.select("chunk_id")).withColumn("score", F.lit(1.0))
+    kept = sparse.filtered_by_query(scored, asked, files).collect()
+    vectors = files.select("chunk_id", F.array(F.lit(1.0), F.lit(0.5)).alias("embedding"))
+    near = dense.nearest(asked.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.5))), vectors, 3, files=files).collect()
+    for rows in (kept, near):
+        assert {k: {r.chunk_id for r in rows if r.query_id == k} for k in want} == want
+
+
+def test_nearest_by_brute_force_in_small_steps(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(dense, "SCORES", 100)
+    got = dense.nearest(df.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), df, 7).collect()
+    unit = {i: np.array(v) / (np.linalg.norm(v) or 1) for i, v in rows}
+    for q in range(0, 400, 20):
+        want = sorted(((-round(max(0.0, float(unit[q] @ unit[i])), 6), i) for i in unit))[:7]
+        assert [(r.chunk_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, pytest.approx(-s)) for s, i in want]
+
+
 def test_filename_outranks_content_and_cjk_recall(spark):
     rows = [
         ("c1", "architecture.md", "/a", "System Overview", "This document describes the neural network architecture."),
