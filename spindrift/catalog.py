@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import MEDIA_EXTENSIONS, OFFICE_EXTENSIONS, QUERY_TYPES, SETTINGS, TEXT_EXTENSIONS
 from .functions import text
+from .jobs import ingest
 from .jobs import search as search_job
-from .operators import aggregate, chunking, dense, evaluate, fusion, incremental, index, notes, planner, requests, rerank, sparse
+from .operators import aggregate, chunking, dense, embed, evaluate, fusion, incremental, index, notes, planner, requests, rerank, sparse
 from .sources import stored
 from .sources.tables import FIRST_TIME, files, passage_queries, table
 from .sources.tables import notes as note_files
@@ -736,3 +737,131 @@ def highlight_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def highlight_terms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms marked in whole texts."""
     return table(spark, sf_dir, "documents").select("doc_id", text.mark_terms(F.col("text"), ["de", "the", "en"]).alias("marked"))
+
+
+# ---------------------------------------------------------------- ingestion, export, presentation
+
+
+@query(f"""
+WITH {FILES}, cached AS (SELECT *, doc_id % 2 = 0 AND doc_id % 6 <> 4 AS hit FROM files)
+SELECT filepath, hit, CASE WHEN hit THEN 'cached' ELSE coalesce(array_to_string(list_filter(string_split(content, chr(10)), lambda x: x <> ''), '|'), '') END AS chunks FROM cached""")
+def scan_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose cached chunks still fit keep them, the lines of the others become chunks."""
+    rows = files(spark, sf_dir)
+    cache = rows.where("doc_id % 2 = 0").select("filepath", (F.col("mtime") + F.when(F.col("doc_id") % 6 == 4, 1.0).otherwise(0.004)).alias("mtime"), F.array(F.lit("cached")).alias("chunks"))
+    lines = lambda some: some.select("filepath", F.filter(F.split("content", "\n"), lambda x: x != "").alias("chunks"))
+    found, _ = ingest.scan_and_parse(rows, rows, cache, lines)
+    return found.select("filepath", "hit", F.array_join("chunks", "|").alias("chunks"))
+
+
+CELLS = [f"len(list_filter(w, lambda x: substr(md5(x), 1, 1) = '{d:x}'))" for d in range(16)]
+
+
+@query(f"""
+WITH cut AS (SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN ' ' ELSE substr(text, 1, 600) END AS t FROM documents),
+counted AS (SELECT doc_id, t, [{", ".join(c.replace("w,", f"{words_sql('t')},") for c in CELLS)}] AS n FROM cut),
+normed AS (SELECT *, sqrt(list_sum(list_transform(n, lambda x: x * x))) AS norm FROM counted)
+SELECT doc_id, sha256('m::' || t) AS text_hash, sha256('m::' || t) IN (SELECT sha256('m::' || t) FROM cut WHERE doc_id % 3 = 0) AS hit,
+  array_to_string(list_transform(n, lambda x: CASE WHEN norm > 0 THEN round(1000 * x / norm) ELSE 0 END::BIGINT), ',') AS vector FROM normed""")
+def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with vectors, where the cache knows the texts of a third of the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    empty = docs.limit(0).select(F.lit("").alias("text_hash"), F.array(F.lit(0.0)).alias("vector"))
+    _, cache = embed.embed(docs.where("doc_id % 3 = 0"), empty, "m")
+    found, _ = embed.embed(docs, cache, "m")
+    return found.select("doc_id", "text_hash", "hit", F.array_join(F.transform("vector", lambda x: F.round(1000 * x).cast("bigint")), ",").alias("vector"))
+
+
+@query("SELECT doc_id, nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776))) AS path FROM documents")
+def normalize_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of which two letters have been taken apart, put together again."""
+    apart = F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.nfc(apart).alias("path"))
+
+
+@query(r"""
+SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')),
+  lambda x: length(x) > 0 AND length(x) < 80 AND right(x, 1) NOT IN ('。', '，', '；', '.', ',', ';')), '|') AS headings FROM documents""")
+def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.page_headings(F.col("text")), "|").alias("headings"))
+
+
+@query("""
+WITH bodies AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS said FROM conversations GROUP BY conv_id)
+SELECT '/notes/' || conv_id || '.md' AS filepath, CASE conv_id % 3 WHEN 0 THEN 'Note ' || conv_id WHEN 1 THEN 'Talk ' || conv_id ELSE conv_id::VARCHAR END AS title,
+  CASE WHEN conv_id % 3 = 0 THEN 'c' || conv_id % 5 ELSE '' END AS category, CASE WHEN conv_id % 3 = 0 THEN conv_id::VARCHAR ELSE '' END AS uuid, length(said) AS n_said FROM bodies""")
+def note_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the notes have front matter, a third a heading of level 1, a third neither."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n").alias("said"))
+    k, name = F.col("conv_id"), F.col("conv_id").cast("string")
+    listed = F.array(F.concat(F.lit("c"), (k % 5).cast("string")), F.lit("other"))
+    front = notes.front_matter(F.concat(F.lit("Note "), name), F.array().cast("array<string>"), listed, k)
+    made = turns.select("conv_id", "said", F.concat(F.lit("/notes/"), name, F.lit(".md")).alias("filepath"), F.concat(F.when(k % 3 == 0, front).when(k % 3 == 1, F.concat(F.lit("# Talk "), name, F.lit("\n"))).otherwise(F.lit("> ")), F.lit("["), "said", F.lit("]")).alias("content"))
+    before = F.when(k % 3 == 1, F.length(name) + 8).when(k % 3 == 2, 2).otherwise(0)
+    return notes.note_heads(made).select("filepath", "title", "category", "uuid", (F.length("body") - before - 2).cast("long").alias("n_said"))
+
+
+@query("""
+WITH fresh AS (SELECT 'n' || doc_id AS uuid, '/out/' || lang || '/' || doc_id || '.md' AS dest, sha256(text) AS content_hash FROM documents WHERE doc_id % 7 <> 0),
+state AS (SELECT 'n' || doc_id AS uuid, '/out/' || lang || '/' || CASE WHEN doc_id % 5 = 1 THEN 'old/' ELSE '' END || doc_id || '.md' AS dest, CASE WHEN doc_id % 4 = 1 THEN 'x' ELSE sha256(text) END AS content_hash FROM documents WHERE doc_id % 3 <> 0)
+SELECT uuid, f.dest AS dest, CASE WHEN f.dest IS NULL THEN 'remove' WHEN f.content_hash = s.content_hash AND f.dest = s.dest THEN 'skip' ELSE 'write' END AS action,
+  CASE WHEN f.dest IS NULL OR f.dest <> s.dest THEN s.dest END AS stale FROM fresh f FULL JOIN state s USING (uuid)""")
+def export_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export after a seventh of the notes has gone, some have moved, and some have other content; a third is new."""
+    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+
+    def noted(some: DataFrame, moved, content) -> DataFrame:
+        return some.select(F.concat(F.lit("n"), k).alias("uuid"), F.concat(F.lit("/out/"), F.col("lang"), F.lit("/"), moved, k, F.lit(".md")).alias("dest"), content.alias("content_hash"), F.lit(None).cast("string").alias("media_hash"))
+
+    fresh = noted(docs.where("doc_id % 7 <> 0"), F.lit(""), F.sha2("text", 256))
+    state = noted(docs.where("doc_id % 3 <> 0"), F.when(k % 5 == 1, "old/").otherwise(""), F.when(k % 4 == 1, "x").otherwise(F.sha2("text", 256)))
+    return notes.export_plan(fresh, state).select("uuid", "dest", "action", "stale")
+
+
+@query("""
+SELECT lang, round(avg(length(coalesce(text, ''))), 6) AS avg_chars, CASE WHEN avg(length(coalesce(text, ''))) > 400 THEN 25 WHEN avg(length(coalesce(text, ''))) > 200 THEN 40 ELSE 55 END AS batch_size,
+  CASE WHEN avg(length(coalesce(text, ''))) > 400 THEN 25 WHEN avg(length(coalesce(text, ''))) > 200 THEN 40 ELSE 50 END AS dense_batch_size FROM documents GROUP BY lang""")
+def batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.batch_sizes(table(spark, sf_dir, "documents"), "text", ["lang"]).withColumn("avg_chars", F.round("avg_chars", 6))
+
+
+SHOWN = f"""shown AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY length(coalesce(text, '')) DESC, doc_id)::INT AS rank, doc_id,
+  '/corpus/' || source || '/' || doc_id || '.txt' AS filepath, doc_id || '.txt' AS filename, {FIRST_TIME} + 3600.0 * doc_id AS mtime, text FROM documents)"""
+
+
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a result of its source, longest first."""
+    order = Window.partitionBy("source").orderBy(F.length(F.coalesce("content", F.lit(""))).desc(), "doc_id")
+    rows = files(spark, sf_dir).withColumn("rank", F.row_number().over(order))
+    return rows.select(F.col("source").alias("query_id"), "rank", "doc_id", "filepath", "filename", "mtime", F.col("doc_id").cast("double").alias("score"), F.concat(F.pmod("doc_id", F.lit(100)).cast("string"), F.lit("%")).alias("relevance"), F.col("content").alias("preview"))
+
+
+@query(f"WITH {SHOWN} SELECT query_id, rank, filepath, doc_id::DOUBLE AS score, '' AS snippet, mtime FROM shown")
+def result_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.listing(_shown(spark, sf_dir))
+
+
+@query(f"WITH {SHOWN} SELECT query_id, rank - 1 AS index, filename, doc_id % 100 || '%' AS relevance, substr(coalesce(text, ''), 1, 200) AS preview FROM shown WHERE rank <= 10")
+def interpret_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.interpretable(_shown(spark, sf_dir))
+
+
+@query("""
+WITH listed AS (SELECT user_id AS query_id, event_type AS path, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank, event_id FROM events WHERE user_id % 10 <> 3),
+first AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), path) AS rank FROM listed GROUP BY query_id, path),
+qrels AS (SELECT user_id AS query_id, event_type AS path, CASE WHEN max(value) > 100 THEN 2 ELSE 1 END AS grade FROM events WHERE event_id % 2 = 0 GROUP BY user_id, event_type),
+got AS (SELECT query_id, max(CASE WHEN rank = 1 AND grade > 0 THEN 1.0 ELSE 0 END) AS top1, count(grade) FILTER (rank <= 10) AS h10, count(grade) FILTER (rank <= 50) AS h50, min(rank) FILTER (grade > 0 AND rank <= 10) AS first,
+  coalesce(sum((pow(2, grade) - 1) / log2(rank + 1)) FILTER (rank <= 10), 0) AS dcg FROM first LEFT JOIN qrels USING (query_id, path) GROUP BY query_id),
+ideal AS (SELECT query_id, count(*) AS n, sum((pow(2, grade) - 1) / log2(place + 1)) FILTER (place <= 10) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, path) AS place FROM qrels) GROUP BY query_id),
+runs AS (SELECT user_id, min(value) AS ms FROM events GROUP BY user_id)
+SELECT count(*) AS n_cases, round(avg(coalesce(top1, 0)), 6) AS top1, round(avg(coalesce(h10 / n, 0)), 6) AS recall_10, round(avg(coalesce(h50 / n, 0)), 6) AS recall_50, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr_10,
+  round(avg(coalesce(dcg / idcg, 0)), 6) AS ndcg_10, round(avg(CASE WHEN user_id % 4 = 1 THEN 1.0 ELSE 0 END), 6) AS rerank_fallback_rate, round(quantile_cont(ms, 0.5), 6) AS p50_ms, quantile_disc(ms, 0.95) AS p95_ms
+FROM runs LEFT JOIN got ON user_id = got.query_id LEFT JOIN ideal ON user_id = ideal.query_id""")
+def benchmark_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as the results of a case (kinds of events are the paths, named again and again); some cases failed, some fell back."""
+    events = table(spark, sf_dir, "events").withColumnRenamed("user_id", "query_id")
+    results = events.select("query_id", F.col("event_type").alias("filepath"), F.row_number().over(Window.partitionBy("query_id").orderBy("ts", "event_id")).alias("rank"))
+    qrels = events.where("event_id % 2 = 0").groupBy("query_id", F.col("event_type").alias("filepath")).agg(F.when(F.max("value") > 100, 2).otherwise(1).alias("grade"))
+    runs = events.groupBy("query_id").agg(F.min("value").alias("latency_ms")).withColumns({"fallback": F.col("query_id") % 4 == 1, "failed": F.col("query_id") % 10 == 3})
+    found = evaluate.benchmark(runs.select("query_id"), results, qrels, runs)
+    return found.select("n_cases", *(F.round(c, 6).alias(c) for c in ("top1", "recall_10", "recall_50", "mrr_10", "ndcg_10", "rerank_fallback_rate", "p50_ms")), "p95_ms")

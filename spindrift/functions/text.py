@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Ideographs: the unified block, extensions A and B.
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}"
@@ -70,6 +72,18 @@ def relative_path(path: Column, roots: list[str]) -> Column:
     return out
 
 
+@F.pandas_udf(StringType())
+def nfc(path: pd.Series) -> pd.Series:
+    """Composed Unicode form (NFC), in which paths are compared. Null stays null."""
+    return path.str.normalize("NFC")
+
+
+def page_headings(text: Column) -> Column:
+    """Lines of a page's plain text that look like headings: trimmed, of 1 to 79 characters, without punctuation at the end."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    return F.filter(lines, lambda x: (F.length(x) > 0) & (F.length(x) < 80) & ~F.substring(x, -1, 1).isin(*"。，；.,;"))
+
+
 def safe_filename(name: Column) -> Column:
     clean = F.trim(F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*]', "_"), r"\s+", " "))
     return F.when(clean == "", F.lit("Untitled")).otherwise(F.substring(clean, 1, 120))

@@ -71,3 +71,14 @@ def resort(results: DataFrame, by: str = "relevance", page: int = 1, per_page: i
     last = F.greatest(F.lit(1), F.ceil(F.col("n") / per_page).cast("int"))
     shown = F.greatest(F.lit(1), F.least(F.lit(page), last))
     return placed.withColumns({"page": shown, "pages": last}).where((F.col("place") > (shown - 1) * per_page) & (F.col("place") <= shown * per_page)).drop("n")
+
+
+def listing(results: DataFrame) -> DataFrame:
+    """The short record of each result: query_id, rank, filepath, score, snippet (always empty, kept for its readers) and mtime."""
+    return results.select("query_id", "rank", F.coalesce("filepath", F.lit("")).alias("filepath"), F.coalesce("score", F.lit(0.0)).alias("score"), F.lit("").alias("snippet"), F.coalesce("mtime", F.lit(0.0)).alias("mtime"))
+
+
+def interpretable(results: DataFrame, most: int = 10, preview_chars: int = 200) -> DataFrame:
+    """What a reader of results is shown: each query's first results, counted from 0, with a short preview."""
+    placed = results.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("place") <= most)
+    return placed.select("query_id", (F.col("place") - 1).alias("index"), F.coalesce("filename", F.lit("")).alias("filename"), F.coalesce("relevance", F.lit("0")).alias("relevance"), F.substring(F.coalesce("preview", F.lit("")), 1, preview_chars).alias("preview"))

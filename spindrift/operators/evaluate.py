@@ -45,8 +45,39 @@ def summary(metrics: DataFrame) -> DataFrame:
 
 
 def latency(times: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """p50 (interpolated) and p95 (nearest rank)."""
-    return times.groupBy(*by).agg(F.percentile(column, F.lit(0.5)).alias("p50"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{column}`)").alias("p95"), F.count(F.lit(1)).alias("n"))
+    """p50 (interpolated), p95 (nearest rank) and n of each group; nulls count in n only.
+
+    Equal values are counted before they are shuffled, and a sorted running total finds the places, so no group is held in memory.
+    """
+    counts = times.groupBy(*by, F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias("__m"))
+    group, present = Window.partitionBy(*by), F.when(F.col("__value").isNotNull(), F.col("__m")).otherwise(0)
+    placed = counts.withColumns({"__through": F.sum(present).over(group.orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)), "__n": F.sum(present).over(group)})
+    middle = (F.col("__n") - 1) / 2
+    at = lambda least: F.min(F.when(F.col("__value").isNotNull() & (F.col("__through") >= least), F.col("__value")))
+    found = placed.groupBy(*by).agg(at(F.floor(middle) + 1).alias("__low"), at(F.ceil(middle) + 1).alias("__high"), at(F.ceil(F.col("__n") * 0.95)).alias("p95"), F.sum("__m").alias("n"))
+    return found.select(*by, ((F.col("__low") + F.col("__high")) / 2).alias("p50"), "p95", "n")
+
+
+def benchmark(cases: DataFrame, results: DataFrame, qrels: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row for a benchmark: the means of all cases' metrics, p50_ms and p95_ms, and the part of cases whose reranker fell back.
+
+    results (query_id, rank, filepath) may name a path twice, the first place counts. runs has one row for each case: query_id, latency_ms,
+    fallback, failed; a failed case keeps its place with zeros. Nulls of fallback and failed count as false.
+    """
+    failed = runs.where(F.coalesce("failed", F.lit(False))).select("query_id")
+    metrics = case_metrics(cases, distinct_paths(results.join(failed, "query_id", "left_anti")), qrels)
+    times = latency(runs.withColumn("__all", F.lit(1)), "latency_ms", ["__all"]).select(F.col("p50").alias("p50_ms"), F.col("p95").alias("p95_ms"))
+    rates = runs.agg(F.coalesce(F.avg(F.coalesce("fallback", F.lit(False)).cast("double")), F.lit(0.0)).alias("rerank_fallback_rate"))
+    one = lambda df: df.withColumn("__one", F.lit(1))  # noqa: E731  each of the three has a single row
+    return one(summary(metrics)).join(one(rates), "__one").join(one(times), "__one", "left").drop("__one")
+
+
+def batch_sizes(texts: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """Average characters of each group's texts, the batch that embeds them, and the batch that dense rows are written in (1 to 50). Null is an empty text."""
+    average = F.avg(F.coalesce(F.length(column), F.lit(0)))
+    grouped = texts.groupBy(*by).agg(average.alias("avg_chars"))
+    size = F.when(F.col("avg_chars").isNull(), 50).when(F.col("avg_chars") > 400, 25).when(F.col("avg_chars") > 200, 40).otherwise(55)
+    return grouped.withColumn("batch_size", size).withColumn("dense_batch_size", F.greatest(F.lit(1), F.least(F.col("batch_size"), F.lit(50))))
 
 
 def estimate(files: DataFrame, chunks_per_file: float | None = None, seconds_per_file: float | None = None, settings: Settings = SETTINGS) -> DataFrame:

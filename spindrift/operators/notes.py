@@ -78,6 +78,43 @@ def split_front_matter(text: Column) -> Column:
     return F.struct(F.when(has, F.regexp_extract(text, pattern, 1)).alias("meta"), F.when(has, F.regexp_extract(text, pattern, 2)).otherwise(text).alias("body"))
 
 
+def note_heads(notes: DataFrame) -> DataFrame:
+    """Adds title, category, uuid and body to notes (filepath, content with or without front matter).
+
+    The title is that of the front matter, else the first heading of level 1, else the file's name without its extension; the
+    category is the first one listed. Null content is empty; what isn't found is an empty string.
+    """
+    parts = notes.withColumn("__parts", split_front_matter(F.coalesce("content", F.lit(""))))
+    meta = F.coalesce("__parts.meta", F.lit(""))
+    named = lambda key: F.regexp_extract(meta, rf'(?m)^{key}:[ \t]*"?(.*?)"?[ \t]*$', 1)
+    body = F.regexp_replace("__parts.body", r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
+    heading = F.trim(F.regexp_extract(body, r"(?m)^#[ \t]+(.+)$", 1))
+    stem = F.regexp_extract("filepath", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    title = F.when(named("title") != "", named("title")).when(heading != "", heading).otherwise(stem)
+    first = F.regexp_extract(meta, r'(?m)^categories:[ \t]*\n[ \t]*-[ \t]+"?(.*?)"?[ \t]*$', 1)
+    return parts.withColumns({"title": title, "category": first, "uuid": named("note_uuid"), "body": body}).drop("__parts")
+
+
+def export_plan(notes: DataFrame, state: DataFrame) -> DataFrame:
+    """(uuid, dest, content_hash, media_hash, action, stale): what an export of notes does, given what the last one left.
+
+    Both tables have uuid, dest, content_hash, media_hash. New notes, and those with another content, media or target, are written, the
+    rest is skipped; notes that are gone are removed. stale is the earlier file to delete, if any. Missing media count as no media.
+    """
+    old = state.select("uuid", F.col("dest").alias("old_dest"), F.col("content_hash").alias("old_content"), F.coalesce("media_hash", F.lit("")).alias("old_media"))
+    new = notes.select("uuid", "dest", "content_hash", F.coalesce("media_hash", F.lit("")).alias("media_hash"))
+    both = new.join(old, "uuid", "full_outer")
+    same = F.col("content_hash").eqNullSafe(F.col("old_content")) & (F.col("media_hash") == F.col("old_media")) & (F.col("dest") == F.col("old_dest"))
+    action = F.when(F.col("dest").isNull(), "remove").when(same, "skip").otherwise("write")
+    stale = F.when(F.col("dest").isNull() | (F.col("dest") != F.col("old_dest")), F.col("old_dest"))
+    return both.select("uuid", "dest", "content_hash", "media_hash", action.alias("action"), stale.alias("stale"))
+
+
+def write_manifest(plan: DataFrame, folder: str) -> None:
+    """The state that the next export compares with, as JSON lines."""
+    plan.where("action <> 'remove'").select("uuid", "dest", "content_hash", "media_hash").write.mode("error").json(folder)
+
+
 def fingerprints(files: DataFrame) -> DataFrame:
     """(folder, hash): one hash over each folder's files (folder, name, content_hash) in the order of their names.
 

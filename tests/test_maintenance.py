@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from spindrift.config import Settings
 from spindrift.functions import text
-from spindrift.operators import chunking, incremental, notes, requests
+from spindrift.jobs import ingest
+from spindrift.operators import aggregate, chunking, embed, evaluate, incremental, notes, requests
 from spindrift.sources import files
 from spindrift.streaming import limits, maintenance
 
@@ -193,3 +194,89 @@ def test_streaming_maintenance_equals_a_new_index(spark, tmp_path):
         version = maintenance.current(spark, base)
         got = sorted(map(tuple, spark.read.parquet(f"{base}/v{version}/index").collect()))
         assert version == k + 1 and got == sorted(map(tuple, build(spark.createDataFrame(rows, schema)).collect()))
+
+
+def test_note_heads(spark):
+    texts = [
+        '---\ntitle: "T"\ncategories:\n  - "a/b"\n  - "c"\nnote_uuid: 7\n---\n\n# H\nbody\n',
+        "---\ntags:\n  - x\n---\n## no\n# Yes \nbody",
+        "no end\n---",
+        "---\nnever closed",
+        "",
+        None,
+    ]
+    rows = spark.createDataFrame([(f"/n/{i}.x.md", t) for i, t in enumerate(texts)], "filepath string, content string")
+    got = [tuple(r) for r in notes.note_heads(rows).sort("filepath").select("title", "category", "uuid", "body").collect()]
+    assert got[0] == ("T", "a/b", "7", "# H\nbody") and got[1] == ("Yes", "", "", "## no\n# Yes \nbody")
+    assert [r[0] for r in got[2:]] == ["2.x", "3.x", "4.x", "5.x"] and got[4][3] == got[5][3] == ""
+
+
+def test_export_plan_and_manifest(spark, tmp_path):
+    kind = "uuid string, dest string, content_hash string, media_hash string"
+    fresh = spark.createDataFrame([("same", "/a", "1", None), ("moved", "/b", "1", "m"), ("edited", "/c", "2", ""), ("media", "/d", "1", "m2"), ("new", "/e", "1", "")], kind)
+    state = spark.createDataFrame([("same", "/a", "1", ""), ("moved", "/old", "1", "m"), ("edited", "/c", "1", ""), ("media", "/d", "1", "m"), ("gone", "/f", "1", None)], kind)
+    plan = notes.export_plan(fresh, state)
+    got = {r.uuid: (r.action, r.stale) for r in plan.collect()}
+    assert got == {"same": ("skip", None), "moved": ("write", "/old"), "edited": ("write", None), "media": ("write", None), "new": ("write", None), "gone": ("remove", "/f")}
+    notes.write_manifest(plan, f"{tmp_path}/state")
+    after = notes.export_plan(fresh, spark.read.schema(kind).json(f"{tmp_path}/state"))
+    assert {r.action for r in after.collect()} == {"skip"}
+
+
+def test_scan_and_parse_reads_misses_only(spark):
+    inventory = spark.createDataFrame([("/a", 1.0), ("/b", 2.0), ("/c", 3.0), ("/none", 4.0)], "filepath string, mtime double")
+    contents = spark.createDataFrame([("/a", "new a"), ("/b", "b b"), ("/c", None)], "filepath string, content string")
+    cache = spark.createDataFrame([("/a", 1.0, ["old"]), ("/b", 1.0, ["old"]), ("/gone", 1.0, ["old"])], "filepath string, mtime double, chunks array<string>")
+    seen = []
+
+    def parse(some):
+        seen.extend(r.filepath for r in some.collect())
+        return some.select("filepath", F.split("content", " ").alias("chunks"))
+
+    found, kept = ingest.scan_and_parse(inventory, contents, cache, parse)
+    assert {r.filepath: (r.chunks, r.hit) for r in found.collect()} == {"/a": (["old"], True), "/b": (["b", "b"], False), "/c": ([], False), "/none": ([], False)}
+    assert sorted(seen) == ["/b", "/c"] and sorted(r.filepath for r in kept.collect()) == ["/a", "/b", "/c", "/none"]
+
+
+def test_embed_once_for_equal_texts(spark):
+    texts = spark.createDataFrame([(1, "one two"), (2, "one two"), (3, " "), (4, None), (5, "held"), (6, "x" * 700)], "id int, text string")
+    cache = spark.createDataFrame([(row.h, [9.0]) for row in spark.sql("SELECT sha2('m::held', 256) AS h").collect()], "text_hash string, vector array<double>")
+    found, fresh = embed.embed(texts, cache, "m")
+    got = {r.id: r for r in found.collect()}
+    assert got[1].vector == got[2].vector and sum(x * x for x in got[1].vector) == pytest.approx(1) and got[3].vector == got[4].vector == [0.0] * 16
+    assert got[5].vector == [9.0] and got[5].hit and not got[1].hit and got[4].text is None and len(got[6].text) == 700
+    assert fresh.count() == 3
+    again, none = embed.embed(texts, cache.unionByName(fresh), "m")
+    assert none.count() == 0 and all(r.hit for r in again.collect())
+
+
+def test_small_projections(spark):
+    lines = "Title\n \t padded \x0b\nends.\nends；\n" + "x" * 79 + "\n" + "y" * 80
+    row = spark.createDataFrame([(lines, "e\u0301")], "a string, b string").select(text.page_headings(F.col("a")), text.nfc(F.col("b"))).first()
+    assert row[0] == ["Title", "padded", "x" * 79] and row[1] == "é"
+    sized = spark.createDataFrame([("s", "x"), ("m", "x" * 201), ("l", "x" * 401), ("s", None)], "k string, t string")
+    assert {r.k: (r.batch_size, r.dense_batch_size) for r in evaluate.batch_sizes(sized, "t", ["k"]).collect()} == {"s": (55, 50), "m": (40, 40), "l": (25, 25)}
+    assert evaluate.batch_sizes(sized.limit(0), "t", []).first().batch_size == 50
+    shown = spark.createDataFrame([("q", i, f"/{i}", None, None, "n", None, "p" * 300) for i in range(1, 13)], "query_id string, rank int, filepath string, score double, mtime double, filename string, relevance string, preview string")
+    assert aggregate.listing(shown).where("score = 0 AND mtime = 0 AND snippet = ''").count() == 12
+    assert sorted((r["index"], len(r.preview), r.relevance) for r in aggregate.interpretable(shown).collect()) == [(i, 200, "0") for i in range(10)]
+
+
+def test_benchmark_with_failures(spark):
+    cases = spark.createDataFrame([("a",), ("b",), ("c",)], "query_id string")
+    results = spark.createDataFrame([("a", 1, "/x"), ("a", 2, "/x"), ("a", 3, "/y"), ("b", 1, "/x")], "query_id string, rank int, filepath string")
+    qrels = spark.createDataFrame([("a", "/y", 1), ("b", "/x", 2)], "query_id string, filepath string, grade int")
+    runs = spark.createDataFrame([("a", 10.0, True, None), ("b", 20.0, None, True), ("c", None, False, False)], "query_id string, latency_ms double, fallback boolean, failed boolean")
+    got = evaluate.benchmark(cases, results, qrels, runs).first()
+    assert (got.n_cases, got.mrr_10, got.p50_ms, got.p95_ms) == (3, pytest.approx(0.5 / 3), 15.0, 20.0) and got.rerank_fallback_rate == pytest.approx(1 / 3)
+    none = evaluate.benchmark(cases.limit(0), results, qrels, runs.limit(0)).first()
+    assert (none.n_cases, none.mrr_10, none.rerank_fallback_rate, none.p50_ms) == (0, 0.0, 0.0, None)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(0, 9))), min_size=1, max_size=40))
+def test_percentiles_by_running_totals(spark, rows):
+    df = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows], "k string, v double")
+    want = df.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY v)").alias("p95"), F.count(F.lit(1)).alias("n"))
+    order = lambda found: sorted(map(tuple, found.select("k", "p50", "p95", "n").collect()), key=str)
+    assert order(evaluate.latency(df, "v", ["k"])) == order(want)
