@@ -44,3 +44,12 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     found, system = _path(spark, path)
     status, content = system.getFileStatus(found), system.getContentSummary(found)
     return hashlib.md5(f"{path} {content.getLength()} {content.getFileCount()} {status.getModificationTime()}".encode()).hexdigest()
+
+
+def finished(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers that name finished tables in a folder, in order."""
+    found, system = _path(spark, folder)
+    if not system.exists(found):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(found)]
+    return sorted(int(n) for n in names if n.isdigit() and exists(spark, f"{folder}/{n}/_SUCCESS"))

@@ -1,55 +1,82 @@
-"""An index that follows a stream of inventories: each micro-batch is compared with the index's state and applied."""
+"""An index that follows a stream of inventories: each micro-batch is compared with the index's state and applied.
+
+The index is dealt into buckets by a hash of the path. A version rewrites the buckets that its changes touch and takes all
+others from earlier versions; a small table of (bucket, version) says which. Nothing is written twice: a version is published by
+its table of buckets, which Spark commits last, so readers see the version before or the whole new one.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import incremental
+from ..sources.stored import cut, exists, finished
 
 Build = Callable[[DataFrame], DataFrame]
 
 
+def bucket_of(path: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+
 def current(spark: SparkSession, base: str) -> int | None:
-    """The version that `base` points to, or None before the first."""
-    try:
-        row = spark.read.parquet(f"{base}/current").first()
-    except AnalysisException:
-        return None
-    return row["version"] if row else None
+    """The latest published version, or None before the first."""
+    return max(finished(spark, f"{base}/versions"), default=None)
+
+
+def _held(spark: SparkSession, base: str, version: int | None) -> dict[int, int]:
+    """Which version holds each bucket; a bucket without rows is missing. There is one row for each bucket at most."""
+    if version is None:
+        return {}
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{base}/versions/{version}").where("bucket >= 0").collect()}
+
+
+def read_index(spark: SparkSession, base: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The rows of a version (the latest one by default), of some buckets or all; None if there are none yet."""
+    held = _held(spark, base, current(spark, base) if version is None else version)
+    paths = [f"{base}/index/{v}/bucket={b}" for b, v in sorted(held.items()) if buckets is None or b in buckets]
+    return spark.read.parquet(*paths) if paths else None
 
 
-def apply_inventory(spark: SparkSession, base: str, inventory: DataFrame, build: Build, version: int, partitions: int = 8) -> DataFrame:
+def apply_inventory(spark: SparkSession, base: str, inventory: DataFrame, build: Build, version: int, buckets: int = 64) -> DataFrame:
     """Brings index and state to a full inventory (filepath, mtime, source_type, content) and returns the counts of changes.
 
-    The new version is written beside the old one, then the pointer moves, so readers see one or the other, and a batch that is
-    repeated after a failure writes the same version again.
+    Only changed files are built, and only buckets with changes are read and written. The number of buckets has to stay the same for an
+    index. A batch that is repeated after a failure writes the same version again; if it was published already, nothing is written.
     """
-    before = current(spark, base)
+    before = max((v for v in finished(spark, f"{base}/versions") if v < version), default=None)
     state = inventory.select("filepath", "mtime", "source_type")
-    if before is None or before == version:
-        before = before if before != version else None
-        old_state = state.limit(0)
-    else:
-        old_state = spark.read.parquet(f"{base}/v{before}/state")
-    changed = incremental.changes(state, old_state)
+    old_state = state.limit(0) if before is None else spark.read.parquet(f"{base}/state/{before}")
+    changed = cut(incremental.changes(state, old_state))
+    if exists(spark, f"{base}/versions/{version}/_SUCCESS"):
+        return incremental.change_counts(changed)
+    own = bucket_of(F.col("filepath"), buckets)
+    touched = [r[0] for r in changed.where("change <> 'unchanged'").select(own).distinct().collect()]  # at most `buckets` numbers
     fresh = build(inventory.join(changed.where("change IN ('new', 'modified')").select("filepath"), "filepath", "left_semi"))
-    index = fresh if before is None else incremental.apply(spark.read.parquet(f"{base}/v{before}/index"), fresh, changed)
-    index.repartition(partitions, "filepath").write.mode("overwrite").parquet(f"{base}/v{version}/index")
-    state.write.mode("overwrite").parquet(f"{base}/v{version}/state")
-    spark.createDataFrame([(version,)], "version bigint").coalesce(1).write.mode("overwrite").parquet(f"{base}/current")
+    old = read_index(spark, base, before, touched) if before is not None else None
+    index = fresh if old is None else incremental.apply(old, fresh, changed)
+    dealt = index.withColumn("bucket", own)
+    dealt.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{base}/index/{version}")
+    state.write.mode("overwrite").parquet(f"{base}/state/{version}")
+    # A version without rows has no file to tell its schema.
+    written = spark.read.schema(dealt.schema).parquet(f"{base}/index/{version}").select("bucket").distinct().collect()
+    held = {b: v for b, v in _held(spark, base, before).items() if b not in touched} | {r["bucket"]: version for r in written}
+    # The row of bucket -1 makes a table of an empty index.
+    rows = [(-1, version), *sorted(held.items())]
+    spark.createDataFrame(rows, "bucket int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{base}/versions/{version}")
     return incremental.change_counts(changed)
 
 
-def maintain(inventories: DataFrame, base: str, build: Build, checkpoint: str, every: str | None = "30 minutes") -> StreamingQuery:
+def maintain(inventories: DataFrame, base: str, build: Build, checkpoint: str, every: str | None = "30 minutes", buckets: int = 64) -> StreamingQuery:
     """Follows a stream of inventories. Without `every`, it takes what is there and ends."""
 
     def batch(rows: DataFrame, number: int) -> None:
         if not rows.isEmpty():
-            apply_inventory(rows.sparkSession, base, rows, build, number + 1)
+            apply_inventory(rows.sparkSession, base, rows, build, number + 1, buckets)
 
     writer = inventories.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -192,10 +192,31 @@ def test_streaming_maintenance_equals_a_new_index(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         maintenance.maintain(stream, base, build, str(tmp_path / "check"), every=None).awaitTermination(120)
         version = maintenance.current(spark, base)
-        got = sorted(map(tuple, spark.read.parquet(f"{base}/v{version}/index").collect()))
+        got = sorted(map(tuple, maintenance.read_index(spark, base).collect()))
         assert version == k + 1 and got == sorted(map(tuple, build(spark.createDataFrame(rows, schema)).collect()))
 
 
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    build = lambda df: df.select("filepath", F.explode(text.words(F.col("content"))).alias("term"))
+    schema = "filepath string, mtime double, source_type string, content string"
+    rows = [(f"/f{i}", 1.0, "file", f"word{i}") for i in range(40)]
+    base = str(tmp_path / "index")
+    first = spark.createDataFrame(rows, schema)
+    maintenance.apply_inventory(spark, base, first, build, 1, 8)
+    second = spark.createDataFrame([*rows[1:], ("/f1x", 1.0, "file", "more")], schema)
+    for _ in range(2):  # the second time it's a repeated batch
+        counts = maintenance.apply_inventory(spark, base, second, build, 2, 8).first()
+        assert (counts.n_new, counts.n_deleted, counts.n_modified) == (1, 1, 0)
+    held = {r.bucket: r.version for r in spark.read.parquet(f"{base}/versions/2").where("bucket >= 0").collect()}
+    assert sorted(held) == list(range(8)) and 1 <= sum(v == 2 for v in held.values()) <= 2
+    assert sorted(map(tuple, maintenance.read_index(spark, base).collect())) == sorted(map(tuple, build(second).collect()))
+    assert sorted(map(tuple, maintenance.read_index(spark, base, 1).collect())) == sorted(map(tuple, build(first).collect()))
+    maintenance.apply_inventory(spark, base, second.limit(0), build, 3, 8)
+    assert maintenance.current(spark, base) == 3 and maintenance.read_index(spark, base) is None
+    maintenance.apply_inventory(spark, base, first, build, 4, 8)
+    assert maintenance.read_index(spark, base).count() == 40
+
+
 def test_note_heads(spark):
     texts = [
         '---\ntitle: "T"\ncategories:\n  - "a/b"\n  - "c"\nnote_uuid: 7\n---\n\n# H\nbody\n',
