@@ -126,9 +126,12 @@ FINDERS = {
 
 def _finder(place: int, kind: str, pattern: str, group: int, test: str) -> str:
     quoted = "'" + pattern.replace("'", "''") + "'"
+    # Each match goes with its two strings and the text before it, not with the lists of all.
     return f"""SELECT r, '{kind}' AS kind, {place} AS place, start, start + length(m) AS stop FROM (
-  SELECT r, m[k] AS m, v[k] AS v, (sum(length(g[k]) + length(m[k])) OVER (PARTITION BY r ORDER BY k) - length(m[k]))::BIGINT AS start
-  FROM (SELECT r, regexp_extract_all(text, {quoted}, 0) AS m, regexp_extract_all(text, {quoted}, {group}) AS v, string_split_regex(text, {quoted}) AS g FROM docs), unnest(range(1, len(m) + 1)) AS u(k)) WHERE {test}"""
+  SELECT r, x[1] AS m, x[2] AS v, (sum(length(x[3]) + length(x[1])) OVER (PARTITION BY r ORDER BY k ROWS UNBOUNDED PRECEDING) - length(x[1]))::BIGINT AS start
+  FROM (SELECT r, unnest(z) AS x, unnest(range(1, len(z) + 1)) AS k
+    FROM (SELECT r, [[c[1], c[2], c[3]] FOR c IN list_zip(m, v, g[:len(m)])] AS z
+      FROM (SELECT r, regexp_extract_all(text, {quoted}, 0) AS m, regexp_extract_all(text, {quoted}, {group}) AS v, string_split_regex(text, {quoted}) AS g FROM docs)))) WHERE {test}"""
 
 
 def _near(role: str) -> str:
