@@ -52,12 +52,13 @@ def probe(table: bytes, at: np.ndarray) -> np.ndarray:
 class PartSketch:
     """A task's count-min sketch of two rows of 2 ** bits cells, kept sparse; counts stop at 2, all that is asked of them.
 
-    Spark adds the tasks' sketches up cell by cell (see broadcast_seen_twice).
+    It is written in blocks of 2 ** 16 cells: a row holds the places of one block's cells as sorted 16-bit numbers, a cell of two or more twice.
+    Spark adds the tasks' sketches up block by block (see broadcast_seen_twice).
     """
 
-    SCHEMA = "cell bigint, n int"
+    SCHEMA = "block int, places binary"
 
-    def __init__(self, bits: int, most: int = 1_000_000):
+    def __init__(self, bits: int, most: int = 2_000_000):
         self.bits, self.most, self.held, self.n = bits, most, [], 0
 
     def add(self, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -68,8 +69,16 @@ class PartSketch:
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.n:
-            cell, count = np.unique(np.concatenate(self.held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.minimum(count, 2).astype(np.int32))], names=["cell", "n"])
+            cell = np.concatenate(self.held).astype(np.uint32)
+            cell.sort()
+            third = np.zeros(len(cell), dtype=bool)
+            third[2:] = cell[2:] == cell[:-2]
+            cell = cell[~third]
+            block = cell >> np.uint32(16)
+            at = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            ends = 2 * np.append(at, len(cell)).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer((cell & np.uint32(0xFFFF)).astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([pa.array(block[at].astype(np.int32)), packed], names=["block", "places"])
         self.held, self.n = [], 0
 
 
@@ -77,10 +86,37 @@ def two_cells(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return cells(hashes, bits), cells(mix(hashes ^ U(0x5851F42D4C957F2D)), bits) + (1 << bits)
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by block: one row a block, with a bit for each cell that counts two or more. Only one block's cells are held at a time."""
+
+    def made(block: int, counts: np.ndarray) -> pa.RecordBatch:
+        bits = np.packbits(counts >= 2, bitorder="little").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([block], type=pa.int32()), pa.array([bits], type=pa.binary())], names=["block", "bits"])
+
+    now, counts = None, np.zeros(1 << 16, dtype=np.uint8)
+    for batch in batches:
+        for block, places in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if block != now:
+                if now is not None:
+                    yield made(now, counts)
+                now = block
+                counts[:] = 0
+            at = np.frombuffer(places.as_buffer(), dtype="<u2")
+            again = at[1:][at[1:] == at[:-1]]
+            counts[at] = np.minimum(counts[at] + 1, 2)
+            counts[again] = 2
+    if now is not None:
+        yield made(now, counts)
+
+
 def broadcast_seen_twice(sketches: DataFrame, bits: int) -> Broadcast:
-    """Merges the tasks' sketches and broadcasts which cells count two or more: 2 * 2 ** bits / 8 bytes."""
-    merged = sketches.groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 2")
-    return broadcast_cells(merged, "cell", bits + 1)
+    """Merges the tasks' sketches and broadcasts which cells count two or more: 2 * 2 ** bits / 8 bytes, which is all that passes the driver."""
+    rows = sketches.repartition("block").sortWithinPartitions("block").mapInArrow(_added, "block int, bits binary").toArrow()
+    table = np.zeros((2 << bits) // 8, dtype=np.uint8)
+    for block, raw in zip(rows["block"].to_pylist(), rows["bits"], strict=True):
+        room = table[block * 8192 : (block + 1) * 8192]
+        room[:] = np.frombuffer(raw.as_buffer(), dtype=np.uint8)[: len(room)]
+    return sketches.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
 def seen_twice(table: bytes, hashes: np.ndarray, bits: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 Pass 1 counts anchors in a count-min sketch. A window's anchor is its smallest `ANCHOR`-word hash, so that equal windows
 have equal anchors, and the sketch's estimate for the anchor never falls below the window's count; there are far fewer anchors than windows. Each task sums a sparse
-sketch of its part of the documents, and Spark merges these cell by cell. Pass 2 groups exactly (by 96 bits of two
+sketch of its part of the documents, packed in blocks of cells, and Spark merges these block by block. Pass 2 groups exactly (by 96 bits of two
 independent hashes) only the windows whose estimate says repeated, so no repeated window is lost.
 """
 
