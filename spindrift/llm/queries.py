@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, mixing, neardup, quality_model, quality_rules, secrets, substrings, warc
+from . import alignment, chat, decontaminate, html_text, mixing, neardup, quality_model, quality_rules, secrets, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,12 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "lang", "n_bytes", F.round("bits_per_byte", 4).alias("bits_per_byte"), "threshold", "kept")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mixing": op2_mixing,
@@ -107,6 +113,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_warc": op9_warc,
     "op10_quality_model": op10_quality_model,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 #: What both tokenisations look like in DuckDB.
