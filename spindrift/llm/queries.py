@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, html_text, mixing, neardup, quality_model, quality_rules, secrets, substrings, warc
+from . import alignment, chat, decontaminate, html_text, mixing, neardup, ngram_join, quality_model, quality_rules, secrets, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mixing": op2_mixing,
@@ -114,6 +118,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_quality_model": op10_quality_model,
     "op11_token_alignment": op11_token_alignment,
+    "op12_ngram_jaccard": op12_ngram_jaccard,
 }
 
 #: What both tokenisations look like in DuckDB.
