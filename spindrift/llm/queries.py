@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, html_text, mixing, neardup, ngram_join, quality_model, quality_rules, secrets, substrings, warc
+from . import alignment, chat, collocations, decontaminate, html_text, mixing, neardup, ngram_join, quality_model, quality_rules, secrets, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,10 @@ def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mixing": op2_mixing,
@@ -119,6 +123,7 @@ QUERIES = {
     "op10_quality_model": op10_quality_model,
     "op11_token_alignment": op11_token_alignment,
     "op12_ngram_jaccard": op12_ngram_jaccard,
+    "op13_collocations": op13_collocations,
 }
 
 #: What both tokenisations look like in DuckDB.
@@ -241,6 +246,27 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(role) + length(text) + (length(text) - length(replace(replace(text, '\', ''), '<', ''))) + 22)::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents)),
+grams AS (
+  SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase, count(*) AS f
+  FROM pieces, (SELECT unnest(range(1, 6)) AS k), unnest(range(1, greatest(len(w) - k + 2, 1))) AS u(s) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 100),
+cuts AS (SELECT lang, phrase, f AS a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM candidates, unnest(range(1, k)) AS u(j)),
+scored AS (
+  SELECT c.lang, c.phrase, a, j, p.f AS l, q.f AS r, n, 1000::HUGEINT * a * n // (p.f::HUGEINT * q.f) AS score
+  FROM cuts c JOIN grams p ON p.lang = c.lang AND p.phrase = x JOIN grams q ON q.lang = c.lang AND q.phrase = y JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+shorter AS (
+  SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(f) AS longer
+  FROM candidates, unnest(range(2, k)) AS u(m), unnest(range(1, k - m + 2)) AS v(s) GROUP BY ALL),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+  FROM lowest LEFT JOIN shorter USING (lang, phrase) WHERE coalesce(100 * longer < 100 * a, true))
+SELECT * FROM ranked WHERE rank <= 2000""",
     "op9_warc": r"""
 WITH digests AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
