@@ -11,10 +11,11 @@ from .config import MEDIA_EXTENSIONS, OFFICE_EXTENSIONS, QUERY_TYPES, SETTINGS,
 from .functions import text
 from .jobs import ingest
 from .jobs import search as search_job
-from .operators import aggregate, chunking, dense, embed, evaluate, fusion, incremental, index, notes, planner, requests, rerank, sparse
+from .operators import aggregate, chunking, dense, embed, evaluate, fusion, incremental, index, notes, planner, requests, rerank, segments, sparse
 from .sources import stored
 from .sources.tables import FIRST_TIME, files, passage_queries, table
 from .sources.tables import notes as note_files
+from .streaming import maintenance
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -534,6 +535,51 @@ def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.apply(old, fresh, changed).groupBy("filepath").agg(F.count_distinct("term").alias("n_rows"))
 
 
+@query(f"""
+WITH {FILES}, tokens AS (SELECT filepath, unnest({words_sql('content')}) AS term FROM files)
+SELECT filepath, count(*) AS n_rows, count(DISTINCT term) AS n_terms FROM tokens GROUP BY filepath""")
+def maintained_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index that a stream leaves: an older inventory and half of the present one come at once, then its other half and a part of a later one."""
+    folder = f"{stored.shared_folder(spark)}/maintained-{uuid.uuid4().hex}"
+    rows = files(spark, sf_dir).select("doc_id", "filepath", "mtime", "source_type", "content")
+    past = rows.where("doc_id % 7 <> 0").withColumns({"mtime": F.col("mtime") - 60.0 * (F.col("doc_id") % 5), "content": F.concat(F.lit("older "), "content")})
+    past = past.unionByName(rows.where("doc_id % 13 = 0").withColumn("filepath", F.concat("filepath", F.lit(".old"))))
+    past = past.where("doc_id % 5 <> 0").unionByName(rows.where("doc_id % 5 = 0 AND doc_id % 7 <> 0"))
+
+    def marked(some: DataFrame, number: int, whole: DataFrame, more: int = 0) -> DataFrame:
+        return some.drop("doc_id").crossJoin(whole.agg((F.count(F.lit(1)) + more).alias("n_files"))).withColumn("inventory", F.lit(number).cast("long"))
+
+    first = marked(past, 1, past).unionByName(marked(rows.where("doc_id % 2 = 0"), 2, rows))
+    second = marked(rows.where("doc_id % 2 = 1"), 2, rows).unionByName(marked(past.where("doc_id % 3 = 0"), 3, past, 1))
+
+    def built(some: DataFrame) -> DataFrame:
+        return index.postings(some.select(F.col("filepath").alias("chunk_id"), "content"), {"content": "content"}).select(F.col("chunk_id").alias("filepath"), "term", "pos")
+
+    for part in (first, second):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
+        maintenance.maintain(stream, f"{folder}/index", built, f"{folder}/progress", every=None, buckets=16).awaitTermination()
+    return maintenance.read_index(spark, f"{folder}/index").groupBy("filepath").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("term").alias("n_terms"))
+
+
+@query(bm25_sql(f"SELECT item_id AS query_id, array_to_string({words_sql('text')}[1:3], ' ') AS query FROM benchmark", 50))
+def bm25_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search over an index that three change sets have brought up to date: new, modified and deleted files, and a merge of segments."""
+    base = f"{stored.shared_folder(spark)}/segments-{uuid.uuid4().hex}"
+    now = _doc_chunks(spark, sf_dir)
+    older = now.withColumn("content", F.concat(F.lit("older "), F.col("content"), F.lit(" zzz")))
+    k = F.col("chunk_id")
+    gone = older.where(k % 13 == 0).withColumns({"chunk_id": -k - 1, "filepath": F.concat("filepath", F.lit(".old"))})
+    as_new, as_modified, as_deleted = (F.lit(x).alias("change") for x in ("new", "modified", "deleted"))
+    first = now.where((k % 7 != 0) & (k % 5 != 1)).unionByName(older.where((k % 7 != 0) & (k % 5 == 1))).unionByName(gone)
+    segments.apply(spark, base, first.select("filepath", as_new), first, INDEXED, 1, fan=2)
+    second = now.where((k % 7 != 0) & (k % 5 == 1)).unionByName(older.where(k % 7 == 0))
+    segments.apply(spark, base, second.select("filepath", F.when(k % 7 == 0, "new").otherwise("modified").alias("change")), second, INDEXED, 2, fan=2)
+    third = now.where(k % 7 == 0)
+    segments.apply(spark, base, third.select("filepath", as_modified).unionByName(gone.select("filepath", as_deleted)), third, INDEXED, 3, fan=2)
+    return _ranked(sparse.bm25(planner.plan(passage_queries(spark, sf_dir)), segments.read(spark, base).of(["content"]), (("content", 1.0),)), 50)
+
+
 @query(f"""
 WITH a AS (SELECT 'a' || doc_id AS filepath, doc_id::DOUBLE AS mtime FROM documents),
 b AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'c' END || doc_id AS filepath, doc_id + 0.5 AS mtime FROM documents)

@@ -53,3 +53,33 @@ def finished(spark: SparkSession, folder: str) -> list[int]:
         return []
     names = [status.getPath().getName() for status in system.listStatus(found)]
     return sorted(int(n) for n in names if n.isdigit() and exists(spark, f"{folder}/{n}/_SUCCESS"))
+
+
+def numbered(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers that name tables in a folder, finished or not, in order."""
+    found, system = _path(spark, folder)
+    if not system.exists(found):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(found)]
+    return sorted(int(n) for n in names if n.lstrip("-").isdigit())
+
+
+def parts(spark: SparkSession, path: str, column: str) -> list[int]:
+    """The values of a partitioned table's first column, a number, from the names of its folders."""
+    found, system = _path(spark, path)
+    if not system.exists(found):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(found)]
+    return sorted(int(n.removeprefix(f"{column}=")) for n in names if n.startswith(f"{column}=") and n.removeprefix(f"{column}=").lstrip("-").isdigit())
+
+
+def age(spark: SparkSession, path: str) -> float:
+    """When a folder was last written to, in seconds since 1970."""
+    found, system = _path(spark, path)
+    return system.getFileStatus(found).getModificationTime() / 1000
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a table with its files."""
+    found, system = _path(spark, path)
+    system.delete(found, True)

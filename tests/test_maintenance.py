@@ -178,22 +178,70 @@ def test_rate_limit_stream(spark, tmp_path):
     assert sum(r.allowed for r in spark.table("limited").collect()) == sum(expected(rows, 3, 60.0).values())
 
 
-def test_streaming_maintenance_equals_a_new_index(spark, tmp_path):
-    build = lambda df: df.select("filepath", F.explode(text.words(F.col("content"))).alias("term"))
-    schema = "filepath string, mtime double, source_type string, content string"
-    versions = [
-        [("a", 1.0, "file", "one two"), ("b", 1.0, "file", "three")],
-        [("a", 1.0, "file", "one two"), ("b", 2.0, "file", "four five"), ("c", 1.0, "file", "six")],
-        [("c", 1.0, "file", "six"), ("d", 1.0, "mweb", "seven")],
-    ]
-    base = str(tmp_path / "index")
-    for k, rows in enumerate(versions):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-        maintenance.maintain(stream, base, build, str(tmp_path / "check"), every=None).awaitTermination(120)
-        version = maintenance.current(spark, base)
-        got = sorted(map(tuple, maintenance.read_index(spark, base).collect()))
-        assert version == k + 1 and got == sorted(map(tuple, build(spark.createDataFrame(rows, schema)).collect()))
+BUILD = lambda df: df.select("filepath", F.explode(text.words(F.col("content"))).alias("term"))
+FILES = "filepath string, mtime double, source_type string, content string"
+INVENTORIES = [
+    [("a", 1.0, "file", "one two"), ("b", 1.0, "file", "three")],
+    [("a", 1.0, "file", "one two"), ("b", 2.0, "file", "four five"), ("c", 1.0, "file", "six")],
+    [("a", 3.0, "file", "nine"), ("c", 1.0, "file", "six"), ("d", 1.0, "mweb", "seven")],
+]
+
+
+def follow(spark, folder, parts):
+    """Each part is a file of rows (inventory, its size, row) that a run of the stream finds; the index after each run."""
+    schema = f"{FILES}, {maintenance.MARKS}"
+    out = []
+    for rows in parts:
+        spark.createDataFrame([(*(row or (None,) * 4), k, n) for k, n, row in rows], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        maintenance.maintain(stream, f"{folder}/index", BUILD, f"{folder}/check", every=None, buckets=8).awaitTermination(120)
+        found = maintenance.read_index(spark, f"{folder}/index")
+        out.append(None if found is None else sorted(map(tuple, found.collect())))
+    return out
+
+
+def marked(k):
+    return [(k + 1, len(INVENTORIES[k]), row) for row in INVENTORIES[k]]
+
+
+def fresh(spark, k):
+    return sorted(map(tuple, BUILD(spark.createDataFrame(INVENTORIES[k], FILES)).collect()))
+
+
+def test_each_inventory_gives_the_index_of_a_full_build(spark, tmp_path):
+    assert follow(spark, tmp_path, [marked(0), marked(1), marked(2)]) == [fresh(spark, k) for k in range(3)]
+
+
+def test_several_inventories_in_one_trigger(spark, tmp_path):
+    """Old and new words of a changed file must not stand side by side, and a deleted file has to go."""
+    assert follow(spark, tmp_path, [marked(0) + marked(1) + marked(2)]) == [fresh(spark, 2)]
+    state = maintenance.read_state(spark, f"{tmp_path}/index")
+    assert sorted((r.filepath, r.mtime) for r in state.collect()) == [("a", 3.0), ("c", 1.0), ("d", 1.0)]
+
+
+def test_an_inventory_in_several_batches_waits_until_it_is_whole(spark, tmp_path):
+    one, two, three = marked(0), marked(1), marked(2)
+    parts = [one, two[:1], three[:1] + two[1:2], two[2:], three[1:2] + three[:1], three[2:] + one]
+    assert follow(spark, tmp_path, parts) == [fresh(spark, k) for k in (0, 0, 0, 1, 1, 2)]
+
+
+def test_an_empty_inventory_and_a_late_one(spark, tmp_path):
+    got = follow(spark, tmp_path, [marked(0), [(9, 0, None)], marked(1)])
+    assert got[0] == fresh(spark, 0) and not got[1] and not got[2]
+    assert maintenance.applied(spark, f"{tmp_path}/index") == 9
+
+
+def test_sweep_keeps_what_versions_need(spark, tmp_path):
+    follow(spark, tmp_path, [marked(0), marked(1), marked(2)])
+    base = f"{tmp_path}/index"
+    held = maintenance.read_index(spark, base, 1).collect()
+    assert maintenance.sweep(spark, base, 3600.0) == []
+    later = __import__("time").time() + 7200.0
+    # A reader of version 1 still finds it while it's young; of old versions the last two stay here.
+    assert maintenance.sweep(spark, base, 3600.0, keep=3, now=later) == [f"{base}/arrived/{b}" for b in range(3)] and maintenance.read_index(spark, base, 1).collect() == held
+    gone = maintenance.sweep(spark, base, 3600.0, keep=1, now=later)
+    assert {f"{base}/versions/1", f"{base}/versions/2"} <= set(gone) and f"{base}/versions/3" not in gone
+    assert sorted(map(tuple, maintenance.read_index(spark, base).collect())) == fresh(spark, 2)
 
 
 def test_only_touched_buckets_are_written(spark, tmp_path):
@@ -207,7 +255,7 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     for _ in range(2):  # the second time it's a repeated batch
         counts = maintenance.apply_inventory(spark, base, second, build, 2, 8).first()
         assert (counts.n_new, counts.n_deleted, counts.n_modified) == (1, 1, 0)
-    held = {r.bucket: r.version for r in spark.read.parquet(f"{base}/versions/2").where("bucket >= 0").collect()}
+    held = {r.bucket: r.version for r in spark.read.parquet(f"{base}/versions/2").where("bucket >= 0 AND kind = 'index'").collect()}
     assert sorted(held) == list(range(8)) and 1 <= sum(v == 2 for v in held.values()) <= 2
     assert sorted(map(tuple, maintenance.read_index(spark, base).collect())) == sorted(map(tuple, build(second).collect()))
     assert sorted(map(tuple, maintenance.read_index(spark, base, 1).collect())) == sorted(map(tuple, build(first).collect()))
