@@ -16,6 +16,7 @@ import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain, count
 
 import numpy as np
@@ -31,11 +32,13 @@ from .joins import skew_join
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Code points of a block's texts; a longer text is a block of its own.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 4_000_000
 #: How the byte-level tokenizer splits texts before its merges (a fixed value of that vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces longer than this are encoded by the slower library, whose time doesn't grow with the square of a piece.
 LONG = 2_000
+#: Pieces that are encoded at once.
+RUN = 1_000
 
 PIECE = re.compile(r"\s*\S+(?:[^\S \n]\s*(?:\S+|\Z))*|\s+")
 _LOADED: dict[tuple[int, int], Pair] = {}
@@ -48,21 +51,31 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+def _packed(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all tokens, their lengths, and where each begins."""
+    lengths = np.array([len(x) for x in tokens], dtype=np.int64)
+    return np.frombuffer(b"".join(tokens), dtype=np.uint8), lengths, np.cumsum(lengths) - lengths
+
+
+def _spelled(ids: np.ndarray, raw: np.ndarray, lengths: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The bytes of a sequence of tokens."""
+    n = lengths[ids]
+    return raw[np.arange(int(n.sum())) + np.repeat(begins[ids] - (np.cumsum(n) - n), n)]
+
+
 class Pair:
     """Both tokenizers, and the bytes of all their tokens."""
 
     def __init__(self, byte_bpe: bytes, piece_bpe: bytes):
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
         model = json.loads(byte_bpe)
         back = _byte_level()
         vocabulary = {bytes(map(back.__getitem__, token)): i for token, i in model["model"]["vocab"].items() if all(c in back for c in token)}
         special = {x["id"] for x in model["added_tokens"]}
         self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={t: i for t, i in vocabulary.items() if i not in special}, special_tokens={})
-        self.long_a = Tokenizer.from_str(byte_bpe.decode())
-        self.long_a.encode_special_tokens = True
+        self.file = byte_bpe
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_bpe)
         self.space = self.b.encode("\n")[:1]
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -70,11 +83,19 @@ class Pair:
         for token, i in vocabulary.items():
             self.a_bytes[i] = token
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
-        self.a_lengths, self.b_lengths = (np.array([len(x) for x in own], dtype=np.int64) for own in (self.a_bytes, self.b_bytes))
+        (self.a_raw, self.a_lengths, self.a_at), (self.b_raw, self.b_lengths, self.b_at) = map(_packed, (self.a_bytes, self.b_bytes))
         # Texts may be cut before a space or line feed only if no token of B holds one behind another character.
         plain = [x for i, x in enumerate(names) if not self.b.is_byte(i)]
         self.whole = any("▁" in x.lstrip("▁") or "\n" in x for x in plain)
 
+    @cached_property
+    def long_a(self):
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_str(self.file.decode())
+        made.encode_special_tokens = True
+        return made
+
     def pieces(self, text: str) -> list[str]:
         """Space and text, cut before each space or line feed that follows a character other than white space.
 
@@ -83,13 +104,34 @@ class Pair:
         """
         return [f" {text}"] if self.whole else PIECE.findall(f" {text}")
 
-    def encode_a(self, pieces: list[str]) -> list[list[int]]:
-        return [self.a.encode_ordinary(x) if len(x) < LONG else self.long_a.encode(x, add_special_tokens=False).ids for x in pieces]
-
-    def encode_b(self, pieces: list[str]) -> list[list[int]]:
-        # B adds a space of its own (but not to nothing): it stands for the piece's first one, or else is taken off again.
-        found = self.b.encode([x[1:] if x[0] == " " else x for x in pieces], num_threads=1)
-        return [self.space if x == " " else ids if x[0] == " " else ids[1:] for x, ids in zip(pieces, found, strict=True)]
+    def encode_a(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and where those of each begin."""
+        ids, lengths = [], []
+        for k in range(0, len(pieces), RUN):
+            some = pieces[k : k + RUN]
+            run = "".join(some)
+            if len(run) < RUN * 100 and not any(x[-1].isspace() or len(x) >= LONG for x in some):
+                # What follows a piece begins with white space, so the run has the tokens of its pieces.
+                found = np.array(self.a.encode_ordinary(run), dtype=np.int64)
+                ends = np.cumsum([len(x.encode()) for x in some])
+                ids.append(found)
+                lengths.append(np.diff(np.searchsorted(np.cumsum(self.a_lengths[found]), ends), prepend=-1))
+            else:
+                each = [self.a.encode_ordinary(x) if len(x) < LONG else self.long_a.encode(x, add_special_tokens=False).ids for x in some]
+                ids.append(np.fromiter(chain.from_iterable(each), dtype=np.int64))
+                lengths.append([len(x) for x in each])
+        return np.concatenate(ids or [np.zeros(0, dtype=np.int64)]), np.concatenate([[0], *lengths]).cumsum()
+
+    def encode_b(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths = [], []
+        for k in range(0, len(pieces), RUN):
+            some = pieces[k : k + RUN]
+            # B adds a space of its own (but not to nothing): it stands for the piece's first one, or else is taken off again.
+            found = self.b.encode([x[1:] if x[0] == " " else x for x in some], num_threads=1)
+            own = [self.space if x == " " else y if x[0] == " " else y[1:] for x, y in zip(some, found, strict=True)]
+            ids.append(np.fromiter(chain.from_iterable(own), dtype=np.int64))
+            lengths.append([len(x) for x in own])
+        return np.concatenate(ids or [np.zeros(0, dtype=np.int64)]), np.concatenate([[0], *lengths]).cumsum()
 
 
 def load(files: tuple) -> Pair:
@@ -174,13 +216,16 @@ class Aligned:
     """Different pieces, encoded and aligned: by piece ok, n_a, n_b, n_groups, groups (text), and its links link_at[k]:link_at[k + 1]."""
 
     def __init__(self, pair: Pair, pieces: list[str]):
-        (a, a_at), (b, b_at) = _ragged(pair.encode_a(pieces)), _ragged(pair.encode_b(pieces))
-        raw = [x.encode() for x in pieces]
-        self.ok = np.fromiter(
-            (b"".join(map(pair.a_bytes.__getitem__, a[i:j])) == x == b"".join(map(pair.b_bytes.__getitem__, b[k:m])) for x, i, j, k, m in zip(raw, a_at[:-1].tolist(), a_at[1:].tolist(), b_at[:-1].tolist(), b_at[1:].tolist(), strict=True)),
-            dtype=bool,
-            count=len(pieces),
-        )
+        (a, a_at), (b, b_at) = pair.encode_a(pieces), pair.encode_b(pieces)
+        raw = "".join(pieces).encode()
+        size = np.array([len(x.encode()) for x in pieces], dtype=np.int64)
+        self.ok = np.ones(len(pieces), dtype=bool)
+        for ids, at, own in ((a, a_at, (pair.a_raw, pair.a_lengths, pair.a_at)), (b, b_at, (pair.b_raw, pair.b_lengths, pair.b_at))):
+            told = _spelled(ids, *own)
+            if told.tobytes() != raw:
+                end = np.concatenate([[0], np.cumsum(own[1][ids])])[at]
+                stop = np.cumsum(size)
+                self.ok &= [told[x:y].tobytes() == raw[z - n : z] for x, y, z, n in zip(end[:-1].tolist(), end[1:].tolist(), stop.tolist(), size.tolist(), strict=True)]
         # Tokens of pieces whose bytes differ are left out.
         keep_a, keep_b = np.repeat(self.ok, np.diff(a_at)), np.repeat(self.ok, np.diff(b_at))
         self.n_a, self.n_b = np.where(self.ok, np.diff(a_at), 0), np.where(self.ok, np.diff(b_at), 0)
@@ -190,15 +235,9 @@ class Aligned:
         full = np.flatnonzero(self.n_a)
         i, j = shared_cuts(a_end, b_end, a_at[full], a_at[full + 1] - 1, b_at[full], b_at[full + 1] - 1)
         a_stop, b_stop = np.sort(np.concatenate([i, a_at[full + 1] - 1])) + 1, np.sort(np.concatenate([j, b_at[full + 1] - 1])) + 1
-        told_a, told_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups, x, y = [], 0, 0
-        for u, v in zip(a_stop.tolist(), b_stop.tolist(), strict=True):
-            groups.append(f"{told_a[x]}|{told_b[y]}" if u - x == 1 == v - y else f"{','.join(told_a[x:u])}|{','.join(told_b[y:v])}")
-            x, y = u, v
         group_at = np.searchsorted(a_stop, a_at, "right")
         self.n_groups = np.diff(group_at)
-        at = group_at.tolist()
-        self.groups = [";".join(groups[u:v]) for u, v in zip(at[:-1], at[1:], strict=True)]
+        self.groups = _named(a, b, a_stop, b_stop, group_at)
         # Each token of A overlaps a run of tokens of B.
         first = np.searchsorted(b_end, a_end - pair.a_lengths[a], "right")
         n = np.searchsorted(b_end, a_end) - first + 1
@@ -208,14 +247,39 @@ class Aligned:
         self.pairs, self.pair_of = np.unique(a[link_a] << 32 | b[link_b], return_inverse=True)
 
 
+def _named(a: np.ndarray, b: np.ndarray, a_stop: np.ndarray, b_stop: np.ndarray, group_at: np.ndarray) -> list[str]:
+    """The groups of each piece, in text. Most are of one token each, and few pairs of tokens differ, so these are named once."""
+    a_from, b_from = np.concatenate([[0], a_stop[:-1]]), np.concatenate([[0], b_stop[:-1]])
+    single = (a_stop - a_from == 1) & (b_stop - b_from == 1)
+    names = np.empty(len(a_stop), dtype=object)
+    kinds, which = np.unique(a[a_from[single]] << 32 | b[b_from[single]], return_inverse=True)
+    names[single] = np.array([f"{x >> 32}|{x & 0xFFFFFFFF}" for x in kinds.tolist()], dtype=object)[which]
+    several = np.flatnonzero(~single)
+    names[several] = [
+        f"{','.join(map(str, a[x:u].tolist()))}|{','.join(map(str, b[y:v].tolist()))}" for x, u, y, v in zip(a_from[several].tolist(), a_stop[several].tolist(), b_from[several].tolist(), b_stop[several].tolist(), strict=True)
+    ]
+    names, at = names.tolist(), group_at.tolist()
+    return [";".join(names[u:v]) for u, v in zip(at[:-1], at[1:], strict=True)]
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Integers below 2 ** 32, byte by byte: the high bytes of small numbers are alike and pack well."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: pa.BinaryScalar, n: int) -> np.ndarray:
+    raw = pa.decompress(packed.as_buffer(), 4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, n).T).view("<u4").reshape(-1).astype(np.int64)
+
+
 def _sums(values: np.ndarray, members: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each run of members, the sum of their values."""
     return np.diff(np.concatenate([[0], np.cumsum(values[members])])[at])
 
 
 BLOCK = (
-    "block long, ids {ids}, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, piece_at binary, pieces binary, "
-    "groups array<string>, link_at binary, pair_of binary, pairs array<long>, counts array<long>"
+    "block long, ids {ids}, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sizes array<long>, lengths binary, pieces binary, "
+    "groups binary, links binary, pair_of binary, pairs array<long>, counts array<long>"
 )
 
 
@@ -237,11 +301,17 @@ def _block(pair: Pair, number: int, ids: pa.Array, texts: list[str | None]) -> p
     }
     for name, values in (("n_a", made.n_a), ("n_b", made.n_b), ("n_groups", made.n_groups), ("n_links", np.diff(made.link_at))):
         rows[name] = pa.array([_sums(values, members, at)], type=pa.list_(pa.int64()))
-    for name, values in (("piece_at", at.astype("<i8")), ("pieces", members.astype("<i4"))):
-        rows[name] = pa.array([values.tobytes()], type=pa.binary())
-    rows["groups"] = pa.array([made.groups], type=pa.list_(pa.string()))
-    for name, values in (("link_at", made.link_at.astype("<i8")), ("pair_of", made.pair_of.astype("<i4"))):
-        rows[name] = pa.array([values.tobytes()], type=pa.binary())
+    # Frequent pieces get small numbers.
+    order = np.argsort(-times, kind="stable")
+    number_of = np.empty(len(order), dtype=np.int64)
+    number_of[order] = np.arange(len(order))
+    names = "\n".join(map(made.groups.__getitem__, order.tolist())).encode()
+    links = np.diff(made.link_at)
+    pair_of = made.pair_of[np.arange(len(made.pair_of)) - np.repeat(np.cumsum(links[order]) - links[order] - made.link_at[:-1][order], links[order])]
+    packed = {"lengths": _pack(lengths), "pieces": _pack(number_of[members]), "groups": pa.compress(names, codec="zstd", asbytes=True), "links": _pack(links[order]), "pair_of": _pack(pair_of)}
+    rows["sizes"] = pa.array([[len(members), len(order), len(pair_of), len(names)]], type=pa.list_(pa.int64()))
+    for name, value in packed.items():
+        rows[name] = pa.array([value], type=pa.binary())
     rows["pairs"] = pa.array([made.pairs], type=pa.list_(pa.int64()))
     rows["counts"] = pa.array([counts], type=pa.list_(pa.int64()))
     return pa.RecordBatch.from_pydict(rows)
@@ -311,11 +381,12 @@ def _told(block: pa.Table, known: pa.Table) -> pa.Table:
     place = known["place"].to_numpy()
     links[place], best[place] = known["links"].to_numpy(), known["best"].to_numpy()
     row = {name: block[name].combine_chunks()[0] for name in block.column_names}
-    number = lambda name, kind: np.frombuffer(row[name].as_buffer(), dtype=kind)
-    at, members, link_at, pair_of = number("piece_at", "<i8"), number("pieces", "<i4"), number("link_at", "<i8"), number("pair_of", "<i4")
+    n_members, n_pieces, n_links, n_names = row["sizes"].as_py()
+    at, link_at = (np.concatenate([[0], np.cumsum(_unpack(row[x], n))]) for x, n in (("lengths", len(row["ids"].values)), ("links", n_pieces)))
+    members, pair_of = _unpack(row["pieces"], n_members), _unpack(row["pair_of"], n_links)
     each = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[pair_of])])[link_at])
     n_best, count_sum = _sums(each(best), members, at), _sums(each(links), members, at)
-    groups = row["groups"].values.to_pylist()
+    groups = pa.decompress(row["groups"].as_buffer(), n_names, codec="zstd", asbytes=True).decode().split("\n")
     ids, own = row["ids"].values, {name: row[name].values for name in ("n_a", "n_b", "n_groups", "n_links")}
     low, n, out = 0, len(ids), []
     while low < n:  # in batches, as the groups are several times as long as the texts

@@ -98,9 +98,9 @@ def test_pieces_are_encoded_as_whole_texts(pair):
     for text in texts:
         pieces = pair.pieces(text)
         assert "".join(pieces) == f" {text}"
-        assert sum(pair.encode_a(pieces), []) == pair.a.encode_ordinary(f" {text}"), text
+        assert pair.encode_a(pieces)[0].tolist() == pair.a.encode_ordinary(f" {text}"), text
         if "▁" not in text:  # a text with B's own sign for spaces has no tokens
-            assert sum(pair.encode_b(pieces), []) == pair.b.encode(text), text
+            assert pair.encode_b(pieces)[0].tolist() == pair.b.encode(text), text
         assert pair.long_a.encode(f" {text}", add_special_tokens=False).ids == pair.a.encode_ordinary(f" {text}"), text
 
 
