@@ -27,10 +27,10 @@ from .kernels import SPACED, Words, flat, lists, mix, slices
 from .neardup import components, shingled
 
 U = np.uint64
-#: Cells of each of the sketch's two rows: 2 * 2 ** 28 / 8 = 64 MB are broadcast at any input size. A full sketch lets more sets pass.
-SKETCH_BITS = 28
-#: An n-gram's rarity is the number of these counts of candidate sets that it reaches; each has a bit table of 2 ** bits / 8 bytes (16 + 5 * 2 MB).
-LEVELS = {2: 27, 4: 24, 16: 24, 64: 24, 256: 24, 4096: 24}
+#: Cells of each of the sketch's two rows: 2 * 2 ** 27 / 8 = 32 MB are broadcast at any input size. A full sketch lets more sets pass.
+SKETCH_BITS = 27
+#: An n-gram's rarity is the number of these counts of candidate sets that it reaches; each has a bit table of 2 ** bits / 8 bytes (8 + 5 * 2 MB).
+LEVELS = {2: 26, 4: 24, 16: 24, 64: 24, 256: 24, 4096: 24}
 #: Sets and n-grams of a tree, at most (one larger set is a tree of its own).
 TREE_SETS, TREE_TOKENS = 256, 1 << 19
 #: Sets that a task remembers so as to pass over their copies.
