@@ -723,7 +723,15 @@ def index_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.estimate(table(spark, sf_dir, "documents"), 2.5, 0.2).select("n_files", F.col("n_chunks").cast("long").alias("n_chunks"), F.col("n_tokens").cast("long").alias("n_tokens"), F.round("seconds", 6).alias("seconds"))
 
 
-@query()
+@query("""
+WITH RECURSIVE own AS (SELECT event_id, ts, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+walk AS (
+  SELECT event_id, ts, user_id, k, true AS allowed, NULL::TIMESTAMP AS earlier, ts::TIMESTAMP AS last FROM own WHERE k = 1
+  UNION ALL
+  SELECT o.event_id, o.ts, o.user_id, o.k, coalesce(o.ts - w.earlier >= INTERVAL 1 DAY, true),
+    CASE WHEN coalesce(o.ts - w.earlier >= INTERVAL 1 DAY, true) THEN w.last ELSE w.earlier END, CASE WHEN coalesce(o.ts - w.earlier >= INTERVAL 1 DAY, true) THEN o.ts::TIMESTAMP ELSE w.last END
+  FROM walk w JOIN own o ON o.user_id = w.user_id AND o.k = w.k + 1)
+SELECT event_id, ts, user_id, allowed FROM walk""")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two events of a user a day."""
     return requests.rate_limit(table(spark, sf_dir, "events").select("event_id", "ts", "user_id"), ["user_id"], "ts", 2, 86400.0, ["event_id"])

@@ -35,7 +35,7 @@ def manifest(spark: SparkSession, base: str, version: int | None = None) -> Data
 
 def _live(spark: SparkSession, base: str, version: int | None) -> list:
     """The live segments. There are about FAN for each tier, so their number grows with the logarithm of the chunks."""
-    return [] if version is None else manifest(spark, base, version).where("segment >= 0").collect()
+    return [] if version is None else manifest(spark, base, version).where("segment <> -1").collect()
 
 
 def _tombstones(spark: SparkSession, base: str, segment, columns: list[str]) -> DataFrame:

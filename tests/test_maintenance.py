@@ -149,7 +149,7 @@ def test_requests(spark):
 
 def events(spark):
     pick = random.Random(5)
-    rows = [(i, pick.choice("abc"), float(pick.randrange(0, 1000))) for i in range(300)]
+    rows = [(i, pick.choice("abc"), float(pick.randrange(1000, 2000))) for i in range(300)]
     return rows, spark.createDataFrame(rows, "id long, who string, t double").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
 
 
@@ -169,13 +169,38 @@ def test_rate_limit(spark, limit):
     assert got == expected(rows, limit, 60.0)
 
 
-def test_rate_limit_stream(spark, tmp_path):
+def replay(spark, folder, df, files, transform):
+    """The rows that a stream gives when the table's files come one by one, and are followed by a row of much later time."""
+    for k, part in enumerate(files):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    name = f"replay{abs(hash(str(folder)))}"
+    transform(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination(200)
+    return spark.table(name).collect()
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_rate_limit_stream_equals_the_batch(spark, tmp_path, batches):
+    """Whatever the size of batches; times within the lateness may come in any order, and batches far apart forget nothing."""
     rows, df = events(spark)
-    df.orderBy("t", "id").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = limits.limited(stream, ["who"], "ts", 3, 60.0).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sum(r.allowed for r in spark.table("limited").collect()) == sum(expected(rows, 3, 60.0).values())
+    cut = [1000.0 + 1000.0 * k / batches for k in range(batches + 1)]
+    late = 20.0
+    parts = [df.where((F.col("t") + (F.col("id") % 3) * late / 3 >= low) & (F.col("t") + (F.col("id") % 3) * late / 3 < high)) for low, high in zip(cut, [*cut[1:-1], 1e9], strict=False)]
+    end = spark.createDataFrame([(-1, "end", 5000.0)], "id long, who string, t double").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+    got = replay(spark, tmp_path, df, [*parts, end], lambda x: limits.limited(x, ["who"], "ts", 3, 60.0, ["id"], "30 seconds"))
+    assert {r.id: r.allowed for r in got if r.id >= 0} == expected(rows, 3, 60.0)
+
+
+def test_expiry_stream_equals_the_filter(spark, tmp_path):
+    day = 86400.0
+    rows = [(f"k{i}", i * day + 1) for i in range(12)] + [("k3", 11.0 * day + 1), ("none", None)]
+    df = spark.createDataFrame(rows, "text_hash string, created_at double")
+    end = spark.createDataFrame([("now", 20 * day + 11)], df.schema)
+    got = replay(spark, tmp_path, df, [df.where("created_at < 500000"), df.where("created_at >= 500000 OR created_at IS NULL"), end], lambda x: limits.expired(x, "text_hash", "created_at", 14.0))
+    last = df.groupBy("text_hash").agg(F.max("created_at").alias("created_at"))
+    kept = {r.text_hash for r in incremental.expire(last, 20 * day + 1, 14.0).collect()}
+    assert sorted((r.text_hash, r.created_at) for r in got) == sorted((r.text_hash, r.created_at) for r in last.collect() if r.text_hash not in kept)
+    assert {r.text_hash for r in got} == {"k0", "k1", "k2", "k4", "k5"}
 
 
 BUILD = lambda df: df.select("filepath", F.explode(text.words(F.col("content"))).alias("term"))
