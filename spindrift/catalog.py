@@ -11,7 +11,7 @@ from .config import MEDIA_EXTENSIONS, OFFICE_EXTENSIONS, QUERY_TYPES, SETTINGS,
 from .functions import text
 from .jobs import ingest
 from .jobs import search as search_job
-from .operators import aggregate, chunking, dense, embed, evaluate, fusion, incremental, index, notes, planner, requests, rerank, segments, sparse
+from .operators import aggregate, chunking, dense, embed, evaluate, fusion, incremental, index, notes, planner, requests, rerank, segments, sparse, vector_index
 from .sources import stored
 from .sources.tables import FIRST_TIME, files, passage_queries, table
 from .sources.tables import notes as note_files
@@ -294,6 +294,39 @@ def dense_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.nearest(rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding"), rows.where("label % 2 = 0"), 24)
 
 
+@query("""
+WITH asked AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 20 = 0), f(filtered) AS (VALUES (false), (true))
+SELECT filtered, n AS n_queries, true AS reached FROM asked, f""")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An approximate index after a change set, searched with ids divisible by 20 against all rows: whether 0.9 of the exact 36 neighbours are found, without and with a filter."""
+    base = f"{stored.shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    rows = _vectors(spark, sf_dir).select(
+        "chunk_id",
+        F.concat(F.lit("/v/"), "chunk_id").alias("filepath"),
+        "embedding",
+        F.when(F.col("label") % 2 == 0, "file").otherwise("mweb").alias("source_type"),
+        F.col("chunk_id").cast("double").alias("mtime"),
+        F.col("chunk_id").cast("double").alias("ctime"),
+    )
+    old = F.col("chunk_id") % 3 == 1
+    past = rows.where("chunk_id % 5 <> 2").withColumn("embedding", F.when(old, F.reverse("embedding")).otherwise(F.col("embedding")))
+    past = past.unionByName(rows.where("chunk_id % 7 = 0").withColumns({"chunk_id": -F.col("chunk_id") - 1, "filepath": F.concat("filepath", F.lit(".old"))}))
+    vector_index.write(past, base)
+    change = F.when(F.col("chunk_id") % 5 == 2, "new").when(old, "modified").otherwise("unchanged")
+    changed = rows.select("filepath", change.alias("change")).unionByName(past.where("chunk_id < 0").select("filepath", F.lit("deleted").alias("change")))
+    vector_index.apply(spark, base, changed, rows, 1)
+    probes = vector_index.calibrate(rows, base, 36)
+    asked = rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    out = None
+    for filtered in (False, True):
+        queries = asked.withColumn("source", F.lit("file")) if filtered else asked
+        exact = dense.nearest(queries, rows.select("chunk_id", "embedding"), 36, files=rows if filtered else None)
+        measured = vector_index.recall(vector_index.search(queries, base, 36, probes), exact)
+        own = measured.select(F.lit(filtered).alias("filtered"), "n_queries", (F.col("recall") >= 0.9).alias("reached"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def _both_branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Keyword and vector hits of passage queries, where a query's vector is that of its number."""
     queries = passage_queries(spark, sf_dir, 2)
