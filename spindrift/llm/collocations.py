@@ -1,7 +1,7 @@
 """Phrase collocation mining with weighted acyclic automata.
 
-A phrase that occurs often has only words and word pairs that do. So words are counted first, then pairs of frequent words, by
-hash; bit tables of fixed size tell which n-grams may be frequent. Each task then counts these exactly and builds an automaton
+A phrase that occurs often has only words and word pairs that do. So words are counted first, then pairs of frequent words, then
+longer n-grams of frequent pairs, these by hash; bit tables of fixed size tell which n-grams may be frequent. Each task then counts these exactly and builds an automaton
 of its sorted n-grams for every range of first words. Automata of a range are united, their counts summed, and paths that are too
 rare dropped. A phrase's beginnings lie on its own path; its other parts are looked up in the automata of their ranges.
 """
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ U = np.uint64
 #: Bytes that end a piece, and bytes of words.
 ENDS = _mask(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 INSIDE = ~(ENDS | _mask(lambda b: b in b" \t"))
-#: Bit tables of frequent words and of frequent pairs: 2 ** 26 / 8 = 8 MB each. A full table lets more n-grams be counted exactly.
+#: Bit tables of frequent words, pairs and longer n-grams: 2 ** 26 / 8 = 8 MB each. A full table lets more n-grams be counted exactly.
 BITS = 26
 #: Different n-grams a task holds before it passes them on.
 HELD = 200_000
@@ -72,10 +71,9 @@ class Runs:
             out &= ~self.first[k : k + n]
         return out
 
-    def pairs(self) -> np.ndarray:
-        """The hash of the pair that begins at each word but the last."""
-        h = window_hashes(self.words.hash, 2)
-        return mix(h ^ self.salt[: len(h)])
+    def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
+        """The hashes of the n-grams that begin at some places."""
+        return self.hash[at] if size == 1 else mix(window_hashes(self.words.hash, size)[at] ^ self.salt[at])
 
     def phrases(self, at: np.ndarray, size: int) -> list[str]:
         """The words from each place on, joined by spaces. They may be apart by any white space."""
@@ -130,36 +128,82 @@ def _likely(h: np.ndarray, table: Broadcast) -> np.ndarray:
     return bitmaps.probe(table.value, bitmaps.cells(h, bits))
 
 
-def _pair_hashes(texts: DataFrame, words: Broadcast) -> DataFrame:
-    """h and n of pairs of words that may be frequent."""
+def _chains(runs: Runs, words: Broadcast, pairs: Broadcast | None) -> np.ndarray:
+    """Where two words of one run stand that may both be frequent, and as a pair, if pairs are given."""
+    often = _likely(runs.hash, words)
+    out = np.zeros(len(often), dtype=bool)
+    if len(often) > 1:
+        out[:-1] = runs.joined(2) & often[:-1] & often[1:]
+        if pairs is not None:
+            where = np.flatnonzero(out)
+            out[where] = _likely(runs.hashes(where, 2), pairs)
+    return out
 
-    def added(held: list) -> tuple[np.ndarray, np.ndarray]:
+
+def _longer(chain: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Sizes from 3 on, and the places of n-grams all of whose pairs stand in the chain."""
+    fits = chain
+    for size in range(3, most + 1):
+        fits = fits[: len(fits) - 1] & chain[size - 2 :]
+        if not fits.any():
+            return
+        yield size, np.flatnonzero(fits)
+
+
+def _counted(texts: DataFrame, found) -> DataFrame:
+    """h and n of the hashes that `found` makes of runs; each task adds up equal ones first."""
+
+    def added(held: list) -> pa.RecordBatch:
         h, which = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-        return h, np.bincount(which, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
+        n = np.bincount(which, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
+        return pa.RecordBatch.from_arrays([as_long(h), pa.array(n)], names=["h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for runs in _runs(batches):
-            often = _likely(runs.hash, words)
-            pairs = runs.pairs()[runs.joined(2) & often[:-1] & often[1:]] if len(often) > 1 else np.zeros(0, dtype=np.uint64)
-            held.append(np.unique(pairs, return_counts=True))
-            n += len(held[-1][0])
+            for h in found(runs):
+                held.append(np.unique(h, return_counts=True))
+                n += len(held[-1][0])
             if n > HASHES:
-                h, times = added(held)
-                yield pa.RecordBatch.from_arrays([as_long(h), pa.array(times)], names=["h", "n"])
+                yield added(held)
                 held, n = [], 0
         if n:
-            h, times = added(held)
-            yield pa.RecordBatch.from_arrays([as_long(h), pa.array(times)], names=["h", "n"])
+            yield added(held)
 
     return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _shards(texts: DataFrame, words: Broadcast, pairs: Broadcast, most: int, bounds: list[tuple[str, str]]) -> DataFrame:
+class _Tally:
+    """Counts of n-grams by hash; the words of each are read once."""
+
+    def __init__(self):
+        self.h, self.n, self.place, self.keys = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), []
+
+    def add(self, runs: Runs, at: np.ndarray, size: int) -> None:
+        h, first, times = np.unique(runs.hashes(at, size), return_index=True, return_counts=True)
+        place = np.searchsorted(self.h, h)
+        known = np.zeros(len(h), dtype=bool)
+        inside = place < len(self.h)
+        known[inside] = self.h[place[inside]] == h[inside]
+        self.n[place[known]] += times[known]
+        if not known.all():
+            some = at[first[~known]]
+            langs = [runs.langs[k] for k in runs.lang[some].tolist()]
+            new = np.arange(len(self.keys), len(self.keys) + len(some))
+            self.keys += [(lang, *phrase.split(" ")) for lang, phrase in zip(langs, runs.phrases(some, size), strict=True)]
+            where = place[~known]
+            self.h, self.n, self.place = np.insert(self.h, where, h[~known]), np.insert(self.n, where, times[~known]), np.insert(self.place, where, new)
+
+    def rows(self) -> list[tuple[tuple[str, ...], int]]:
+        """All in order. Equal n-grams have one hash, so each is there once."""
+        return sorted(zip(map(self.keys.__getitem__, self.place.tolist()), self.n.tolist(), strict=True))
+
+
+def _shards(texts: DataFrame, words: Broadcast, pairs: Broadcast, longer: Broadcast, most: int, bounds: list[tuple[str, str]]) -> DataFrame:
     """range and automaton: the n-grams of up to `most` words that may be frequent, as each task counts them."""
 
-    def told(counts: Counter) -> pa.RecordBatch:
-        rows = sorted((((lang, *phrase.split(" ")), n) for (lang, phrase), n in counts.items()))
+    def told(tally: _Tally) -> pa.RecordBatch:
+        rows = tally.rows()
         ranges, made, low = [], [], 0
         while low < len(rows):
             here = bisect_right(bounds, rows[low][0][:2])
@@ -172,32 +216,18 @@ def _shards(texts: DataFrame, words: Broadcast, pairs: Broadcast, most: int, bou
         return pa.RecordBatch.from_arrays([pa.array(ranges, type=pa.int32()), pa.array(made, type=pa.binary())], names=["range", "automaton"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        tally = _Tally()
         for runs in _runs(batches):
-            often = _likely(runs.hash, words)
-            chain = np.zeros(len(often), dtype=bool)
-            if len(often) > 1:
-                chain[:-1] = runs.joined(2) & often[:-1] & often[1:]
-                where = np.flatnonzero(chain)
-                chain[where] = _likely(runs.pairs()[where], pairs)
-            fits = often
-            for size in range(1, most + 1):
-                if size > 1:  # all its pairs may be frequent
-                    fits = fits & np.append(chain[size - 2 :], np.zeros(size - 2, dtype=bool))[: len(fits)] if size > 2 else chain
-                at = np.flatnonzero(fits)
-                if not len(at):
-                    break
-                h = window_hashes(runs.words.hash, size)[at] if size > 1 else runs.words.hash[at]
-                _, first, times = np.unique(mix(h ^ runs.salt[at]), return_index=True, return_counts=True)
-                some = at[first]
-                langs = [runs.langs[k] for k in runs.lang[some].tolist()]
-                for key, n in zip(zip(langs, runs.phrases(some, size), strict=True), times.tolist(), strict=True):
-                    counts[key] += n
-            if len(counts) > HELD:
-                yield told(counts)
-                counts = Counter()
-        if counts:
-            yield told(counts)
+            tally.add(runs, np.flatnonzero(_likely(runs.hash, words)), 1)
+            chain = _chains(runs, words, pairs)
+            tally.add(runs, np.flatnonzero(chain), 2)
+            for size, at in _longer(chain, most):
+                tally.add(runs, at[_likely(runs.hashes(at, size), longer)], size)
+            if len(tally.keys) > HELD:
+                yield told(tally)
+                tally = _Tally()
+        if tally.keys:
+            yield told(tally)
 
     return texts.mapInArrow(run, "range int, automaton binary")
 
@@ -295,14 +325,15 @@ def collocations(
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     often = words.where(F.col("n") >= least)
     frequent = _table(often)
-    pairs = _table(_pair_hashes(texts, frequent).where(F.col("n") >= least))
+    pairs = _table(_counted(texts, lambda runs: [runs.hashes(np.flatnonzero(_chains(runs, frequent, None)), 2)]).where(F.col("n") >= least))
+    longer = _table(_counted(texts, lambda runs: (runs.hashes(at, size) for size, at in _longer(_chains(runs, frequent, pairs), most_words))).where(F.col("n") >= least))
 
     # Bounds between ranges only balance the work: some frequent words, which their hashes choose, in order.
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sample = sorted((x["lang"], x["word"]) for x in often.select("lang", "word", "h").orderBy("h", "lang", "word").limit(ranges * PER_BOUND).collect())
     bounds = sample[PER_BOUND - 1 :: PER_BOUND]
 
-    automata = cut(_united(_shards(texts, frequent, pairs, most_words, bounds), least))
+    automata = cut(_united(_shards(texts, frequent, pairs, longer, most_words, bounds), least))
     cuts = cut(_cuts(automata, bounds))
     wanted = cuts.select(F.col("rest_range").alias("range"), "lang", "rest").distinct()
     parts = _looked_up(automata, wanted)
