@@ -250,19 +250,20 @@ FROM turns GROUP BY conv_id""",
 WITH pieces AS (
   SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w
   FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents)),
-grams AS (
+grams AS MATERIALIZED (
   SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase, count(*) AS f
-  FROM pieces, (SELECT unnest(range(1, 6)) AS k), unnest(range(1, greatest(len(w) - k + 2, 1))) AS u(s) GROUP BY ALL),
+  FROM (SELECT lang, w, k, unnest(range(1, greatest(len(w) - k + 2, 1))) AS s FROM pieces, (SELECT unnest(range(1, 6)) AS k)) GROUP BY ALL),
 totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
-candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 100),
-cuts AS (SELECT lang, phrase, f AS a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM candidates, unnest(range(1, k)) AS u(j)),
+often AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM grams WHERE f >= 100),
+cuts AS (
+  SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM (SELECT *, f AS a, unnest(range(1, k)) AS j FROM often WHERE k > 1)),
 scored AS (
   SELECT c.lang, c.phrase, a, j, p.f AS l, q.f AS r, n, 1000::HUGEINT * a * n // (p.f::HUGEINT * q.f) AS score
-  FROM cuts c JOIN grams p ON p.lang = c.lang AND p.phrase = x JOIN grams q ON q.lang = c.lang AND q.phrase = y JOIN totals t ON t.lang = c.lang),
+  FROM cuts c JOIN often p ON p.lang = c.lang AND p.phrase = x JOIN often q ON q.lang = c.lang AND q.phrase = y JOIN totals t ON t.lang = c.lang),
 lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 shorter AS (
   SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(f) AS longer
-  FROM candidates, unnest(range(2, k)) AS u(m), unnest(range(1, k - m + 2)) AS v(s) GROUP BY ALL),
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS m FROM often WHERE k > 2)) GROUP BY ALL),
 ranked AS (
   SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
   FROM lowest LEFT JOIN shorter USING (lang, phrase) WHERE coalesce(100 * longer < 100 * a, true))
