@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitmaps
+from .arrays import own_prefix
 from .checkpoints import cut
 from .joins import skew_join
 from .kernels import ALNUM, LOWER, Words, as_long, flat, in_row, lists, slices, window_hashes
@@ -171,5 +172,6 @@ def find_contamination(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no benchmark window occurs, all their columns unchanged. Options as in find_contamination."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    bad = find_contamination(docs, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_id")) & (text_key(text_col) == F.col("__bad_key")), "left_anti")
+    p = own_prefix(docs.columns)
+    bad = find_contamination(docs, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias(f"{p}id"), F.col("text_key").alias(f"{p}key")).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (text_key(text_col) == F.col(f"{p}key")), "left_anti")

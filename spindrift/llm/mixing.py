@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import own_prefix
 from .checkpoints import cut
 from .joins import skew_join
 from .running import running_totals
@@ -95,12 +96,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_passes: int =
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, all columns, with `passes`: how many times each is to be read. Options as in mix."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    taken = mix(docs, **options).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("passes"), asc=False).alias("__passes"))
-    own = docs.withColumn("__key", F.xxhash64(text_col))
-    same = Window.partitionBy(F.col(id_col), "__key").orderBy(F.lit(0))
+    p = own_prefix(docs.columns)
+    taken = mix(docs, **options).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("passes"), asc=False).alias(f"{p}passes"))
+    own = docs.withColumn(f"{p}key", F.xxhash64(text_col))
+    same = Window.partitionBy(F.col(id_col), f"{p}key").orderBy(F.lit(0))
     joined = own.join(
-        taken.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key"), "__passes"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text_key"))
+        taken.select(F.col("doc_id").alias(f"{p}id"), F.col("text_key").alias(f"{p}text_key"), f"{p}passes"), F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}key") == F.col(f"{p}text_key"))
     )
     # Repeated rows share out the passes that were counted for them.
-    out = joined.withColumn("passes", F.element_at("__passes", F.row_number().over(same)))
+    out = joined.withColumn("passes", F.element_at(f"{p}passes", F.row_number().over(same)))
     return out.where("passes > 0").select(*(c for c in docs.columns if c != "passes"), "passes")

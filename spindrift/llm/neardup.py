@@ -328,8 +328,9 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str
     """
     classes = _classes(docs, threshold, size, id_col, text_col)
     chosen = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x"))
-    keys = chosen.select(F.col("x.doc_id").alias("__keep_id"), F.col("x.text_key").alias("__keep_key"))
-    kept = docs.join(keys, F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.xxhash64(text_col) == F.col("__keep_key")), "left_semi")
+    p = own_prefix(docs.columns)
+    keys = chosen.select(F.col("x.doc_id").alias(f"{p}id"), F.col("x.text_key").alias(f"{p}key"))
+    kept = docs.join(keys, F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(text_col) == F.col(f"{p}key")), "left_semi")
     same_row = Window.partitionBy(F.col(id_col), F.xxhash64(text_col)).orderBy(F.lit(0))
-    copy = f"{own_prefix(docs.columns)}copy"
+    copy = f"{p}copy"
     return kept.withColumn(copy, F.row_number().over(same_row)).where(F.col(copy) == 1).drop(copy)

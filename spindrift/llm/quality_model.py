@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitmaps
+from .arrays import own_prefix
 from .checkpoints import cut
 from .joins import skew_join
 from .kernels import flat, lists, mix, slices
@@ -340,5 +341,6 @@ def classify(
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that classify keeps, with all their columns. Options as in classify."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    bad = classify(docs, labels, **options).where("not kept").select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_id")) & (F.xxhash64(text_col) == F.col("__bad_key")), "left_anti")
+    p = own_prefix(docs.columns)
+    bad = classify(docs, labels, **options).where("not kept").select(F.col("doc_id").alias(f"{p}id"), F.col("text_key").alias(f"{p}key")).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(text_col) == F.col(f"{p}key")), "left_anti")
