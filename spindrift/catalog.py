@@ -779,14 +779,35 @@ def history_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.history(rows, "query", "ts")
 
 
-@query(r"""
-WITH base AS (SELECT conv_id, turn, regexp_extract(text, '^\S+ \S+', 0) AS core FROM conversations)
-SELECT conv_id, turn, core AS query, CASE WHEN core = '' THEN 'help me find ' || core || ' please' ELSE core END AS refined FROM base""")
+# Phrases round whole texts, by the number of the turn; the last has none.
+SAID = (("帮我搜索一下 ", "的资料吧。"), ("请搜", "相关文件"), ("help me find ", " please"), ("Could you search ", " thanks!"), ("麻烦帮我，", " 。"), ("", ""))
+_LONGEST = {name: "|".join(sorted(own, key=len, reverse=True)) for name, own in (("prefix", requests.PREFIXES), ("suffix", requests.SUFFIXES))}
+SAID_SQL = "CASE (conv_id + turn) % {n} " + " ".join(f"WHEN {k} THEN '{x}' || line || '{y}'" for k, (x, y) in enumerate(SAID)) + " END"
+
+
+def _stripped_sql(text: str) -> str:
+    """The rule as nested replacements."""
+    out = f"regexp_replace(trim({text}), '^(?:{_LONGEST['prefix']})[ ，。、\\t]*', '')"
+    out = f"regexp_replace({out}, '(.)(?:{_LONGEST['suffix']})$', '\\1')"
+    out = f"regexp_replace({out}, '[ ，。、\\t]+$', '')"
+    for pattern in (requests.PARTICLES, requests.ENGLISH_PREFIX, requests.ENGLISH_SUFFIX):
+        out = f"trim(regexp_replace({out}, '{pattern}', ''))"
+    return out
+
+
+@query(f"""
+WITH lines AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[\\x09-\\x0D]+', ' ', 'g') AS line FROM conversations),
+said AS (SELECT conv_id, turn, {SAID_SQL.format(n=len(SAID))} AS said FROM lines)
+SELECT conv_id, turn, said, {_stripped_sql('said')} AS stripped FROM said""")
 def strip_filler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract("text", r"^\S+ \S+", 0).alias("core"))
-    said = F.concat(F.lit("help me find "), F.col("core"), F.lit(" please"))
-    english = requests.strip_filler(said)
-    return rows.select("conv_id", "turn", F.when(F.col("core") == "", F.col("core")).otherwise(english).alias("query"), F.when(F.col("core") == "", said).otherwise(requests.refine(said, said)).alias("refined"))
+    """Whole texts between the phrases of requests in two languages, without these again."""
+    line = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x09-\x0D]+", " ")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line"))
+    said = F.lit(None)
+    for k, (x, y) in enumerate(SAID):
+        said = F.when((F.col("conv_id") + F.col("turn")) % len(SAID) == k, F.concat(F.lit(x), "line", F.lit(y))).otherwise(said)
+    rows = rows.select("conv_id", "turn", said.alias("said"))
+    return rows.withColumn("stripped", requests.strip_filler(F.col("said")))
 
 
 @query("""

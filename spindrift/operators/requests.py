@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 # Phrases around a search, and the marks of an instruction.
 PREFIXES = (
-    "帮我搜索下 帮我搜一下 帮我搜下 帮我搜索 帮我搜 帮我查找 帮我找一下 帮我找下 帮我找 帮我查一下 帮我查下 请帮我搜索 请帮我搜 请搜索 请搜一下 请搜 请查找 请找一下 "
-    "能否帮我搜索 能否搜索 能否搜一下 麻烦搜索 麻烦搜一下 麻烦帮我 搜索一下 搜一下 搜下 查找一下 找一下 找下 查一下 查下 我想搜索 我想搜 我要搜索 我要搜 想要搜索 需要搜索"
-).split()
-SUFFIXES = "的信息 的资料 的文件 的内容 的东西 相关文件 相关资料 相关内容".split()
+    "帮我搜索下", "帮我搜一下", "帮我搜下", "帮我搜索", "帮我搜", "帮我查找", "帮我找一下", "帮我找下", "帮我找", "帮我查一下", "帮我查下", "请帮我搜索", "请帮我搜", "请搜索", "请搜一下", "请搜", "请查找",
+    "请找一下", "能否帮我搜索", "能否搜索", "能否搜一下", "麻烦搜索", "麻烦搜一下", "麻烦帮我", "搜索一下", "搜一下", "搜下", "查找一下", "找一下", "找下", "查一下", "查下", "我想搜索", "我想搜", "我要搜索",
+    "我要搜", "想要搜索", "需要搜索",
+)
+SUFFIXES = (
+    "的信息", "的资料", "的文件", "的内容", "的东西", "相关文件", "相关资料", "相关内容",
+)
 PARTICLES = r"[吧呢吗呀嘛啊助诶嘿\s]+[。.!！?？…]*\s*$"
 ENGLISH_PREFIX = r"(?i)^\s*(please\s+)?(can\s+you\s+)?(could\s+you\s+)?(help\s+me\s+)?(to\s+)?(search|find|look\s+up|look\s+for)\s+"
 ENGLISH_SUFFIX = r"(?i)\s+(please|thanks|thank\s+you)[.!\s]*$"
