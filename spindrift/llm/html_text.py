@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. Each block has a word count, a link density, those of its neighbours, its size
 against the page's longest text, and what encloses it. A tree trained on the hand-labelled blocks of labelled_pages tells main
-text from the rest; marks in the markup are features of the tree like the counts.
+text from the rest. Its first levels split by counts and densities of the block and its neighbours; marks in the markup, where
+there are any, refine what these have told apart.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ HEADER_WORDS = frozenset(("header", "head"))
 COMMON_WORDS = frozenset(
     """site page main global primary secondary top bottom left right upper lower inner outer wrapper wrap container content box block section area
     list item items bar row col column group panel region slot unit link links button buttons icon icons title post posts article articles story
-    mobile desktop sticky fixed wp js id the and by for of more our email""".split()
+    mobile desktop sticky fixed wp js id the and by for of more our email body text meta thread sdk""".split()
 )
 #: A class that begins so says what a page has or lacks.
 SAYS = frozenset("no has with without hide show is".split())
@@ -64,6 +65,8 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Least labelled blocks of a leaf, and the part of main blocks from which a leaf counts as main: in doubt, no text is lost.
 LEAST, DOUBT = 4, 0.5
+#: The first features are counts and densities; so many levels of the tree split by these.
+COUNTS, LEVELS = 6, 2
 
 FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "share_of_longest", "heading", "mark", "container", "page_has_main")
 #: Levels of `mark` and `container`.
@@ -78,10 +81,13 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
+def _hidden(name: str, attributes: dict[str, str]) -> bool:
+    """Whether an element isn't shown, and so is no text at all."""
+    return name not in NEVER and ("hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_HIDING.search(attributes.get("style", ""))))
+
+
 def _mark(name: str, attributes: dict[str, str], inside: bool) -> tuple[int, bool]:
     """How far an element frames what it holds (nothing, HINT, FRAMED), and whether articles inside are framed too."""
-    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _HIDING.search(attributes.get("style", "")):
-        return (0, False) if name in NEVER else (FRAMED, True)
     if name in FRAMES and not (name == "header" and inside):
         return FRAMED, name != "form"
     if name in NEVER:
@@ -95,7 +101,9 @@ def _mark(name: str, attributes: dict[str, str], inside: bool) -> tuple[int, boo
         marks = framing.intersection(words)
         if not marks:
             continue
-        if all(w in framing or w in COMMON_WORDS for w in words):
+        if name == "p" and inside:
+            level = HINT  # a paragraph of an article may be about what its class says
+        elif all(w in framing or w in COMMON_WORDS for w in words):
             if name != "article":
                 return FRAMED, bool(marks & REPLIES)
             if marks & REPLIES:
@@ -220,14 +228,16 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
                 if opened and (opened[-1][0] == name and name in ENDS_ITSELF or opened[-1][0] == "p" and block):
                     close(len(opened) - 1)
                 _, skipped, _, mark, replies, inside = opened[-1] if opened else none
+                hidden = False
                 if block:
                     found = _attributes(attributes) if attributes else {}
+                    hidden = _hidden(name, found)
                     own = _container(name, found)
                     level, holds = _mark(name, found, max(inside, own) == MARKED)
                     if own == MARKED and not replies and mark and level < FRAMED:
                         mark = 0  # the wrapper of an article doesn't frame it
                     mark, replies, inside = max(mark, level), replies or holds, max(inside, own)
-                opened.append((name, skipped or not block, name in HEADINGS, mark, replies, inside))
+                opened.append((name, skipped or hidden or not block, name in HEADINGS, mark, replies, inside))
                 depth[name] = depth.get(name, 0) + 1
     read(page[at:])
     flush()
@@ -256,7 +266,7 @@ def labelled() -> list[tuple[int, np.ndarray, bool]]:
 
 def train(rows: list[tuple[int, np.ndarray, bool]] | None = None) -> tuple:
     rows = labelled() if rows is None else rows
-    return tree.fit(np.array([f for _, f, _ in rows]), np.array([float(y) for _, _, y in rows]), depth=12, least=LEAST)
+    return tree.fit(np.array([f for _, f, _ in rows]), np.array([float(y) for _, _, y in rows]), depth=12, least=LEAST, leading=COUNTS, levels=LEVELS)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

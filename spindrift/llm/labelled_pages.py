@@ -68,4 +68,12 @@ PAGES = (
     """<div class="main-content"><p>+Only this ~5</p></div><div>-Made with love</div><div>-Server time 12:00</div>""",
     """<div class="post-body"><p>+It rained ~26</p><p>+Still.</p><p>+<a>See the picture here</a></p></div><div>-Posted in <a>weather</a></div><p>-A line below ~16</p>""",
     """<div>-Slogan of the site ~6</div><div id="story"><p>+They met ~44</p><p>+"Hi."</p><p>+Fin</p></div>""",
+    # Pages of a line with a link in it.
+    """<p>+See <a>this page</a></p>""",
+    """<p>+Moved <a>over there</a></p>""",
+    """<div>+Go to <a>the list</a></div>""",
+    """<p>+Read <a>the rest</a> at home</p>""",
+    # Paragraphs of articles whose classes are words of frames.
+    """<article><h1>+Rules</h1><p class="notice">+All must ~12</p><p>+Then ~30</p><p class="legal">+By law ~8</p><p class="alert">+Mind the step.</p><p class="copyright">+The term ~9</p></article>""",
+    """<article><p class="search">+We looked ~20</p><p class="comment">+He said ~25</p><p>+End.</p></article>""",
 )
