@@ -14,10 +14,18 @@ CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}"
 
 
 def _fold_table() -> tuple[str, str]:
-    """Letters with diacritics and their base letters, from the Unicode decompositions."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x180)]
-    pairs = [(a, b) for a, b in pairs if a != b]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    """Characters with diacritics and their base characters, from the Unicode decompositions; marks, which go, stand at the end of the first."""
+    accented, plain, marks = [], [], []
+    for c in (c for block in (range(0xC0, 0xAC00), range(0xF900, 0x10000)) for c in block):  # all but syllables that would be composed again
+        own = chr(c)
+        if unicodedata.category(own).startswith("M"):
+            marks.append(own)
+            continue
+        bare = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", own) if not unicodedata.category(x).startswith("M")))
+        if len(bare) == 1 and bare != own:
+            accented.append(own)
+            plain.append(bare)
+    return "".join(accented + marks), "".join(plain)
 
 
 _ACCENTED, _PLAIN = _fold_table()

@@ -191,3 +191,16 @@ def test_text_functions(spark):
     assert row(text.relative_path(F.col("v"), ["/a", "/a/b"]), "/a/b/c.md") == "c.md"
     assert row(text.mark_terms(F.col("v"), ["a.b", "x"]), "A.B acb X") == "<mark>A.B</mark> acb <mark>X</mark>"
     assert row(text.safe_filename(F.col("v")), ' a/b:c?  d ') == "a_b_c_ d"
+
+
+def test_folding_takes_all_diacritics(spark):
+    """As DuckDB's strip_accents does, for each character of the basic plane."""
+    import duckdb
+    import pandas as pd
+
+    letters = pd.DataFrame({"x": [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]})
+    both = spark.createDataFrame(duckdb.query("SELECT x, strip_accents(x) AS y FROM letters").df())
+    got = {r.x: (r.a, r.b) for r in both.select("x", text.fold(F.col("x")).alias("a"), F.lower("y").alias("b")).collect()}
+    assert {x for x, (a, b) in got.items() if a != b} == set()
+    got = {x: a for x, (a, _) in got.items()}
+    assert got["ế"] == "e" and got["ǖ"] == "u" and got["\u0301"] == "" and got["が"] == "か" and got["한"] == "한"
