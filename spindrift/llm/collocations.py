@@ -34,7 +34,7 @@ BITS = 26
 #: Different n-grams a task holds before it passes them on.
 HELD = 200_000
 #: Hashes a task holds before it adds up equal ones.
-HASHES = 2_000_000
+HASHES = 1_000_000
 #: Automata of a range that are united at once.
 FAN = 64
 #: Ranges for each shuffle partition, and words that are looked at for each bound between two.
