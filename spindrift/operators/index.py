@@ -5,8 +5,11 @@ It can be a plan over chunks (made) or tables whose files are sorted by term (wr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,46 @@ def postings(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
     return rows.select("chunk_id", "f.field", F.posexplode_outer("f.tokens").alias("pos", "term")).where("term IS NOT NULL").select("term", "chunk_id", "field", "pos")
 
 
+#: Characters and chunks whose terms one task sorts (the ids of so many chunks fit a dictionary page), and tokens that are turned into terms at once.
+TASK_CHARS, TASK_CHUNKS, TOKENS = 8 << 20, 16_000, 1 << 20
+
+
+def inverted(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """(term, chunk_id, field, tf, at) from chunks: each term once, with its places in order. Made row by row, without a shuffle."""
+    names = list(fields)
+    cut = chunks.select("chunk_id", *(index_tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"__{i}") for i, c in enumerate(fields.values())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, name in enumerate(names):
+                ends = np.cumsum(batch.column(i + 1).value_lengths().to_numpy(zero_copy_only=False))
+                low = 0
+                while low < batch.num_rows:
+                    # Chunks of about so many tokens, one at least.
+                    high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + TOKENS, "right")))
+                    yield _terms(batch.column(0).slice(low, high - low), batch.column(i + 1).slice(low, high - low), name)
+                    low = high
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    return cut.mapInArrow(run, f"term string, chunk_id {kind}, field string, tf bigint, at array<int>")
+
+
+def _terms(chunk: pa.Array, tokens: pa.Array, field: str) -> pa.RecordBatch:
+    sizes = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    place = (np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+    words = tokens.flatten().dictionary_encode()
+    key = own * max(1, len(words.dictionary)) + words.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    bounds = np.append(first, len(order))
+    at = pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), pa.array(place[order], type=pa.int32()))
+    term = words.dictionary.take(words.indices.take(pa.array(order[first])))
+    return pa.RecordBatch.from_arrays(
+        [term.cast(pa.string()), chunk.take(pa.array(own[order[first]])), pa.array([field] * len(first), type=pa.string()), pa.array(np.diff(bounds)), at], names=["term", "chunk_id", "field", "tf", "at"]
+    )
+
+
 def document_lengths(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
     """(chunk_id, length) of chunks with any token: tokens over all fields, counted in place."""
     return _length(field_lengths(chunks, fields), list(fields))
@@ -82,11 +125,20 @@ class Index:
         return self.totals.select("n_chunks", (total / F.col("n_chunks")).alias("mean_length"))
 
 
-def _derived(positions: DataFrame, lengths: DataFrame, n_chunks: DataFrame, fields: dict[str, str]) -> Index:
-    terms = positions.groupBy("term", "chunk_id", "field").agg(F.count(F.lit(1)).alias("tf"))
-    words = positions.groupBy("term").agg(F.collect_set("field").alias("fields"))
+def _derived(rows: DataFrame, lengths: DataFrame, n_chunks: DataFrame, fields: dict[str, str]) -> Index:
+    terms = rows.select("term", "chunk_id", "field", "tf")
     totals = lengths.agg(*(F.coalesce(F.sum(f"n_{f}"), F.lit(0)).alias(f"n_{f}") for f in fields)).crossJoin(n_chunks)  # one row each
-    return Index(terms, positions, words, lengths, totals, tuple(fields))
+    return Index(terms, occurring(rows), words(terms), lengths, totals, tuple(fields))
+
+
+def occurring(rows: DataFrame) -> DataFrame:
+    """(term, chunk_id, field, pos), a row for each place."""
+    return rows.select("term", "chunk_id", "field", F.explode_outer("at").alias("pos"))
+
+
+def words(terms: DataFrame) -> DataFrame:
+    """(term, fields). Pairs are made single first, so that a task holds and sends each once."""
+    return terms.select("term", "field").distinct().groupBy("term").agg(F.collect_list("field").alias("fields"))
 
 
 def _counted(chunks: DataFrame) -> DataFrame:
@@ -95,29 +147,39 @@ def _counted(chunks: DataFrame) -> DataFrame:
 
 def made(chunks: DataFrame, fields: dict[str, str]) -> Index:
     """The index of chunks as a plan."""
-    return _derived(postings(chunks, fields), field_lengths(chunks, fields), _counted(chunks), fields)
+    return _derived(inverted(chunks, fields), field_lengths(chunks, fields), _counted(chunks), fields)
+
+
+def pieces(spark: SparkSession, chars: int | None, n_chunks: int) -> int:
+    """Over how many tasks chunks are dealt: they grow with the texts, so that none has to spill."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(chars or 0) // TASK_CHARS), -(-n_chunks // TASK_CHUNKS))
 
 
 def write(chunks: DataFrame, fields: dict[str, str], path: str, partitions: int | None = None) -> None:
-    """Stores the index of chunks. Each task sorts the tokens of its own chunks by term, so no term, however common, fills a task, and a
+    """Stores the index of chunks. Each task sorts the terms of its own chunks, so no term, however common, fills a task, and a
     search reads in each file only the row groups that may hold its terms. Texts are cut into tokens once; the other tables come from the
-    positions. Chunks are dealt evenly first, as files of texts may be few and uneven."""
+    places, in the order they are stored in. Chunks are dealt evenly first, as files of texts may be few and uneven: this is the only
+    shuffle of texts, and terms are not shuffled at all."""
     spark = chunks.sparkSession
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
-    dealt = chunks.select("chunk_id", *dict.fromkeys(fields.values())).repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    positions = stored(postings(dealt, fields).sortWithinPartitions("term", "chunk_id"), "positions")
-    lengths = stored(positions.groupBy("chunk_id").agg(*(F.count_if(F.col("field") == f).alias(f"n_{f}") for f in fields)), "lengths")
-    index = _derived(positions, lengths, _counted(chunks), fields)
-    terms = stored(index.terms.sortWithinPartitions("term", "chunk_id"), "terms")
-    stored(terms.groupBy("term").agg(F.collect_set("field").alias("fields")).sortWithinPartitions("term"), "vocabulary")
-    stored(index.totals, "totals")
+    columns = list(dict.fromkeys(fields.values()))
+    if partitions is None:
+        size = sum((F.coalesce(F.length(c), F.lit(0)) for c in columns), F.lit(0).cast("long"))
+        partitions = pieces(spark, *chunks.agg(F.sum(size), F.count(F.lit(1))).first())
+    dealt = chunks.select("chunk_id", *columns).repartition(partitions)
+    rows = stored(inverted(dealt, fields).sortWithinPartitions("term", "chunk_id"), "positions")
+    terms = stored(rows.select("term", "chunk_id", "field", "tf"), "terms")
+    lengths = stored(terms.groupBy("chunk_id").agg(*(F.sum(F.when(F.col("field") == f, F.col("tf")).otherwise(0)).alias(f"n_{f}") for f in fields)), "lengths")
+    stored(words(terms).sortWithinPartitions("term"), "vocabulary")
+    stored(_derived(rows, lengths, _counted(chunks), fields).totals, "totals")
 
 
 def read(spark: SparkSession, path: str) -> Index:
     """A stored index, of all its fields."""
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("terms", "positions", "vocabulary", "lengths", "totals")}
+    tables["positions"] = occurring(tables["positions"])
     return Index(**tables, fields=tuple(c.removeprefix("n_") for c in tables["lengths"].columns if c.startswith("n_")))

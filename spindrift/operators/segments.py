@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.stored import cut, exists, finished
+from ..sources.stored import cut, exists, finished, small
 from . import index
 from .index import Index
 
@@ -48,7 +48,7 @@ def _table(spark: SparkSession, base: str, segments: list, name: str, hide: bool
     for s in segments:
         rows = spark.read.parquet(f"{base}/segments/{s.segment}/{name}")
         if hide and s.tombstones and name != "vocabulary":
-            rows = rows.join(_tombstones(spark, base, s, ["chunk_id"]), "chunk_id", "left_anti")
+            rows = rows.join(small(_tombstones(spark, base, s, ["chunk_id"])), "chunk_id", "left_anti")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -61,8 +61,9 @@ def read(spark: SparkSession, base: str, version: int | None = None) -> Index:
     version = current(spark, base) if version is None else version
     segments = _live(spark, base, version)
     tables = {name: _table(spark, base, segments, name) for name in TABLES}
+    tables["positions"] = index.occurring(tables["positions"])
     if len(segments) > 1:
-        tables["vocabulary"] = tables["vocabulary"].groupBy("term").agg(F.array_distinct(F.flatten(F.collect_list("fields"))).alias("fields"))
+        tables["vocabulary"] = index.words(tables["vocabulary"].select("term", F.explode("fields").alias("field")))
     fields = tuple(c.removeprefix("n_") for c in tables["lengths"].columns if c.startswith("n_"))
     sums = [F.coalesce(F.sum(F.col("totals")[f]), F.lit(0)).alias(f"n_{f}") for f in fields]
     totals = manifest(spark, base, version).agg(F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"), *sums)
@@ -141,12 +142,14 @@ def compact(spark: SparkSession, base: str, rows: list[dict], fields: dict[str,
         k += 1
         path = f"{base}/segments/{number}"
         some = [spark.createDataFrame([r], "segment bigint, tombstones array<bigint>, n_chunks bigint, totals map<string, bigint>").first() for r in merged]
-        for name in ("positions", "terms"):
-            _table(spark, base, some, name).repartition("chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/{name}")
+        # A term has five characters or so.
+        dealt = index.pieces(spark, 6 * sum(n for r in merged for n in r["totals"].values()), sum(r["n_chunks"] for r in merged))
+        _table(spark, base, some, "positions").repartition(dealt, "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/positions")
+        spark.read.parquet(f"{path}/positions").drop("at").write.mode("overwrite").parquet(f"{path}/terms")
         for name in ("lengths", "files"):
             _table(spark, base, some, name).write.mode("overwrite").parquet(f"{path}/{name}")
         # The fields of live rows only, so that terms of hidden chunks go.
-        spark.read.parquet(f"{path}/terms").groupBy("term").agg(F.collect_set("field").alias("fields")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
+        index.words(spark.read.parquet(f"{path}/terms")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
         totals = {f: sum(r["totals"][f] for r in merged) for f in fields}
         one = {"segment": number, "tombstones": [], "n_chunks": sum(r["n_chunks"] for r in merged), "totals": totals}
         rows = [r for r in rows if r not in merged] + [one]

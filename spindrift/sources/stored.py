@@ -6,6 +6,10 @@ import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a table is sent to all tasks; a larger one is shuffled.
+SENT_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame) -> DataFrame:
+    """The same rows, sent to all tasks in a join if they are few, so that the other side isn't shuffled. They should be cheap to count."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def _path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     found = jvm.org.apache.hadoop.fs.Path(path)

@@ -204,3 +204,15 @@ def test_folding_takes_all_diacritics(spark):
     assert {x for x, (a, b) in got.items() if a != b} == set()
     got = {x: a for x, (a, _) in got.items()}
     assert got["ế"] == "e" and got["ǖ"] == "u" and got["\u0301"] == "" and got["が"] == "か" and got["한"] == "한"
+
+
+def test_an_index_grows_by_tasks_and_shuffles_no_terms(spark, tmp_path, monkeypatch):
+    rows = [(k, f"{k}.txt", f"/a/{k}.txt", "", f"alpha beta alpha w{k}") for k in range(40)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, filename string, filepath string, heading string, content string")
+    monkeypatch.setattr(index, "TASK_CHARS", 100, raising=False)
+    index.write(chunks, {"content": "content"}, str(tmp_path))
+    assert len(list((tmp_path / "positions").glob("*.parquet"))) > 4  # more than shuffle partitions
+    held = index.read(spark, str(tmp_path))
+    assert held.terms.where("term = 'alpha' AND tf = 2").count() == 40
+    assert sorted(r.pos for r in held.positions.where("term = 'alpha' AND chunk_id = 7").collect()) == [0, 2]
+    assert "Exchange" not in index.made(chunks, {"content": "content"}).terms._jdf.queryExecution().executedPlan().toString()
