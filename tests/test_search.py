@@ -216,3 +216,15 @@ def test_an_index_grows_by_tasks_and_shuffles_no_terms(spark, tmp_path, monkeypa
     assert held.terms.where("term = 'alpha' AND tf = 2").count() == 40
     assert sorted(r.pos for r in held.positions.where("term = 'alpha' AND chunk_id = 7").collect()) == [0, 2]
     assert "Exchange" not in index.made(chunks, {"content": "content"}).terms._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_are_added_up_where_the_chunks_are(spark):
+    rows = [(k, f"{k}.txt", f"/a/{k}.txt", "", "the then theory of alpha" if k % 2 else "the alphabet") for k in range(50)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, filename string, filepath string, heading string, content string")
+    asked = planner.plan(spark.createDataFrame([(1, "t th the alpha"), (2, "the nothing"), (3, "theo")], "query_id bigint, query string"))
+    scored = sparse.bm25(asked, index.made(chunks, {"content": "content"}), (("content", 1.0),))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2, plan  # the terms found, and the lengths
+    assert "SortMergeJoin" not in plan
+    found = {(r.query_id, r.chunk_id) for r in scored.collect()}
+    assert found == {(1, k) for k in range(50)} | {(3, k) for k in range(1, 50, 2)}
