@@ -360,7 +360,7 @@ def _file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Fused hits with their content."""
     plans, words, near = _both_branches(spark, sf_dir)
-    return plans, fusion.fuse(words, near, plans).join(_file_chunks(spark, sf_dir).drop("source"), "chunk_id")
+    return plans, stored.small(stored.cut(fusion.fuse(words, near, plans))).join(_file_chunks(spark, sf_dir).drop("source"), "chunk_id")
 
 
 CANDIDATES = f"""{BRANCHES},

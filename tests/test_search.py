@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text
 from spindrift.operators import aggregate, dense, evaluate, fusion, index, planner, rerank, sparse
+from spindrift.sources import stored as tables
 
 CHUNKS = "chunk_id string, filename string, filepath string, heading string, content string"
 FIELDS = {"filename": "filename", "path": "filepath", "heading": "heading", "content": "content"}
@@ -228,3 +229,14 @@ def test_scores_are_added_up_where_the_chunks_are(spark):
     assert "SortMergeJoin" not in plan
     found = {(r.query_id, r.chunk_id) for r in scored.collect()}
     assert found == {(1, k) for k in range(50)} | {(3, k) for k in range(1, 50, 2)}
+
+
+def test_few_rows_go_to_the_texts(spark):
+    texts = spark.range(100).withColumn("content", F.lit("x"))
+    few = spark.range(1000).groupBy((F.col("id") % 10).alias("id")).count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = tables.small(few).join(texts, "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
