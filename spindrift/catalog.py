@@ -721,9 +721,11 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = lambda c: F.slice(c, F.lit(2), F.greatest(F.size(c) - 2, F.lit(0)))  # noqa: E731  the outer words may be parts of longer ones in a document
     asked = passages.withColumn("w", F.split("passage", " ")).select("query_id", "passage", F.explode(pair(inner(F.col("w")))).alias("pair"))
     held = docs.withColumn("w", F.split("text", " ")).select("doc_id", F.explode(pair(F.col("w"))).alias("pair"))
-    counts = held.join(asked.select("pair").distinct(), "pair", "left_semi").groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
-    rarest = asked.join(counts, "pair", "left").groupBy("query_id", "passage").agg(F.min_by("pair", F.coalesce("n", F.lit(0))).alias("pair"))
-    found = held.join(rarest, "pair").join(docs, "doc_id").where(F.contains("text", F.col("passage")))
+    # The passages' pairs go to the documents' pairs, and the pairs found to the texts: neither is shuffled.
+    counts = held.join(stored.small(stored.cut(asked.select("pair").distinct())), "pair", "left_semi").groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    rarest = stored.cut(asked.join(counts, "pair", "left").groupBy("query_id", "passage").agg(F.min_by("pair", F.coalesce("n", F.lit(0))).alias("pair")))
+    met = stored.cut(held.join(stored.small(rarest), "pair").select("doc_id", "query_id", "passage"))
+    found = docs.join(stored.small(met), "doc_id").where(F.contains("text", F.col("passage")))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     qrels = found.join(labels, "doc_id", "left").select("query_id", F.col("doc_id").alias("filepath"), (1 + F.coalesce("quality", F.lit(0))).alias("grade"))
     return evaluate.case_metrics(queries, results, qrels)
