@@ -89,25 +89,50 @@ def sections(text: str) -> list[tuple[list[str], str]]:
     return out
 
 
+#: Characters of texts that a task cuts at once, and rows of chunks that it hands on at once.
+CUT_CHARS, CUT_ROWS = 4 << 20, 10_000
+
+
 def content_chunks(files: DataFrame, markdown: bool, settings: Settings = SETTINGS) -> DataFrame:
     """(filepath, chunk_idx, text, title_path) of each file: Markdown by its sections, other texts as a whole. Null and blank texts have none."""
+    return _cut(files.select("filepath", "content"), markdown, settings)
+
+
+def _cut(files: DataFrame, markdown: bool, settings: Settings) -> DataFrame:
+    """chunk_idx, text and title_path of each file's chunks, in place of its content, the last column; its other columns go along."""
+    kept = files.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, places, texts, titles = [], [], [], []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                content = (content or "")[: settings.max_content]
-                parts = sections(content) if markdown else [([], content)]
-                chunks = [(t, title) for title, body in parts for t in split_text(body, settings.chunk_size, settings.chunk_overlap) if t.strip()]
-                paths += [path] * len(chunks)
-                places += range(len(chunks))
-                texts += [t for t, _ in chunks]
-                titles += [t for _, t in chunks]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(paths, type=pa.string()), pa.array(places, type=pa.int32()), pa.array(texts, type=pa.string()), pa.array(titles, type=pa.list_(pa.string()))], names=["filepath", "chunk_idx", "text", "title_path"]
-            )
-
-    return files.select("filepath", "content").mapInArrow(run, "filepath string, chunk_idx int, text string, title_path array<string>")
+            files_, places, texts, titles = [], [], [], []
+
+            def made() -> pa.RecordBatch:
+                own = [batch.column(i).take(pa.array(files_, type=pa.int64())) for i in range(len(kept))]
+                new = [pa.array(places, type=pa.int32()), pa.array(texts, type=pa.string()), pa.array(titles, type=pa.list_(pa.string()))]
+                for held in (files_, places, texts, titles):
+                    held.clear()
+                return pa.RecordBatch.from_arrays([*own, *new], names=[*kept, "chunk_idx", "text", "title_path"])
+
+            held = 0
+            for row, value in enumerate(batch.column(len(kept))):  # one text at a time
+                content = (value.as_py() or "")[: settings.max_content]
+                place = 0
+                for title, body in sections(content) if markdown else [([], content)]:
+                    for t in split_text(body, settings.chunk_size, settings.chunk_overlap):
+                        if t.strip():
+                            files_.append(row)
+                            places.append(place)
+                            texts.append(t)
+                            titles.append(title)
+                            place += 1
+                held += len(content)
+                if held >= CUT_CHARS or len(files_) >= CUT_ROWS:
+                    yield made()
+                    held = 0
+            yield made()
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*kept).schema.fields)
+    return files.mapInArrow(run, f"{fields}, chunk_idx int, text string, title_path array<string>")
 
 
 def chunk_records(files: DataFrame, markdown: bool = False, settings: Settings = SETTINGS) -> DataFrame:
@@ -123,7 +148,7 @@ def chunk_records(files: DataFrame, markdown: bool = False, settings: Settings =
     base = ["filepath", "filename", "source_type", "mtime", "ctime"]
     name = own.select(*base, F.lit("filename").alias("chunk_type"), F.lit(0).alias("chunk_idx"), none.alias("title_path"), F.concat(F.lit("文件名: "), F.col("filename"), F.lit("\n路径: "), F.col("filepath")).alias("content"))
     titles = own.withColumn("heads", heads).where("size(heads) > 0").select(*base, F.lit("heading").alias("chunk_type"), F.lit(0).alias("chunk_idx"), F.col("heads").alias("title_path"), F.concat(tag, F.array_join("heads", "\n")).alias("content"))
-    body = content_chunks(own, markdown, settings).join(own.drop("content"), "filepath").select(*base, F.lit("content").alias("chunk_type"), "chunk_idx", "title_path", F.concat(tag, F.col("text")).alias("content"))
+    body = _cut(own, markdown, settings).select(*base, F.lit("content").alias("chunk_type"), "chunk_idx", "title_path", F.concat(tag, F.col("text")).alias("content"))
     return chunk_ids(name.unionByName(titles).unionByName(body)).withColumn("embedding_text", truncate(F.col("content"), settings.embed_max))
 
 
@@ -131,5 +156,8 @@ def chunk_ids(chunks: DataFrame) -> DataFrame:
     """Adds file_id and chunk_id: fn for the name, h and x with an ordinal of their kind, c with the chunk's index."""
     ordinal = F.row_number().over(Window.partitionBy("filepath", "chunk_type").orderBy("chunk_idx", "content")) - 1
     kind = F.col("chunk_type")
-    end = F.when(kind == "content", F.concat(F.lit("c"), F.col("chunk_idx"))).when(kind == "filename", F.lit("fn")).when(kind == "heading", F.concat(F.lit("h"), ordinal)).otherwise(F.concat(F.lit("x"), ordinal))
-    return chunks.withColumn("file_id", F.md5("filepath")).withColumn("chunk_id", F.concat(F.col("file_id"), F.lit("_"), end))
+    named = lambda df, end: df.withColumn("file_id", F.md5("filepath")).withColumn("chunk_id", F.concat(F.col("file_id"), F.lit("_"), end))
+    # Content, nearly all there is, has its number already and isn't shuffled.
+    numbered = F.coalesce(kind.isin("content", "filename"), F.lit(False))
+    plain = named(chunks.where(numbered), F.when(kind == "content", F.concat(F.lit("c"), F.col("chunk_idx"))).otherwise(F.lit("fn")))
+    return plain.unionByName(named(chunks.where(~numbered), F.concat(F.when(kind == "heading", F.lit("h")).otherwise(F.lit("x")), ordinal)))

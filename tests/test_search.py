@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import text
-from spindrift.operators import aggregate, dense, evaluate, fusion, index, planner, rerank, sparse
+from spindrift.operators import aggregate, chunking, dense, evaluate, fusion, index, planner, rerank, sparse
 from spindrift.sources import stored as tables
 
 CHUNKS = "chunk_id string, filename string, filepath string, heading string, content string"
@@ -240,3 +240,15 @@ def test_few_rows_go_to_the_texts(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_content_chunks_keep_their_files_without_a_shuffle(spark):
+    rows = [("/a/1.txt", "1.txt", "file", 1.0, 0.0, "one two " * 200), ("/a/2.txt", "2.txt", "file", 2.0, 0.0, None), ("/a/3.md", "3.md", "file", 3.0, 0.0, "# Head\ntext")]
+    files = spark.createDataFrame(rows, "filepath string, filename string, source_type string, mtime double, ctime double, content string")
+    made = chunking.chunk_records(files)
+    content = made.where("chunk_type = 'content'")
+    plan = content._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert {(r.filename, r.mtime) for r in content.collect()} == {("1.txt", 1.0), ("3.md", 3.0)}
+    assert sorted(r.chunk_id.split("_")[1] for r in made.where("filepath = '/a/1.txt'").collect()) == sorted(["fn", *(f"c{k}" for k in range(4))])
+    assert [r.chunk_id.split("_")[1] for r in made.where("chunk_type = 'heading'").collect()] == ["h0"]
