@@ -31,6 +31,9 @@ def postings(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
 #: Characters and chunks whose terms one task sorts (the ids of so many chunks fit a dictionary page), and tokens that are turned into terms at once.
 TASK_CHARS, TASK_CHUNKS, TOKENS = 8 << 20, 16_000, 1 << 20
 
+#: Ids of chunks that are long texts stay in dictionaries of stored tables up to so many bytes; else each term of a chunk would have the whole id.
+DICTIONARY_BYTES = 16 << 20
+
 
 def inverted(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
     """(term, chunk_id, field, tf, at) from chunks: each term once, with its places in order. Made row by row, without a shuffle."""
@@ -163,7 +166,7 @@ def write(chunks: DataFrame, fields: dict[str, str], path: str, partitions: int
     spark = chunks.sparkSession
 
     def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.mode("overwrite").option("parquet.dictionary.page.size", DICTIONARY_BYTES).parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
     columns = list(dict.fromkeys(fields.values()))
