@@ -590,13 +590,14 @@ def maintained_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = marked(rows.where("doc_id % 2 = 1"), 2, rows).unionByName(marked(past.where("doc_id % 3 = 0"), 3, past, 1))
 
     def built(some: DataFrame) -> DataFrame:
-        return index.postings(some.select(F.col("filepath").alias("chunk_id"), "content"), {"content": "content"}).select(F.col("chunk_id").alias("filepath"), "term", "pos")
+        terms = index.inverted(some.select(F.col("filepath").alias("chunk_id"), "content"), {"content": "content"})
+        return terms.select(F.col("chunk_id").alias("filepath"), "term", "tf", "at")
 
     for part in (first, second):
-        part.write.mode("append").parquet(f"{folder}/in")
+        part.write.mode("append").option("compression", "zstd").parquet(f"{folder}/in")
         stream = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
         maintenance.maintain(stream, f"{folder}/index", built, f"{folder}/progress", every=None, buckets=16).awaitTermination()
-    return maintenance.read_index(spark, f"{folder}/index").groupBy("filepath").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("term").alias("n_terms"))
+    return maintenance.read_index(spark, f"{folder}/index").groupBy("filepath").agg(F.sum("tf").alias("n_rows"), F.count("term").alias("n_terms"))
 
 
 @query(bm25_sql(f"SELECT item_id AS query_id, array_to_string({words_sql('text')}[1:3], ' ') AS query FROM benchmark", 50))

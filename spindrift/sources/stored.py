@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table is sent to all tasks; a larger one is shuffled.
 SENT_ROWS = 1_000_000
+#: Most words of 64 bits in the table of `chosen`, whatever the number of keys.
+WORDS = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +41,39 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT_ROWS else df
 
 
+def chosen(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is wanted. `known` (key, wanted) has every key of the rows, once; keys are not null.
+
+    Rows aren't shuffled: a table of bits of a bounded size is sent to all tasks. A row whose bit no wanted key has goes, one whose bit no other key
+    has stays. Wanted keys that share a bit with others are joined; so many of them that they can't be sent need a shuffle of the rows with such bits.
+    """
+    hashed = F.xxhash64(key)
+    word, bit = F.pmod(hashed, F.lit(WORDS)).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(`{key}`), 40), 64) AS int))")
+    marked = known.select(key, "wanted", word.alias("__word"), bit.alias("__bit"))
+    own, others = (F.bit_or(F.when(test, F.col("__bit")).otherwise(0)) for test in (F.col("wanted"), ~F.col("wanted")))
+    words = cut(marked.groupBy("__word").agg(own.alias("__own"), others.alias("__others")))
+    shared = (F.col("__others").bitwiseAND(F.col("__bit"))) != 0
+    doubtful = cut(marked.where("wanted").join(F.broadcast(words), "__word").where(shared).select(key))
+    columns = rows.columns
+    found = rows.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(words), "__word").where(F.col("__own").bitwiseAND(F.col("__bit")) != 0)
+    if doubtful.count() <= SENT_ROWS:
+        held = doubtful.withColumn("__held", F.lit(True))
+        return found.join(F.broadcast(held), key, "left").where(~shared | F.col("__held")).select(columns)
+    return found.where(~shared).select(columns).unionByName(found.where(shared).join(doubtful, key, "left_semi").select(columns))
+
+
+@contextmanager
+def open_files(spark: SparkSession, n: int) -> Iterator[None]:
+    """Within it, a task that writes a partitioned table keeps a file open for each of up to n folders, in place of sorting its rows by folder."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n + 1))  # Spark begins to sort when it has opened as many as it may
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     found = jvm.org.apache.hadoop.fs.Path(path)

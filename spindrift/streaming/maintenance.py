@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import incremental
-from ..sources.stored import age, cut, exists, finished, numbered, parts, remove
+from ..sources.stored import age, chosen, cut, exists, finished, numbered, open_files, parts, remove
 
 Build = Callable[[DataFrame], DataFrame]
 #: Gets the changes, the changed files and the version, before it is published; it must be repeatable.
 Sink = Callable[[DataFrame, DataFrame, int], None]
 #: What a row says about its inventory: its number, and how many files it has. A row without a path only says that.
 MARKS = "inventory long, n_files long"
+#: Folders of inventories that a task keeps files open for at most when arrivals are stored.
+MOST_OPEN = 16
 
 
 def bucket_of(path: Column, buckets: int) -> Column:
@@ -67,18 +69,30 @@ def read_state(spark: SparkSession, base: str, version: int | None = None) -> Da
     return _read(spark, base, version, "state")
 
 
+def latest_rows(inventory: DataFrame) -> DataFrame:
+    """Of rows of one path the one with the latest time. Only paths are shuffled, and the rows of paths that come more than once."""
+    named = inventory.where("filepath IS NOT NULL")
+    counts = cut(named.groupBy("filepath").agg((F.count(F.lit(1)) > 1).alias("repeated")))
+    if counts.where("repeated").isEmpty():
+        return named
+    rest = [c for c in inventory.columns if c != "filepath"]
+    several = chosen(named, counts.withColumnRenamed("repeated", "wanted"), "filepath")
+    latest = several.groupBy("filepath").agg(F.max_by(F.struct(*rest), F.col("mtime")).alias("x")).select("filepath", "x.*")
+    return chosen(named, counts.select("filepath", (~F.col("repeated")).alias("wanted")), "filepath").unionByName(latest)
+
+
 def apply_inventory(
     spark: SparkSession, base: str, inventory: DataFrame, build: Build, version: int, buckets: int = 64, number: int | None = None, sinks: tuple[Sink, ...] = ()
 ) -> DataFrame:
     """Brings index and state to a full inventory (filepath, mtime, source_type, content) and returns the counts of changes.
 
     Of rows of one path the one with the latest time counts. Only changed files are built, and only buckets with changes are read and
-    written. The number of buckets has to stay the same for an index. A batch that is repeated after a failure writes the same version
+    written. Neither texts nor rows of the index are shuffled: each task writes what it has of each bucket, as it comes. The number of buckets
+    has to stay the same for an index. A batch that is repeated after a failure writes the same version
     again; if it was published already, nothing is written. Sinks, such as segments of the keyword index, get the same changes.
     """
     before = max((v for v in finished(spark, f"{base}/versions") if v < version), default=None)
-    rest = [c for c in inventory.columns if c != "filepath"]
-    files = inventory.where("filepath IS NOT NULL").groupBy("filepath").agg(F.max_by(F.struct(*rest), F.col("mtime")).alias("x")).select("filepath", "x.*").select(*inventory.columns)
+    files = latest_rows(inventory)
     state = files.select("filepath", "mtime", "source_type")
     old_state = _read(spark, base, before, "state") if before is not None else None
     changed = cut(incremental.changes(state, state.limit(0) if old_state is None else old_state))
@@ -86,17 +100,19 @@ def apply_inventory(
         return incremental.change_counts(changed)
     own = bucket_of(F.col("filepath"), buckets)
     touched = [r[0] for r in changed.where("change <> 'unchanged'").select(own).distinct().collect()]  # at most `buckets` numbers
-    come = changed.where("change IN ('new', 'modified')").select("filepath")
-    fresh = files.join(come, "filepath", "left_semi")
+    fresh = chosen(files, changed.where("change <> 'deleted'").select("filepath", (F.col("change") != "unchanged").alias("wanted")), "filepath")
     for sink in sinks:
         sink(changed, fresh, version)
     rows = [("", -1, version, number)]
     built = build(fresh)
     old = read_index(spark, base, before, touched) if before is not None else None
+    if old is not None:
+        built = chosen(old, changed.where("change <> 'new'").select("filepath", (F.col("change") == "unchanged").alias("wanted")), "filepath").unionByName(built)
     new_state = changed.where(F.col("change") != "deleted").where(own.isin(touched)).select("filepath", "mtime", "source_type")
-    for kind, made in (("index", built if old is None else incremental.apply(old, built, changed)), ("state", new_state)):
+    for kind, made in (("index", built), ("state", new_state.repartition(own))):
         dealt = made.withColumn("bucket", own)
-        dealt.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{base}/{kind}/{version}")
+        with open_files(spark, buckets):
+            dealt.write.partitionBy("bucket").mode("overwrite").parquet(f"{base}/{kind}/{version}")
         # A version without rows has no file to tell its schema.
         written = spark.read.schema(dealt.schema).parquet(f"{base}/{kind}/{version}").select("bucket").distinct().collect()
         held = {b: v for b, v in _held(spark, base, before, kind).items() if b not in touched} | {r["bucket"]: version for r in written}
@@ -106,8 +122,9 @@ def apply_inventory(
 
 
 def arrive(rows: DataFrame, base: str, batch: int) -> None:
-    """Stores the rows of a batch by inventory. A repeated batch is stored again in the same place."""
-    rows.repartition("inventory", F.pmod(F.xxhash64("filepath"), F.lit(64))).write.partitionBy("inventory").mode("overwrite").parquet(f"{base}/arrived/{batch}")
+    """Stores the rows of a batch by inventory, as they come. A repeated batch is stored again in the same place."""
+    with open_files(rows.sparkSession, MOST_OPEN):
+        rows.write.partitionBy("inventory").mode("overwrite").option("compression", "zstd").parquet(f"{base}/arrived/{batch}")
 
 
 def arrived(spark: SparkSession, base: str, schema, after: int | None) -> DataFrame | None:

@@ -11,7 +11,7 @@ from spindrift.config import Settings
 from spindrift.functions import text
 from spindrift.jobs import ingest
 from spindrift.operators import aggregate, chunking, embed, evaluate, incremental, notes, requests
-from spindrift.sources import files
+from spindrift.sources import files, stored
 from spindrift.streaming import limits, maintenance
 
 
@@ -374,3 +374,50 @@ def test_percentiles_by_running_totals(spark, rows):
     want = df.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY v)").alias("p95"), F.count(F.lit(1)).alias("n"))
     order = lambda found: sorted(map(tuple, found.select("k", "p50", "p95", "n").collect()), key=str)
     assert order(evaluate.latency(df, "v", ["k"])) == order(want)
+
+
+@pytest.mark.parametrize("words, sent", [(1 << 20, 1_000_000), (1, 1_000_000), (1, 0)])
+def test_chosen_rows_are_those_of_wanted_keys(spark, monkeypatch, words, sent):
+    """Also where nearly all keys share a bit with others, and where these are too many to be sent."""
+    monkeypatch.setattr(stored, "WORDS", words)
+    monkeypatch.setattr(stored, "SENT_ROWS", sent)
+    known = spark.range(500).select(F.concat(F.lit("/f"), "id").alias("filepath"), (F.col("id") % 3 == 0).alias("wanted"))
+    rows = spark.range(900).select(F.concat(F.lit("/f"), F.col("id") % 450).alias("filepath"), "id")
+    got = stored.chosen(rows, known, "filepath")
+    assert got.columns == ["filepath", "id"] and sorted(r.id for r in got.collect()) == [i for i in range(900) if i % 450 % 3 == 0]
+    assert stored.chosen(rows, known.withColumn("wanted", F.lit(False)), "filepath").count() == 0
+
+
+def test_of_repeated_paths_the_latest_row_counts(spark):
+    rows = [("a", 1.0, "file", "old"), ("a", 2.0, "file", "new"), ("b", 1.0, "file", "b"), ("c", 1.0, "mweb", "c"), ("c", 1.0, "mweb", "c"), (None, None, None, None)]
+    got = maintenance.latest_rows(spark.createDataFrame(rows, FILES)).collect()
+    assert sorted(map(tuple, got)) == [("a", 2.0, "file", "new"), ("b", 1.0, "file", "b"), ("c", 1.0, "mweb", "c")]
+
+
+def stages(spark):
+    """What the session's stages have done so far."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    found = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def shuffled(spark):
+    return sum(s.shuffleWriteBytes() for s in stages(spark))
+
+
+def test_rows_of_a_partitioned_table_are_not_sorted(spark, tmp_path):
+    with stored.open_files(spark, 4):
+        spark.range(0, 100_000, 1, 1).withColumn("bucket", F.col("id") % 4).write.partitionBy("bucket").parquet(f"{tmp_path}/t")
+    assert max(stages(spark), key=lambda s: s.stageId()).peakExecutionMemory() == 0 and spark.read.parquet(f"{tmp_path}/t").where("bucket = 3").count() == 25_000
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_neither_texts_nor_rows_of_the_index_are_shuffled(spark, tmp_path):
+    pick = random.Random(3)
+    rows = [(f"/f{i}", 1.0, "file", " ".join(f"{pick.randrange(1 << 40):x}" for _ in range(3000))) for i in range(60)]
+    later = [(p, m + (i % 3 == 0), t, c) for i, (p, m, t, c) in enumerate(rows[5:])]
+    before = shuffled(spark)
+    got = follow(spark, tmp_path, [[(1, 60, r) for r in rows], [(2, 55, r) for r in later]])
+    assert [len(x) for x in got] == [180_000, 165_000] and got[1] == sorted(map(tuple, BUILD(spark.createDataFrame(later, FILES)).collect()))
+    assert shuffled(spark) - before < 200_000  # texts have 2,000,000 bytes
