@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.stored import cut, exists, finished
-from .dense import _best, _matrix, _passing, _unit, nearest
-from .sparse import FILTERS, query_filters, top
+from .dense import _matrix, _unit, best_of_blocks, nearest
+from .sparse import query_filters
 
 #: Vectors that the quantiser is fitted on at most, and its rounds. The bound keeps the sample small enough for the driver.
 SAMPLE, ROUNDS = 20_000, 12
@@ -119,50 +119,20 @@ def search(queries: DataFrame, base: str, k: int, probes: int = PROBES, digits:
     """(query_id, chunk_id, score, rank): as dense.nearest, but of the vectors in each query's `probes` nearest lists.
 
     queries has query_id, embedding and perhaps filters (see sparse.FILTERS), which narrow the rows before the best k are taken; the
-    indexed rows then have source_type, mtime, ctime and filepath. Rows of a list meet the queries that probe it: a list is dealt
-    over several tasks, each of which keeps k rows a query.
+    indexed rows then have source_type, mtime, ctime and filepath. Blocks of queries of bounded size are sent to the rows of the lists that any
+    query probes; a row meets only the queries that probe its list, and each task keeps k rows a query.
     """
     spark = queries.sparkSession
-    asked = cut(_nearest_lists(queries.select("query_id", "embedding"), _centroids(spark, base), probes, "__lists"))
-    probed = asked.select("query_id", F.col("embedding").alias("asked"), F.explode("__lists").alias("list"))
-    wanted = sorted(r["list"] for r in probed.select("list").distinct().collect())  # at most as many as there are lists
+    centroids = _centroids(spark, base)
+    asked = cut(_nearest_lists(queries.select("query_id", "embedding"), centroids, probes, "lists"))
+    wanted = sorted(r[0] for r in asked.select(F.explode("lists")).distinct().collect())  # at most as many as there are lists
     rows = read(spark, base, version, wanted)
     filters = query_filters(queries)
     if filters is not None:
-        probed = probed.join(filters, "query_id")
-    # Queries of a list, in blocks, for each of its parts; a part is one group in one task.
-    parts = F.lit(16)
-    ours = rows.withColumn("part", F.pmod(F.xxhash64("chunk_id"), parts).cast("int"))
-    sent = probed.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        asked = asked.join(filters, "query_id")
+        rows = rows.withColumns({c: F.col(c).cast("double") for c in ("mtime", "ctime")})
     ids = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (rows, "chunk_id"))}
-    held = ["chunk_id", "embedding", *(["source_type", "mtime", "ctime", "filepath"] if filters is not None else [])]
-    left = sent.select("list", "part", "query_id", "asked", *(FILTERS if filters is not None else []))
-    right = ours.select("list", "part", *held)
-    filtered = filters is not None
-
-    def ranked(asked_: pa.Table, found: pa.Table) -> pa.Table:
-        kind = pa.schema([("query_id", asked_.schema.field("query_id").type), ("chunk_id", found.schema.field("chunk_id").type), ("score", pa.float64())])
-        if not len(asked_) or not len(found):
-            return kind.empty_table()
-        asked_, found = asked_.combine_chunks(), found.combine_chunks()
-        x, y = (_unit(_matrix(t[c].combine_chunks())) for t, c in ((asked_, "asked"), (found, "embedding")))
-        query, score, place = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)
-        chunks = found["chunk_id"].combine_chunks()
-        step = max(1, (4 << 20) // max(1, len(x)))
-        for low in range(0, len(y), step):
-            new = np.round(np.maximum(0.0, x @ y[low : low + step].T), digits)
-            ok = np.ones(new.shape, dtype=bool)
-            if filtered:
-                part = found.slice(low, step)
-                ok = _passing({c: asked_[c].combine_chunks() for c in FILTERS}, {c: part[c].combine_chunks() for c in ("source_type", "mtime", "ctime", "filepath")})
-            q, c = np.nonzero(ok)
-            query, score, place = np.concatenate([query, q]), np.concatenate([score, new[q, c]]), np.concatenate([place, c + low])
-            best = _best(query, score, chunks.take(pa.array(place)), k)
-            query, score, place = query[best], score[best], place[best]
-        return pa.Table.from_arrays([asked_["query_id"].combine_chunks().take(pa.array(query)), chunks.take(pa.array(place)), pa.array(score)], schema=kind)
-
-    found = left.groupBy("list", "part").cogroup(right.groupBy("list", "part")).applyInArrow(ranked, f"query_id {ids['query_id']}, chunk_id {ids['chunk_id']}, score double")
-    return top(found, k, digits=digits)
+    return best_of_blocks(asked, rows, k, digits, ids, filters is not None, len(centroids))
 
 
 def calibrate(vectors: DataFrame, base: str, k: int, target: float = 0.95, sample: int = 200) -> int:

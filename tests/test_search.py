@@ -1,3 +1,4 @@
+import random
 import sqlite3
 
 import pytest
@@ -252,3 +253,47 @@ def test_content_chunks_keep_their_files_without_a_shuffle(spark):
     assert {(r.filename, r.mtime) for r in content.collect()} == {("1.txt", 1.0), ("3.md", 3.0)}
     assert sorted(r.chunk_id.split("_")[1] for r in made.where("filepath = '/a/1.txt'").collect()) == sorted(["fn", *(f"c{k}" for k in range(4))])
     assert [r.chunk_id.split("_")[1] for r in made.where("chunk_type = 'heading'").collect()] == ["h0"]
+
+
+def test_many_queries_are_met_in_bounded_memory(spark, monkeypatch):
+    """What a task holds at once for 3000 queries and 10,000 vectors."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    pick = np.random.default_rng(4)
+    x = pick.normal(size=(10_000, 8))
+    queries = spark.createDataFrame([(i, row) for i, row in enumerate(x[:3000].tolist())], "query_id long, embedding array<double>")
+    vectors = spark.createDataFrame([(0, [1.0] * 8)], "chunk_id long, embedding array<double>")
+    runs = []
+    as_it_was = type(vectors).mapInArrow
+    monkeypatch.setattr(type(vectors), "mapInArrow", lambda self, f, *rest, **more: (runs.append(f), as_it_was(self, f, *rest, **more))[1])
+    dense.nearest(queries, vectors, 36)
+    batch = pa.record_batch([pa.array(range(10_000)), pa.array(x.tolist())], names=["chunk_id", "embedding"])
+    tracemalloc.start()
+    try:
+        out = [b for f in runs for b in f(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == 3000 * 36 and peak < 120 << 20
+    best = {}
+    for b in out:
+        for q, c, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            best.setdefault(q, []).append((-s, c))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 3000, 300):
+        score = np.round(np.maximum(0.0, unit @ unit[q]), 6)
+        assert sorted(best[q]) == sorted((-v, c) for c, v in enumerate(score.tolist()))[:36]
+
+
+def test_queries_go_in_blocks_of_bounded_hits(spark, monkeypatch):
+    pick = random.Random(6)
+    df = spark.createDataFrame([(i, [pick.gauss(0, 1) for _ in range(4)]) for i in range(60)], "chunk_id long, embedding array<double>")
+    asked = df.withColumnRenamed("chunk_id", "query_id")
+    told = lambda found: sorted(map(tuple, found.select("query_id", "chunk_id", "score", "rank").collect()))
+    want = told(dense.nearest(asked, df, 5))
+    monkeypatch.setattr(dense, "HITS", 100)
+    got = dense.nearest(asked, df, 5)
+    assert got._jdf.queryExecution().analyzed().toString().count("MapInArrow") >= 3 and told(got) == want

@@ -68,3 +68,20 @@ def test_only_probed_lists_are_read(spark, index):
     base, _, _ = index
     plan = vector_index.read(spark, base, lists=[2, 5])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "list" in plan.split("PartitionFilters: [")[1][:60]
+
+
+def shuffled(spark):
+    """Bytes that the session's stages have shuffled so far."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_queries_are_not_copied_for_each_list_and_part(spark, index):
+    base, _, now = index
+    queries = now.where("embedding IS NOT NULL").select(F.col("chunk_id").alias("query_id"), "embedding")
+    before = shuffled(spark)
+    assert vector_index.search(queries, base, 3, probes=8).count() == 3 * queries.count()
+    # 238 queries of 8 numbers; copies for 8 lists of 16 parts each are 30,000 rows.
+    assert shuffled(spark) - before < 300_000
