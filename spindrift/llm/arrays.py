@@ -1,7 +1,12 @@
-"""Array expressions whose time is (nearly) linear in the array or text, as SQL text that Spark parses at once."""
+"""Array expressions whose time is (nearly) linear in the array or text.
+
+They are made of columns: as SQL text, long ones fill the caches of Spark's parser, which the driver keeps as long as it runs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,11 +14,16 @@ from pyspark.sql import functions as F
 PIECE = 1024
 
 
-def scanned(values: str, pick: str) -> Column:
-    """Running values of `pick`, a sum or maximum of x and y, over an array: each round doubles the reach."""
-    rounds = f"CASE WHEN size({values}) > 1 THEN sequence(0, CAST(ceil(log2(size({values}))) AS int)) ELSE CAST(array() AS array<int>) END"
-    step = pick.replace("y", "get(acc, i - shiftleft(1, k))")
-    return F.expr(f"aggregate({rounds}, {values}, (acc, k) -> transform(acc, (x, i) -> CASE WHEN i >= shiftleft(1, k) THEN {step} ELSE x END))")
+def scanned(values: str, pick: Callable[[Column, Column], Column]) -> Column:
+    """Running values of `pick`, a sum or maximum of two, over an array: each round doubles the reach."""
+    size = F.size(values)
+    rounds = F.when(size > 1, F.sequence(F.lit(0), F.ceil(F.log2(size)).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def one(acc: Column, k: Column) -> Column:
+        reach = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i >= reach, pick(x, F.get(acc, i - reach))).otherwise(x))
+
+    return F.aggregate(rounds, F.col(values), one)
 
 
 def pieces(text: Column) -> Column:
@@ -21,14 +31,14 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
 
-def cut(pieces: str, low: str, high: str) -> str:
+def cut(pieces: Column, low: Column, high: Column) -> Column:
     """The code points of a text in pieces from low to high. Only the pieces between are read, not all before them."""
-    first, last = f"CAST(floor(({low}) / {PIECE}) AS int)", f"CAST(floor(({high}) / {PIECE}) AS int)"
-    one = f"substring(get({pieces}, {first}), ({low}) % {PIECE} + 1, ({high}) - ({low}))"
-    head = f"substring(get({pieces}, {first}), ({low}) % {PIECE} + 1, {PIECE})"
-    tail = f"coalesce(substring(get({pieces}, {last}), 1, ({high}) % {PIECE}), '')"
-    between = f"array_join(slice({pieces}, {first} + 2, greatest({last} - {first} - 1, 0)), '')"
-    return f"CASE WHEN ({low}) >= ({high}) THEN '' WHEN {first} = {last} THEN {one} ELSE concat({head}, {between}, {tail}) END"
+    first, last = (F.floor(at / PIECE).cast("int") for at in (low, high))
+    one = F.substr(F.get(pieces, first), low % PIECE + 1, high - low)
+    head = F.substr(F.get(pieces, first), low % PIECE + 1, F.lit(PIECE))
+    tail = F.coalesce(F.substr(F.get(pieces, last), F.lit(1), high % PIECE), F.lit(""))
+    between = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(low >= high, "").when(first == last, one).otherwise(F.concat(head, between, tail))
 
 
 def own_prefix(columns: list[str]) -> str:

@@ -101,7 +101,7 @@ def format_conversations(turns: DataFrame, learned: tuple[str, ...] = LEARNED) -
     opened = lambda t: F.concat(F.lit(OPEN), _escape_name(t["role"]), F.lit(MIDDLE))
     out = grouped.withColumn("pieces", F.transform("turns", lambda t: F.struct(opened(t).alias("head"), t["made"]["content"].alias("content"), t["role"].isin(*learned).alias("learned"))))
     out = out.withColumn("lengths", F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["content"]) + len(CLOSE)))
-    out = out.withColumn("ends", scanned("lengths", "x + y"))
+    out = out.withColumn("ends", scanned("lengths", lambda x, y: x + y))
     placed = F.zip_with("pieces", "ends", lambda p, end: F.struct(p["learned"].alias("learned"), (end - len(CLOSE) - F.length(p["content"])).alias("start"), F.length(p["content"]).alias("length")))
     mask = F.transform(F.filter(placed, lambda x: x["learned"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
     files = F.flatten(F.transform("turns", lambda t, i: F.transform(t["made"]["files"], lambda f: F.struct(i.alias("turn"), f["type"].alias("type"), f["uri"].alias("uri"), f["tokens"].alias("tokens")))))
@@ -144,6 +144,6 @@ def contents(formatted: Column) -> Column:
 def with_masked(made: DataFrame, out: str = "learned") -> DataFrame:
     """Adds the learned texts of each formatted conversation, in order, read under its mask."""
     p = own_prefix(made.columns)
-    cutting = cut(f"{p}pieces", "m.start", "m.start + m.length")
-    held = made.withColumn(f"{p}pieces", pieces(F.col("formatted"))).withColumn(f"{p}cut", F.expr(f"transform(mask, m -> {cutting})"))
+    held = made.withColumn(f"{p}pieces", pieces(F.col("formatted")))
+    held = held.withColumn(f"{p}cut", F.transform("mask", lambda m: cut(F.col(f"{p}pieces"), m["start"], m["start"] + m["length"])))
     return held.withColumn(out, F.transform(f"{p}cut", unescape)).drop(f"{p}pieces", f"{p}cut")

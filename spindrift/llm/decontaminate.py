@@ -140,7 +140,7 @@ def find_contamination(
     can't be listed in `items`. Repeated rows give a row each. An empty benchmark gives rows without hits. Other columns
     of either table aren't read, so their names don't matter.
     """
-    windows = _windows(benchmark, window, shingle, item_col, item_text_col)
+    windows = cut(_windows(benchmark, window, shingle, item_col, item_text_col))
     tokens = windows.select(F.explode("tokens").alias("t")).select("t.*").distinct()
     lengths = sorted(r[0] for r in tokens.select("n").distinct().collect())  # at most `shingle` values
     counts = _shingle_counts(docs, tokens, lengths, text_col) if lengths else docs.sparkSession.createDataFrame([], "sh bigint, n_docs bigint")
@@ -173,5 +173,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     """The documents in which no benchmark window occurs, all their columns unchanged. Options as in find_contamination."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     p = own_prefix(docs.columns)
-    bad = find_contamination(docs, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias(f"{p}id"), F.col("text_key").alias(f"{p}key")).distinct()
+    bad = cut(find_contamination(docs, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias(f"{p}id"), F.col("text_key").alias(f"{p}key")).distinct())
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (text_key(text_col) == F.col(f"{p}key")), "left_anti")

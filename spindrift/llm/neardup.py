@@ -315,7 +315,7 @@ def _classes(docs: DataFrame, threshold: float, size: int, id_col: str, text_col
     signed = cut(_signed(docs, id_col, text_col, size))
     texts = cut(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("bands").alias("bands")))
     labels = components(_links(docs, texts, text_col, size, threshold))
-    rooted = texts.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("root"))
+    rooted = cut(texts.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
     classes = skew_join(rooted.select("node", "root"), least, ["root"], "inner").select("node", "root", "class_id")
     return skew_join(signed.select("doc_id", "text_key", "node"), classes, ["node"], "inner")
@@ -329,7 +329,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str
     classes = _classes(docs, threshold, size, id_col, text_col)
     chosen = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x"))
     p = own_prefix(docs.columns)
-    keys = chosen.select(F.col("x.doc_id").alias(f"{p}id"), F.col("x.text_key").alias(f"{p}key"))
+    keys = cut(chosen.select(F.col("x.doc_id").alias(f"{p}id"), F.col("x.text_key").alias(f"{p}key")))
     kept = docs.join(keys, F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(text_col) == F.col(f"{p}key")), "left_semi")
     same_row = Window.partitionBy(F.col(id_col), F.xxhash64(text_col)).orderBy(F.lit(0))
     copy = f"{p}copy"

@@ -9,6 +9,9 @@ part and kind, and offsets are prefix sums in log(n) rounds: a text costs its le
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +60,7 @@ def _with_places(docs: DataFrame, text: Column, p: str) -> DataFrame:
     value = {f"{p}value": F.when(F.col(f"{p}assign_maybe"), F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= LEAST_VALUE))}
     out = docs.withColumns(found | gaps | value)
     out = out.withColumns({f"{p}{k}_both": F.zip_with(f"{p}{k}_own", F.slice(f"{p}{k}_gap", F.lit(1), F.size(f"{p}{k}_own")), lambda n, g: n + g) for k in KINDS})
-    out = out.withColumns({f"{p}{k}_end": scanned(f"{p}{k}_both", "x + y") for k in KINDS})
+    out = out.withColumns({f"{p}{k}_end": scanned(f"{p}{k}_both", lambda x, y: x + y) for k in KINDS})
     spans = {f"{p}{k}": F.zip_with(f"{p}{k}_own", f"{p}{k}_end", lambda n, end: F.struct((end - n).alias("start"), end.alias("end"))) for k in KINDS}
     kept = F.filter(F.zip_with(spans[f"{p}assign"], f"{p}value", lambda s, v: F.struct(s.alias("span"), v.alias("keep"))), lambda x: x["keep"])
     spans[f"{p}assign"] = F.transform(kept, lambda x: x["span"])
@@ -66,12 +69,19 @@ def _with_places(docs: DataFrame, text: Column, p: str) -> DataFrame:
     return out.drop(f"{p}value", *(f"{p}{k}_{x}" for k in KINDS for x in ("maybe", "own", "gap", "both", "end")))
 
 
-def _reached(spans: str, low: str, high: str) -> str:
+def _reached(spans: Column, low: Column, high: Column) -> Column:
     """Whether any of the sorted, disjoint spans reaches into (low, high): the last one that starts below high does, or none."""
-    below = f"get({spans}, shiftright(at.low + at.high, 1)).start < {high}"
-    halved = f"named_struct('low', IF({below}, shiftright(at.low + at.high, 1) + 1, at.low), 'high', IF({below}, at.high, shiftright(at.low + at.high, 1)))"
-    found = f"aggregate(sequence(0, CAST(ceil(log2(size({spans}))) AS int)), named_struct('low', 0, 'high', size({spans})), (at, round) -> IF(at.low >= at.high, at, {halved}), at -> at.low)"
-    return f"(size({spans}) > 0 AND coalesce(get({spans}, {found} - 1).end > {low}, false))"
+
+    def halved(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        below = F.get(spans, middle)["start"] < high
+        next_low, next_high = F.when(below, middle + 1).otherwise(at["low"]), F.when(below, at["high"]).otherwise(middle)
+        return F.when(at["low"] >= at["high"], at).otherwise(F.struct(next_low.alias("low"), next_high.alias("high")))
+
+    size = F.size(spans)
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(size)).cast("int"))
+    found = F.aggregate(rounds, F.struct(F.lit(0).alias("low"), size.alias("high")), halved, lambda at: at["low"])
+    return (size > 0) & F.coalesce(F.get(spans, found - 1)["end"] > low, F.lit(False))
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE, text_col: str = "text") -> DataFrame:
@@ -90,16 +100,18 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, text_col: str = "text") ->
     p = own_prefix(docs.columns)
     out = _with_places(docs.withColumn(f"{p}text", F.coalesce(F.col(text_col), F.lit(""))), F.col(f"{p}text"), p)
 
-    def any_of(kinds: list[str], low: str, high: str) -> str:
-        return "(" + " OR ".join(_reached(p + k, low, high) for k in kinds) + ")"
+    def any_of(kinds: Iterable[str], low: Column, high: Column) -> Column:
+        return reduce(Column.__or__, (_reached(F.col(p + k), low, high) for k in kinds))
 
-    def filtered(kind: str, test: str) -> Column:
-        return F.expr(f"CASE WHEN size({p}{kind}) > 0 THEN filter({p}{kind}, x -> {test}) ELSE {p}{kind} END")
+    def filtered(kind: str, test: Callable[[Column], Column]) -> Column:
+        return F.when(F.size(p + kind) > 0, F.filter(p + kind, test)).otherwise(F.col(p + kind))
 
-    out = out.withColumns({f"{p}{k}": filtered(k, "NOT " + any_of(list(BASE), "x.start", "x.end")) for k in WEAK})
-    # Whether some part of a role reaches into the scope of x.
-    near = {role: any_of([k for k in KINDS if ROLES[k] == role], f"x.start - {scope}", f"x.end + {scope}") for role in ("secret", "identifier", "endpoint")}
-    report = {"identifier": near["secret"], "random": f"({near['identifier']} OR {near['endpoint']})", "endpoint": f"({near['identifier']} AND {near['secret']})"}
+    def near(role: str, x: Column) -> Column:
+        """Whether some part of a role reaches into the scope of x."""
+        return any_of((k for k in KINDS if ROLES[k] == role), x["start"] - scope, x["end"] + scope)
+
+    out = out.withColumns({f"{p}{k}": filtered(k, lambda x: ~any_of(BASE, x["start"], x["end"])) for k in WEAK})
+    report = {"identifier": lambda x: near("secret", x), "random": lambda x: near("identifier", x) | near("endpoint", x), "endpoint": lambda x: near("identifier", x) & near("secret", x)}
     linked = {k: filtered(k, test) for k, test in report.items()}
 
     def placed(n: int, kind: str) -> Column:
@@ -120,10 +132,14 @@ def redact(docs: DataFrame, scope: int = SCOPE, text_col: str = "text") -> DataF
     out = find_secrets(own, scope, text_col)
     some = F.size("secrets") > 0
     out = out.withColumn(f"{p}own_ends", F.transform("secrets", lambda s: s["end"]))
-    out = out.withColumns({f"{p}ends": F.when(some, scanned(f"{p}own_ends", "greatest(x, y)")), f"{p}pieces": F.when(some, pieces(F.col(text_col)))})
+    out = out.withColumns({f"{p}ends": F.when(some, scanned(f"{p}own_ends", F.greatest)), f"{p}pieces": F.when(some, pieces(F.col(text_col)))})
     # What stands between the secrets before and each one, and its mark; nothing if they overlap.
-    before = f"coalesce(get({p}ends, i - 1), 0)"
-    steps = f"transform(secrets, (s, i) -> CASE WHEN s.start >= {before} THEN concat({cut(f'{p}pieces', before, 's.start')}, '{REDACTED}') ELSE '' END)"
-    done = F.expr(f"concat(array_join({steps}, ''), {cut(f'{p}pieces', f'element_at({p}ends, -1)', f'length(`{text_col}`)')})")
+    held, ends = F.col(f"{p}pieces"), F.col(f"{p}ends")
+
+    def step(s: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(ends, i - 1), F.lit(0))
+        return F.when(s["start"] >= before, F.concat(cut(held, before, s["start"]), F.lit(REDACTED))).otherwise("")
+
+    done = F.concat(F.array_join(F.transform("secrets", step), ""), cut(held, F.element_at(ends, -1), F.length(text_col)))
     out = out.withColumn(text_col, F.when(some, done).otherwise(F.col(text_col))).drop("secrets", f"{p}own_ends", f"{p}ends", f"{p}pieces")
     return out.withColumnRenamed(f"{p}own", "secrets").select(*(F.col(f"`{c}`") for c in docs.columns))

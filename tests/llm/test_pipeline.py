@@ -3,9 +3,11 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from test_operators import alnum, bag, spaced
 
 import corpus_pipeline
+from spindrift.llm import chat, secrets
 
 DATA = "/root/testdata/sf0.001"
 
@@ -47,3 +49,24 @@ def test_stages(spark, tmp_path):
         else:
             total = sum(len(spaced(r.text)) for r in old.values())
             assert sum(len(spaced(r.text)) * r.passes for r in rows) <= total and all(1 <= r.passes <= 3 for r in rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
+def test_plans_stay_small(spark):
+    """The driver describes a plan anew for each of its updates. The largest description had 73,554 characters here, of the query of all thresholds."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    corpus_pipeline.run(spark, DATA).write.format("noop").mode("overwrite").save()
+    ran = store.executionsList(before, 1000)
+    sizes = [len(ran.apply(i).physicalPlanDescription()) for i in range(ran.size())]
+    assert len(sizes) > 20 and max(sizes) < 60_000, sorted(sizes)[-5:]
+
+
+def test_no_long_sql_is_parsed(spark, monkeypatch):
+    """What Spark's parser caches for a long text stays with the driver."""
+    parsed = []
+    expr = F.expr
+    monkeypatch.setattr(F, "expr", lambda text: (parsed.append(len(text)), expr(text))[1])
+    secrets.redact(spark.createDataFrame([(1, "token=abcdefgh")], "doc_id long, text string"))
+    chat.with_masked(spark.createDataFrame([("abc", [(0, 1)])], "formatted string, mask array<struct<start:int,length:int>>"))
+    assert max(parsed, default=0) < 200
