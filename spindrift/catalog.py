@@ -474,16 +474,15 @@ def resort_paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search over chunked documents, both branches."""
     base = f"{stored.shared_folder(spark)}/search-{uuid.uuid4().hex}"
-    # Texts are cut once; the index is made from the stored chunks.
-    chunking.chunk_records(files(spark, sf_dir)).drop("embedding_text").withColumn("heading", F.array_join("title_path", " ")).write.parquet(f"{base}/chunks")
+    # Texts are cut once. The queries are asked once, so no index is made for them.
+    chunking.chunk_records(files(spark, sf_dir)).drop("embedding_text").withColumn("heading", F.array_join("title_path", " ")).write.option("compression", "zstd").parquet(f"{base}/chunks")
     chunks = spark.read.parquet(f"{base}/chunks")
-    index.write(chunks, search_job.FIELDS, f"{base}/index")
     rows = _vectors(spark, sf_dir)
     queries = passage_queries(spark, sf_dir)
     of_file = files(spark, sf_dir).select("doc_id", F.concat(F.md5("filepath"), F.lit("_c0")).alias("id"))
     vectors = rows.join(of_file, rows.chunk_id == of_file.doc_id).select(F.col("id").alias("chunk_id"), "embedding")
     asked = queries.join(rows, queries.query_id == rows.chunk_id).select("query_id", "embedding")
-    return search_job.search(queries, chunks, vectors, asked, stored=index.read(spark, f"{base}/index")).select("query_id", "rank", "filepath", F.round("score", 6).alias("score"), "n_hits", "relevance", "preview")
+    return search_job.search(queries, chunks, vectors, asked).select("query_id", "rank", "filepath", F.round("score", 6).alias("score"), "n_hits", "relevance", "preview")
 
 
 # ---------------------------------------------------------------- incremental maintenance

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..config import QUERY_TYPES, SETTINGS, Settings
-from ..operators import aggregate, dense, fusion, index, planner, rerank, sparse
+from ..operators import aggregate, dense, fusion, index, planner, rerank, scan, sparse
 from ..sources.stored import cut, small
 
 FIELDS = {"filename": "filename", "path": "filepath", "heading": "heading", "content": "content"}
@@ -25,12 +25,15 @@ def search(
 
     Queries may carry filters of their own (source, date_field, date_from, date_to, path_filter; see sparse.FILTERS), which narrow both
     branches before their best hits are taken and never change the statistics. The vector branch is left out without vectors, and for queries
-    of high exactness. With `stored`, a stored index of the chunks, no text is cut into tokens; `fields` names the fields that are searched.
+    of high exactness. With `stored`, a stored index of the chunks, no text is cut into tokens; without it, each text is cut once, where it is.
+    `fields` names the fields that are searched.
     """
     plans = planner.plan(queries, settings)
     fields = FIELDS if fields is None else fields
-    held = index.made(chunks, fields) if stored is None else stored.of(list(fields))
-    scored = sparse.filtered_by_query(sparse.bm25(plans, held, settings.field_weights), plans, chunks)
+    if stored is None:
+        scored = scan.bm25(plans, chunks, fields, max(k for k, _, _, _ in QUERY_TYPES.values()), settings.field_weights)
+    else:
+        scored = sparse.filtered_by_query(sparse.bm25(plans, stored.of(list(fields)), settings.field_weights), plans, chunks)
     words = sparse.top(scored.join(plans.select("query_id", "sparse_k"), "query_id"), "sparse_k").select("query_id", "chunk_id", "score", "rank")
     if vectors is None or query_vectors is None:
         near = words.limit(0)

@@ -78,7 +78,7 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return column.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(np.float64)
 
 
-class _Filters:
+class Filters:
     """The filters of a block's queries, turned into numbers once."""
 
     def __init__(self, asked: dict[str, pa.Array]):
@@ -112,7 +112,7 @@ def _best(query: np.ndarray, score: np.ndarray, chunk: pa.Array, k: int) -> np.n
     return order[np.arange(len(order)) - first < k]
 
 
-class _Kept:
+class Kept:
     """The best k hits of each query so far. New ones are gathered until they are many, so that a task chooses seldom."""
 
     def __init__(self, queries: int, k: int, digits: int):
@@ -150,8 +150,8 @@ class _Kept:
 def _visit(vectors: DataFrame, queries: Broadcast, k: int, digits: int, ids: dict[str, str], filtered: bool, listed: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, matrix, probed = queries.value
-        kept = _Kept(len(matrix), k, digits)
-        filters = _Filters(asked) if filtered else None
+        kept = Kept(len(matrix), k, digits)
+        filters = Filters(asked) if filtered else None
 
         def meet(part: pa.RecordBatch, own: np.ndarray | None) -> None:
             """Some rows and the queries (all if None) that they are for."""

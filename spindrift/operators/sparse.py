@@ -47,7 +47,7 @@ def _of_tokens(asked: DataFrame, index: Index) -> Index:
     return index.where_terms(test)
 
 
-class _Asked:
+class Asked:
     """The clauses of some queries: different alternatives (tokens, is_prefix) by number, and which queries have them in which clause."""
 
     def __init__(self, plans: DataFrame):
@@ -136,7 +136,7 @@ def bm25(plans: DataFrame, index: Index, weights: tuple[tuple[str, float], ...]
 
 
 def _scored(plans: DataFrame, index: Index, weights: tuple[tuple[str, float], ...]) -> DataFrame:
-    asked = _Asked(plans)
+    asked = Asked(plans)
     lengths = index.document_lengths()
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((plans, "query_id"), (lengths, "chunk_id"))}
     schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
@@ -164,9 +164,7 @@ def _scored(plans: DataFrame, index: Index, weights: tuple[tuple[str, float], ..
     for r in counted.collect():  # a row for each alternative of the queries
         n_p[:, r.no] = r.n, r.n_name
     held = n_p[asked.only.astype(int), asked.key]
-    # A term in all chunks has the least weight, whatever the logarithm.
-    raw = np.log(np.maximum(n_chunks - held + 0.5, 1e-300) / (held + 0.5))
-    idf = np.where(raw <= 0, LEAST_IDF, raw)
+    idf = weights_of_terms(held, n_chunks)
 
     def score(found: pa.Table, sizes: pa.Table) -> pa.Table:
         return _complete(asked, idf, mean, found, sizes)
@@ -174,7 +172,13 @@ def _scored(plans: DataFrame, index: Index, weights: tuple[tuple[str, float], ..
     return grouped(rows).cogroup(grouped(lengths)).applyInArrow(score, schema)
 
 
-def _complete(asked: _Asked, idf: np.ndarray, mean: float, found: pa.Table, sizes: pa.Table) -> pa.Table:
+def weights_of_terms(held: np.ndarray, n_chunks: int) -> np.ndarray:
+    """Weights (IDF) of terms that so many chunks have. A term in all chunks has the least weight, whatever the logarithm."""
+    raw = np.log(np.maximum(n_chunks - held + 0.5, 1e-300) / (held + 0.5))
+    return np.where(raw <= 0, LEAST_IDF, raw)
+
+
+def _complete(asked: Asked, idf: np.ndarray, mean: float, found: pa.Table, sizes: pa.Table) -> pa.Table:
     """Scores of the chunks of a group that match all clauses of a query, some chunks at a time."""
     chunks = sizes["chunk_id"].combine_chunks()
     place = pc.index_in(found["chunk_id"].combine_chunks(), value_set=chunks)
